@@ -25,7 +25,7 @@ from .common import LOWER, SPACE, flat_text, mixed, slices, word_bounds, word_ha
 MAX_TRAIN = 4_000
 BUCKETS = 1 << 13
 SHAPES = 1 << 11
-THRESHOLD = 0.5
+THRESHOLD = 0.9
 # Frequent short words of four languages.
 FREQUENT = "the of and to in is it that for on with as are der die das und des den ein mit von zu le la les de et un une des du en que el los las y por con para se su".split()
 _CLASS = np.zeros(256, np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, packing, quality, unigram
+from . import imatch, langid, licenses, packing, quality, shingle_join, unigram
 from .common import tables
 
 
@@ -14,6 +14,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(tables(spark, sf_dir, "documents"))
+
+
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(tables(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tables(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -34,5 +42,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op3_imatch, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
 ORACLES: dict[str, str] = {}
