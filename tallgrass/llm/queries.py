@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, langid, licenses, packing, quality, shingle_join, unigram
+from . import imatch, langid, licenses, packing, pii, quality, shingle_join, unigram
 from .common import tables
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(tables(spark, sf_dir, "documents"))
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(tables(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_imatch, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_imatch, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
 ORACLES: dict[str, str] = {}
