@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, langid, licenses, packing, pii, quality, shingle_join, unigram
+from . import chroma, imatch, langid, licenses, packing, pages, pii, quality, shingle_join, unigram
 from .common import tables
 
 
@@ -14,6 +14,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each embedding is rendered as a recording first."""
+    return chroma.matches(chroma.rendered(tables(spark, sf_dir, "embeddings")))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(tables(spark, sf_dir, "documents"))
 
@@ -22,6 +27,10 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(tables(spark, sf_dir, "documents"))
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(tables(spark, sf_dir, "pages"))
+
+
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(tables(spark, sf_dir, "documents"))
 
@@ -46,5 +55,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_imatch, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_chroma, op2_pii, op3_imatch, op4_pages, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
 ORACLES: dict[str, str] = {}
