@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallgrass.llm import langid, quality
+from tallgrass.llm import langid, packing, pii, quality, shingle_join
 from tallgrass.llm.common import written
 
-STAGES = [("quality classifier", quality.stage), ("language id", langid.stage)]
+STAGES = [
+    ("quality classifier", quality.stage),
+    ("language id", langid.stage),
+    ("n-gram jaccard join", shingle_join.stage),
+    ("personal data", pii.stage),
+    ("packing", packing.stage),
+]
 #: A trained model decides in the first stages, which SQL cannot express.
 ORACLE_SQL = None
 
