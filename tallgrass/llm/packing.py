@@ -14,8 +14,11 @@ are dropped.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,39 +30,70 @@ from .common import mixed, slices, written
 LENGTH = 2048
 DIMS = 4
 ORDER = 8
-CACHE = 400_000
+CACHE = 800_000
 END = 1
 _WORKER: dict = {}
 
 
+#: Runs of letters, of digits and of the rest: the tokenizer joins none of them to another, but for an apostrophe's suffix.
+PARTS = re.compile(r"[^\W\d_]+|\d+|(?:_|[^\w\s])+")
+#: Texts with these are encoded as they are: suffixes, special tokens, letters whose lower case depends on more than themselves.
+PLAIN = re.compile("['<\u0130\u03a3\x1c-\x1f]")
+
+
 class _Encoder(dict):
-    """Ids (16-bit, as bytes) of chunks without a space or line feed between; bounded."""
+    """Ids (16-bit, as bytes) of chunks without a space or line feed between; bounded.
+
+    A new chunk is put together from its parts; new words (runs of letters) are encoded many at a time and
+    told apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def alone(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def learn_words(self, new: list[str]) -> None:
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(part):
+                raw = ids.tobytes()
+                self.words.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(part, [0, *last[:-1].tolist()], last.tolist(), strict=True))
+            else:
+                self.words.update((w, self.alone(w)) for w in part)
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self) > CACHE:
-            self.clear()
-        new = [c for c in chunks if c not in self]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.update((c, np.array(e.ids, "<u2").tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        if len(self.words) > CACHE:
+            self.words.clear()
+        split, other = {}, []
+        for c in chunks:
+            if PLAIN.search(c) or not (c.isascii() or unicodedata.is_normalized("NFC", c)):
+                other.append(c)
+            else:
+                split[c] = PARTS.findall(c.lower())
+        new = set().union(*split.values()) - self.words.keys()
+        self.learn_words([w for w in new if w.isalpha()])
+        self.words.update((w, self.alone(w)) for w in new if not w.isalpha())
+        self.update((c, b"".join(map(self.words.__getitem__, parts))) for c, parts in split.items())
+        self.update((c, self.alone(c)) for c in other)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # the tokenizer never joins across white space, so chunks between spaces can be encoded one by one
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*split))
+        if len(self) > CACHE:
+            self.clear()
+        if new := set(filterfalse(self.__contains__, chain.from_iterable(split))):
+            self.learn(new)
         end = np.array([END], "<u2").tobytes()
-        whole = [any(s in t for s in self.special) for t in texts]
-        out = [b"".join(map(self.__getitem__, s)) + end for s in split]
-        for i in np.flatnonzero(whole):
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u2").tobytes() + end
-        return out
+        return [(self.alone(t) if "<|" in t else b"".join(map(self.__getitem__, s))) + end for s, t in zip(split, texts, strict=True)]
 
 
 def _encoder(path: str) -> _Encoder:
@@ -74,7 +108,7 @@ def _encoder(path: str) -> _Encoder:
 
 def projection(ids: int = 1 << 16, dims: int = DIMS) -> np.ndarray:
     """A sign for each id and dimension: the hashed vector and its random projection in one."""
-    h = mixed(np.arange(ids * dims, dtype=np.uint64)).reshape(ids, dims)
+    h = mixed(np.arange(ids * dims, dtype=np.uint64)).reshape(dims, ids)
     return np.where(h >> np.uint64(63), 1.0, -1.0).astype(np.float32)
 
 
@@ -119,7 +153,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             flat = np.frombuffer(b"".join(ids), "<u2")
             n = np.array([len(x) // 2 for x in ids])
-            points = np.add.reduceat(signs[flat], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            points = np.stack([np.add.reduceat(sign[flat], first) for sign in signs], 1)
             points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
             cells = np.clip(((points + 1) / 2 * (1 << ORDER)).astype(np.int64), 0, (1 << ORDER) - 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(hilbert(cells), pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "curve", "n_ids", "ids"])
@@ -177,3 +212,10 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
     ordered = table.repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id")
     return ordered.mapInArrow(run, SCHEMA)
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left, with the public word tokenizer."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
