@@ -25,7 +25,7 @@ from .common import LOWER, SPACE, flat_text, mixed, slices, word_bounds, word_ha
 MAX_TRAIN = 4_000
 BUCKETS = 1 << 13
 SHAPES = 1 << 11
-THRESHOLD = 0.9
+THRESHOLD = 0.5
 # Frequent short words of four languages.
 FREQUENT = "the of and to in is it that for on with as are der die das und des den ein mit von zu le la les de et un une des du en que el los las y por con para se su".split()
 _CLASS = np.zeros(256, np.int64)
@@ -35,7 +35,7 @@ _CLASS[48:58] = 3
 _CLASS[[ord(c) for c in ".,;:?'\"()-"]] = 4
 _CLASS[[ord(c) for c in "!"]] = 5
 _CLASS[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = 6
-LABELLERS = ("shouting", "symbols", "tables", "repeats", "frequent", "word_length", "sentences", "marks")
+LABELLERS = ("shouting", "symbols", "tables", "repeats", "lengths", "frequent", "sentences")
 
 
 def _text_stats(batch: pa.RecordBatch) -> dict:
@@ -75,15 +75,16 @@ def votes(s: dict) -> np.ndarray:
     letters = np.maximum(s["lower"] + s["upper"], 1)
     caps, symbols = s["upper"] / letters, (s["symbols"] - s["lone"]) / n
     some = s["n"] > 0
+    share = s["distinct"] / n
+    bad = lambda mask: np.where(mask, 0, -1)  # noqa: E731  detectors speak up only where they see something
     out = [
-        np.where(caps > 0.5, 0, np.where((caps < 0.1) & (s["n"] >= 5), 1, -1)),
-        np.where(symbols > 0.5, 0, np.where(symbols < 0.05, 1, -1)),
-        np.where(s["lone"] / n > 0.2, 0, np.where(s["lone"] == 0, 1, -1)),
-        np.where((s["distinct"] / n < 0.25) & (s["n"] >= 12) & (s["n"] < 4000), 0, np.where(s["distinct"] / n > 0.35, 1, -1)),
-        np.where(s["frequent"] / n > 0.08, 1, np.where(s["n"] >= 40, np.where(s["frequent"] / n < 0.01, 0, -1), -1)),
-        np.where((s["bytes"] / n < 3) | (s["bytes"] / n > 14), 0, np.where(s["n"] >= 5, 1, -1)),
+        bad((caps > 0.5) & (s["n"] >= 5) | (s["bangs"] / n > 0.3)),
+        bad(symbols > 0.3),
+        bad(s["lone"] / n > 0.2),
+        bad((s["n"] >= 12) & (share < 0.25) & (s["n"] < 4000) | (s["n"] >= 4000) & (share < 0.05)),
+        bad((s["bytes"] / n < 3) | (s["bytes"] / n > 16)),
+        np.where(s["frequent"] / n > 0.08, 1, np.where((s["n"] >= 40) & (s["frequent"] / n < 0.01), 0, -1)),
         np.where((s["stops"] / n > 0.02) & (s["capital"] / n > 0.02), 1, np.where(s["n"] >= 60, 0, -1)),
-        np.where(s["bangs"] / n > 0.3, 0, np.where(s["bangs"] == 0, 1, -1)),
     ]
     return np.where(some[:, None], np.stack(out, 1), -1).astype(np.int64)
 
@@ -106,10 +107,9 @@ def features(s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def expectation_maximisation(patterns: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good per pattern; P(vote | class) as (labellers, class, vote); prior. Labellers may abstain."""
+    """Posterior of good per pattern; P(abstain, bad, good | class) as (labellers, class, 3); prior."""
     m = patterns.shape[1]
-    good, bad = (patterns == 1).sum(1), (patterns == 0).sum(1)
-    post = np.clip((good + 1.0) / (good + 4.0 * bad + 2.0), 0.02, 0.98)
+    post = np.where((patterns == 0).any(1), 0.1, 0.95)
     table = np.zeros((m, 2, 3))
     prior = 0.5
     for _ in range(rounds):
@@ -118,11 +118,10 @@ def expectation_maximisation(patterns: np.ndarray, weight: np.ndarray, rounds: i
                 table[k, c] = [(weight * p)[patterns[:, k] == v].sum() + 0.5 for v in (-1, 0, 1)]
                 table[k, c] /= table[k, c].sum()
         prior = float(np.clip((weight * post).sum() / max(weight.sum(), 1e-9), 0.01, 0.99))
-        # abstentions say how a labeller covers texts, not what they are worth: only votes count
+        # a vote counts by how often each class gets it; an abstention says nothing
         odds = np.full(len(patterns), np.log(prior / (1 - prior)))
         for k in range(m):
-            vote = patterns[:, k]
-            lean = np.log(table[k, 1, 1:] / table[k, 1, 1:].sum()) - np.log(table[k, 0, 1:] / table[k, 0, 1:].sum())
+            vote, lean = patterns[:, k], np.log(table[k, 1, 1:]) - np.log(table[k, 0, 1:])
             odds += np.where(vote >= 0, lean[np.maximum(vote, 0)], 0.0)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post, table, prior
