@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Rows made by rule for training and calibration.
 TRAIN_ROWS = 4_000
-TREES, DEPTH = 12, 3
+TREES, DEPTH = 12, 4
 #: Precision that a kind's threshold must have on the calibration rows.
 PRECISION = 0.97
 CONTEXT = 24
@@ -83,7 +83,8 @@ def valid(kind: str, s: Column) -> Column:
     if kind == "email":
         return F.lit(True)
     if kind == "ip":
-        return F.forall(F.split(s, r"\."), lambda p: F.coalesce(F.when(F.length(F.ltrim(F.lit("0"), p)) <= 3, F.ltrim(F.lit("0"), p)).otherwise("999").try_cast("int"), F.lit(0)) <= 255)
+        bare = lambda p: F.ltrim(p, F.lit("0"))
+        return F.forall(F.split(s, r"\."), lambda p: F.when(F.length(bare(p)) <= 3, F.coalesce(bare(p).try_cast("int"), F.lit(0)) <= 255).otherwise(False))
     n = F.length(_digits(s))
     if kind == "card":
         return n.between(12, 19) & luhn(_digits(s))
@@ -137,8 +138,11 @@ def training_rows(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
         ("email", F.concat(F.substring(letters, F.lit(1), F.lit(1)), F.lit("@"), d(1, 1), F.lit("."), d(2, 1)), 0),
         ("ip", F.concat_ws(".", F.lit("1"), *((d(2 * k + 1, 2)) for k in range(3))), 1),
         ("ip", F.concat_ws(".", d(1, 4), d(5, 1), d(6, 1), d(7, 3)), 0),
-        ("card", d(1, 16), 0),
+        ("ip", F.concat_ws(".", F.lit("1"), d(2, 2), d(4, 1), F.concat(F.lit("9"), d(5, 2))), 0),
+        ("card", F.concat(F.lit("4"), d(1, 15)), luhn(F.concat(F.lit("4"), d(1, 15))).cast("int")),
+        ("card", F.concat(F.lit("4"), d(1, 3), F.lit(" "), d(4, 4), F.lit(" "), d(8, 4), F.lit(" "), d(12, 4)), luhn(F.concat(F.lit("4"), d(1, 15))).cast("int")),
         ("card", F.concat_ws("-", d(1, 4), d(5, 2), d(7, 2)), 0),
+        ("card", F.concat_ws(" ", d(1, 3), d(4, 3), d(7, 4)), 0),
         ("phone", F.concat(F.lit("+1 ("), d(1, 3), F.lit(") 555-"), d(4, 4)), 1),
         ("phone", F.concat(F.lit("+"), d(1, 2), F.lit("-"), d(4, 1)), 0),
         ("number", F.concat(F.lit("("), d(1, 3), F.lit(") "), d(4, 3), F.lit("-"), d(7, 4)), 1),
