@@ -13,7 +13,7 @@ def bars(ticks: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> D
     """Open, high, low, close, volume of (instrument_id, ts, price, size) per window; ticks later than the watermark
     are left out. Works on a stream as on a table."""
     w = F.window("ts", every)
-    df = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
+    df = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if ticks.isStreaming else ticks
     return df.groupBy("instrument_id", w.alias("w")).agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("ticks")).select("instrument_id", F.col("w.start").alias("time"), "open", "high", "low", "close", "volume", "ticks")
 
 
