@@ -13,7 +13,7 @@ from ..sources import panels, store
 from ..streaming.bars import bars
 from . import fusion, learning, mining, reports, rollover, select, strategy, xsection
 from .backtest import Options, backtest, labelled
-from .queries import _KEY, _LABEL, _METRIC_SQL, _SUM, _V, PANEL_SQL, TESTED, query, rounded
+from .queries import _LABEL, _METRIC_SQL, _SUM, _V, PANEL_SQL, TESTED, query, rounded
 
 _DAY = "CAST(time AS TIMESTAMP)"
 
