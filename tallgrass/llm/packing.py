@@ -23,7 +23,6 @@ from itertools import chain, filterfalse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import mixed, slices, written
 
