@@ -249,8 +249,9 @@ def joined(keys: list[int], sets: list[np.ndarray], percent: int, small: int = 6
 def _groups(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
     """Candidate pairs (a, b, na, nb, shared) from (token, rep, n, label, home), dealt by token.
 
-    Without cross: each member with the hub of its run of like sizes. With cross: all members with different
-    labels and homes and of like sizes. shared counts the tokens that give the pair."""
+    Without cross: each member with the hub of its run of like sizes, and each later hub with the set before it if
+    their sizes are alike; those rows count 0, so they only tell that both sets have a neighbour. With cross: all
+    members with different labels and homes and of like sizes. shared counts the tokens that give the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -287,8 +288,11 @@ def _groups(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
                 place = np.searchsorted(hub[first], hub[late])
                 hub[late] = first[place]
             at = np.flatnonzero(rep[hub] != rep)
-            found.append((hub[at], at))
-        if found:
+            next_hub = np.flatnonzero(~new & (hub == np.arange(len(hub))))
+            next_hub = next_hub[percent * n[next_hub] <= 100 * n[next_hub - 1]]  # the longest set before it is near enough
+            found = [(hub[at], at), (next_hub - 1, next_hub)]
+            yield _counted(found, rep, n, np.repeat([1, 0], [len(at), len(next_hub)]))
+        if cross and found:
             yield _counted(found, rep, n)
 
     def _across(n, label, home, first) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -303,11 +307,12 @@ def _groups(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
             out.append((np.minimum(i, j) + first, np.maximum(i, j) + first))
         return out
 
-    def _counted(found, rep, n) -> pa.RecordBatch:
+    def _counted(found, rep, n, counts=None) -> pa.RecordBatch:
         at, to = (np.concatenate(x) for x in zip(*found, strict=True))
         swap = cross & (rep[at] > rep[to])
         at, to = np.where(swap, to, at), np.where(swap, at, to)
-        table = pa.table({"a": rep[at], "b": rep[to], "na": n[at], "nb": n[to]}).group_by(["a", "b", "na", "nb"]).aggregate([([], "count_all")]).rename_columns(["a", "b", "na", "nb", "shared"])
+        shared = np.ones(len(at), np.int64) if counts is None else counts
+        table = pa.table({"a": rep[at], "b": rep[to], "na": n[at], "nb": n[to], "shared": shared}).group_by(["a", "b", "na", "nb"]).aggregate([("shared", "sum")]).rename_columns(["a", "b", "na", "nb", "shared"])
         return table.combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pydict({c: pa.array([], pa.int64()) for c in table.column_names})
 
     return rows.repartition("token").mapInArrow(run, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
@@ -397,7 +402,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     homes = written(homes.join(parts, "home").select("id", "home", F.pmod(F.xxhash64("id"), "parts").alias("salt")), "homes")
     links = written(_home_links(homes, _sets(docs, homes.select("id"), size), percent), "links")
     labels = components(links)
-    # only what shares a shingle with another set can still be linked; what shares a salted home is done
+    # only what shares a shingle with another set of like size can still be linked; what shares a salted home is done
     ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     known = homes.select(F.col("id").alias("_id"), F.xxhash64("home", "salt").alias("_home"))
     longer = classes.join(ids, F.col("rep") == F.col("id"), "left_semi").join(labels, F.col("rep") == F.col("node"), "left").join(known, F.col("rep") == F.col("_id"), "left")

@@ -65,6 +65,22 @@ def test_against_brute_force(spark, monkeypatch, seed, size, percent, heavy):
     assert len({c for _, c in want.values()}) < len(want) - 50
 
 
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_growing_chains(spark, size, percent):
+    """Each text adds one to three words to the one before: neighbours are alike, the ends are not."""
+    docs = []
+    for seed in range(60):
+        rng = random.Random(seed)
+        text = [f"c{seed}w{k}" for k in range(rng.randrange(6, 60))]
+        for _ in range(rng.randrange(2, 9)):
+            docs.append((len(docs), " ".join(text)))
+            for _ in range(rng.randrange(1, 4)):
+                text.insert(rng.choice([0, len(text)]), f"c{seed}n{rng.randrange(1 << 30)}")
+    docs += [(len(docs) + k, " ".join(f"chain{w}" for w in range(22 + more))) for k, more in enumerate((0, 2, 3))]
+    rows = shingle_join.join(spark.createDataFrame(docs, "doc_id long, text string"), size, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute(docs, size, percent)
+
+
 def test_empty_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, a int")
     assert shingle_join.join(empty).count() == 0
