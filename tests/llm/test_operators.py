@@ -214,6 +214,31 @@ def test_language(spark, docs, edges):
     assert langid.stage(spark, edges, "").columns == edges.columns
 
 
+def test_ambiguous_languages_are_rejected(spark):
+    """Clean texts stay; texts half in one and half in another language, or in a language not learned, go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null and length(text) > 600")
+    by = collections.defaultdict(list)
+    for r in docs.orderBy("doc_id").collect():
+        by[r["lang"]].append((r["doc_id"], r["text"]))
+    rng, langs = random.Random(8), sorted(by)
+    mixed = []
+    for k in range(200):
+        a, b = rng.sample(langs, 2)
+        mixed.append((-1 - k, rng.choice(by[a])[1][:500] + " " + rng.choice(by[b])[1][:500]))
+    learned = docs.where(~langid.held_out())
+    schema = "doc_id long, text string"
+
+    def rejected(rows, model):
+        return np.mean([r["ambiguous"] for r in langid.predict(spark.createDataFrame(rows, schema), model).collect()])
+
+    model = langid.fit(learned)
+    held = {r["doc_id"] for r in docs.where(langid.held_out()).select("doc_id").collect()}
+    assert rejected([row for lang in langs for row in by[lang] if row[0] in held], model) < 0.01
+    assert rejected(mixed, model) > 0.7
+    for out in langs[:2]:
+        assert rejected(by[out], langid.fit(learned.where(F.col("lang") != out))) > 0.8
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 9):
         c = langid.codewords(n)
