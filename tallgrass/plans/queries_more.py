@@ -285,4 +285,4 @@ def mining_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panels.future_return(panels.lineitem_panel(spark, sf_dir))
     df = evaluate(panel, {"x1": TESTED["momentum"], "x2": TESTED["reversal"]}, ["instrument_id", "time", "future_ret"])
-    return learning.rolling(df, ["x1", "x2"], "linear", [{"regParam": 0.0}, {"regParam": 0.1}], train=18, validate=6, test=6, step=24).select("instrument_id", "time", F.round("prediction", 6).alias("prediction"))
+    return learning.rolling(df, ["x1", "x2"], "linear", [{"regParam": 0.0}, {"regParam": 0.1}], train=18, validate=6, test=6).select("instrument_id", "time", F.round("prediction", 6).alias("prediction"))
