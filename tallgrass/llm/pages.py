@@ -43,10 +43,22 @@ NOISE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banne
 ROLES = re.compile(r"(?i)\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 MARKS = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-UNSEEN = re.compile(r"(?i)\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none\b")
+#: What may start inside head without closing it.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "noframes", "template"}
 SPACES = re.compile(r"\s+")
 
 
+def unseen(attributes: str) -> bool:
+    """Whether an element's attributes hide it: hidden, aria-hidden="true", or a style of display: none."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block of visible text, in page order."""
     out: list[tuple[int, str]] = []
@@ -67,6 +79,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
     while True:
         m = TAG.search(page, at)
+        if stack and stack[-1][0] == "head" and page[at : m.start() if m else len(page)].strip():
+            pop(len(stack) - 1)  # text ends the head, whose end tag is optional
         if not hidden:
             held.append(page[at : m.start() if m else len(page)])
         if m is None:
@@ -86,6 +100,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if k is not None:
                 pop(k)
             continue
+        if tag not in IN_HEAD:
+            k = next((k for k, t in enumerate(stack) if t[0] == "head"), None)
+            if k is not None and not any(t[0] == "template" for t in stack[k + 1 :]):
+                pop(k)
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in ENDS_P:
@@ -93,19 +111,19 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if k is not None and not any(t[0] in ("article", "main", "section", "div", "ul", "ol", "td") for t in stack[k + 1 :]):
                 pop(k)
         attributes = m[3]
-        now, unseen = zone, hidden or tag in HIDDEN or bool(UNSEEN.search(attributes))
+        now, away = zone, hidden or tag in HIDDEN or unseen(attributes)
         if tag in BODY and zone != CHROME:
             now = CONTENT
         elif tag in AWAY or attributes and (ROLES.search(attributes) or any(NOISE.search(x[0] or x[1] or x[2]) for x in MARKS.findall(attributes)) and tag not in ("html", "body", "article", "main")):
             now = CHROME
-        if (now, unseen) != (zone, hidden):
+        if (now, away) != (zone, hidden):
             flush()
         if tag in ("script", "style", "textarea", "title"):  # raw text up to its own end tag
             end = re.compile(rf"(?i)</{tag}\s*>").search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, now, unseen))
-        zone, hidden = now, unseen
+        stack.append((tag, now, away))
+        zone, hidden = now, away
     flush()
     return out
 

@@ -118,6 +118,18 @@ def test_pages_structure(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("attributes,seen", [('style="overflow:hidden"', True), ('class="hidden-xs"', True), ('data-hidden="1"', True), ('title="a hidden gem"', True), ("href=/hidden/x", True), ('data-style="display:none"', True), ("hidden", False), ('HIDDEN=""', False), ('aria-hidden="true"', False), ('aria-hidden="false"', True), ("style='color:red; display : none'", False)])
+def test_pages_hidden_attributes(attributes, seen):
+    assert pages.blocks(f"<article><p>before</p><p {attributes}>text</p></article>") == [(2, "before")] + [(2, "text")] * seen
+
+
+def test_pages_head_without_end_tag():
+    title = "<html><head><title>t</title><meta charset=utf-8><style>p {}</style>"
+    for body in ("<body><article><p>text</p></article>", "<article><p>text</p></article>", "</head><body><article>text</article>"):
+        assert pages.blocks(title + body) == [(2, "text")]
+    assert pages.blocks(title + "plain") == [(1, "plain")]
+
+
 def test_pages_boilerplate_without_article(spark):
     rng = random.Random(3)
     menu = "<div>" + " ".join(f"menu{k}" for k in range(30)) + "</div>"
