@@ -5,25 +5,36 @@ go last, the others by value. Two sets of Jaccard similarity 0.9 or more share a
 n - ceil(0.9 n) + 1 of each. Sets that are equal are one class from the start, so copies cost nothing.
 
 Round 1: within each prefix shingle's group, members of like size are paired with a hub; following the hub with
-which it shares most of its prefix leads each document to its home. The sets of a home meet in a task and are all joined there:
-they are stored in a trie; small homes are probed by walking it, adding up the overlap along shared paths and
-leaving a subtree as soon as the shingles that remain cannot reach the similarity; in large ones a probe adds
-its shingles' nodes to the ranges of leaves below them, all at once, and once a component is
-found that holds much of the home, only documents outside it are probed. Homes beyond MAX_HOME documents are salted. Round 2 takes the pairs of like size
-with different homes and components that share a prefix shingle, and counts what they share there: with n - a + k
-shingles of each, a being the least overlap of sets of their sizes, two similar sets share k at least, so the
-pairs with fewer are done without moving their sets. The others, few, are tested in tries by
-their first member. No link between components is lost.
+which it shares most of its prefix leads each set to its home, whose root is one of its sets. Small homes (MAX_HOME
+sets, HOME_BYTES) meet in a task and are joined there: their sets are stored in a trie, which is walked adding up
+the overlap along shared paths and leaving a subtree as soon as the shingles that remain cannot reach the
+similarity; homes beyond a few dozen sets are probed by adding a shingle's nodes to the ranges of leaves below
+them, all at once.
+
+Large homes never meet in a task. Each member keeps its difference from the root (the shingles that only one of
+both has); similar sets have like differences: of sizes d and e, they have (d + e - s) / 2 in common at least, s
+being the largest symmetric difference that the similarity allows. Where that is nothing or less, both sets are
+similar to the root itself, a link that is found on the way. All others share one of their first
+d - (d + e - s) / 2 + 1 shingles in an order that puts last what many differences of the home have; members are
+looked up by (classes of both sizes, shingle). Edited copies of one text, however many, differ from the root in
+shingles of their own, so that candidates grow with the links and not with the square of the home.
+
+Round 2 takes the pairs of like size with different homes and components that share a prefix shingle, and counts
+what they share there: with n - a + k shingles of each, a being the least overlap of sets of their sizes, two
+similar sets share k at least, so the pairs with fewer are done without moving their sets. These and the
+candidates of large homes are tested in tries by their first member. No link between components is lost.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer
 than the shingle's words is one shingle. Equal sets are linked. Repeated rows each get a row. A component's
-id is its smallest doc_id. Other columns are dropped.
+id is its smallest doc_id. A row without a doc_id links nothing; it has the component of the rows of an equal set,
+or null. Other columns are dropped.
 """
 
 from __future__ import annotations
 
 import collections
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +51,9 @@ MAX_HEAVY = 1 << 19
 MAX_BROADCAST = 2_000_000
 #: Percent of a set, in the order of values, in which the shingles that go last are looked for (two needed prefixes at least).
 LOOK = 30
-#: Documents of a home that meet in one task.
-MAX_HOME = 20_000
-#: Share of the shorter prefix that a member must have in common with its hub to be tested in round 1.
-FAIR = 0.25
+#: Sets of a home that meet in one task, at most, and their bytes; what is larger is joined by differences from its root.
+MAX_HOME = 512
+HOME_BYTES = 16 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -103,7 +113,7 @@ def _signatures(docs: DataFrame, size: int, percent: int, heavy: np.ndarray, str
 
 def _classes(signatures: DataFrame) -> DataFrame:
     """One row per distinct set: its smallest doc_id stands for it."""
-    return signatures.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return signatures.where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
 def _heavy(signatures: DataFrame) -> np.ndarray:
@@ -246,76 +256,110 @@ def joined(keys: list[int], sets: list[np.ndarray], percent: int, small: int = 6
     return links
 
 
-def _groups(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
-    """Candidate pairs (a, b, na, nb, shared) from (token, rep, n, label, home), dealt by token.
+def _by_token(rows: DataFrame, work, ordered: bool, carry=None) -> DataFrame:
+    """Candidate pairs (a, b, na, nb, shared) that work finds in groups of (token, rep, n, label, home), sorted by n and rep.
 
-    Without cross: each member with the hub of its run of like sizes, and each later hub with the set before it if
-    their sizes are alike; those rows count 0, so they only tell that both sets have a neighbour. With cross: all
-    members with different labels and homes and of like sizes. shared counts the tokens that give the pair."""
+    A task reads its groups in their order and holds the open one and a batch, or what carry keeps of the open one.
+    shared counts the tokens that give the pair. If ordered, a is the smaller id; else it is the hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches:
-            return
-        held = pa.Table.from_batches(batches)
-        token, rep, n, label, home = (held.column(c).to_numpy() for c in ("token", "rep", "n", "label", "home"))
-        order = np.lexsort((rep, n, token))
-        token, rep, n, label, home = (x[order] for x in (token, rep, n, label, home))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if cross:
-            edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            sizes = np.diff(np.append(edges, len(token)))
-            mixed_labels = np.minimum.reduceat(label, edges) != np.maximum.reduceat(label, edges)
-            for a, m in zip(edges[mixed_labels & (sizes > 64)].tolist(), sizes[mixed_labels & (sizes > 64)].tolist(), strict=True):
-                found += _across(n[a : a + m], label[a : a + m], home[a : a + m], a)
-            at, step = np.flatnonzero(np.repeat(mixed_labels & (sizes <= 64), sizes)), 1
-            while len(at):  # each row with the step-th after it, as long as token and size allow
-                at = at[at + step < len(token)]
-                to = at + step
-                near = (token[at] == token[to]) & (percent * n[to] <= 100 * n[at])
-                at, to = at[near], to[near]
-                other = (label[at] != label[to]) & (home[at] != home[to])
-                found.append((at[other], to[other]))
-                step += 1
-                if sum(len(f[0]) for f in found) > 200_000:
-                    yield _counted(found, rep, n)
-                    found = []
-        else:
-            new = np.concatenate([[True], token[1:] != token[:-1]])
-            hub = np.flatnonzero(new)[np.cumsum(new) - 1]
-            while len(late := np.flatnonzero(100 * n[hub] < percent * n)):
-                first = late[np.concatenate([[True], hub[late][1:] != hub[late][:-1]])]  # the next hub of each run that is still too wide
-                place = np.searchsorted(hub[first], hub[late])
-                hub[late] = first[place]
-            at = np.flatnonzero(rep[hub] != rep)
-            next_hub = np.flatnonzero(~new & (hub == np.arange(len(hub))))
-            next_hub = next_hub[percent * n[next_hub] <= 100 * n[next_hub - 1]]  # the longest set before it is near enough
-            found = [(hub[at], at), (next_hub - 1, next_hub)]
-            yield _counted(found, rep, n, np.repeat([1, 0], [len(at), len(next_hub)]))
-        if cross and found:
-            yield _counted(found, rep, n)
-
-    def _across(n, label, home, first) -> list[tuple[np.ndarray, np.ndarray]]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+        seen, found = 0, []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("token", "rep", "n", "label", "home"), strict=True)]
+            if not len(held[0]):
+                continue
+            cut = len(held[0])
+            if batch is not None and carry is None:
+                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            whole, held = [x[:cut] for x in held], [x[cut:] for x in held]
+            if cut:
+                for at, to, shared in work(*whole, seen):
+                    found.append((whole[1][at], whole[1][to], whole[2][at], whole[2][to], shared))
+                    if sum(len(f[0]) for f in found) > 100_000:
+                        yield _counted(found)
+                        found = []
+                if carry is not None:
+                    keep = carry(whole[0], whole[2])
+                    held, seen = [x[keep] for x in whole], len(keep)
+                    if batch is None:
+                        break
+        if found:
+            yield _counted(found)
+
+    def _counted(found: list[tuple]) -> pa.RecordBatch:
+        a, b, na, nb, shared = (np.concatenate(x) for x in zip(*found, strict=True))
+        if ordered:
+            swap = a > b
+            a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+        table = pa.table({"a": a, "b": b, "na": na, "nb": nb, "shared": shared}).group_by(["a", "b", "na", "nb"]).aggregate([("shared", "sum")]).rename_columns(["a", "b", "na", "nb", "shared"])
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], names=table.column_names)
+
+    dealt = rows.select("token", "rep", "n", "label", "home").repartition("token").sortWithinPartitions("token", "n", "rep")
+    return dealt.mapInArrow(run, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+
+
+def _runs(token: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The hub of each row: the first of its token's run of like sizes."""
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    hub = np.flatnonzero(new)[np.cumsum(new) - 1]
+    while len(late := np.flatnonzero(100 * n[hub] < percent * n)):
+        first = late[np.concatenate([[True], hub[late][1:] != hub[late][:-1]])]  # the next hub of each run that is still too wide
+        hub[late] = first[np.searchsorted(hub[first], hub[late])]
+    return hub
+
+
+def _hubs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each member with the hub of its run, and each later hub with the set before it if their sizes are alike; those
+    pairs count 0, they only tell that both sets have a neighbour. Of an open group, the last hub and the last row are kept."""
+
+    def work(token, rep, n, label, home, seen):
+        hub = _runs(token, n, percent)
+        at = np.flatnonzero(rep[hub] != rep)
+        at = at[at >= seen]
+        yield hub[at], at, np.ones(len(at), np.int64)
+        after = np.flatnonzero((np.concatenate([[False], token[1:] == token[:-1]])) & (hub == np.arange(len(hub))))
+        after = after[(percent * n[after] <= 100 * n[after - 1]) & (after >= seen)]  # the longest set before it is near enough
+        yield after - 1, after, np.zeros(len(after), np.int64)
+
+    def last(token, n):
+        return np.unique([_runs(token, n, percent)[-1], len(token) - 1])
+
+    return _by_token(rows, work, False, last)
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """All members of like sizes with different labels and homes."""
+
+    def work(token, rep, n, label, home, _):
+        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(edges, len(token)))
+        mixed_labels = np.minimum.reduceat(label, edges) != np.maximum.reduceat(label, edges)
+        wide = mixed_labels & (sizes > 64)
+        for a, m in zip(edges[wide].tolist(), sizes[wide].tolist(), strict=True):
+            yield from _wide(n[a : a + m], label[a : a + m], home[a : a + m], a)
+        at, step = np.flatnonzero(np.repeat(mixed_labels & (sizes <= 64), sizes)), 1
+        while len(at):  # each row with the step-th after it, as long as token and size allow
+            at = at[at + step < len(token)]
+            to = at + step
+            near = (token[at] == token[to]) & (percent * n[to] <= 100 * n[at])
+            at, to = at[near], to[near]
+            other = (label[at] != label[to]) & (home[at] != home[to])
+            yield at[other], to[other], np.ones(int(other.sum()), np.int64)
+            step += 1
+
+    def _wide(n, label, home, first):
         """Pairs of a large group: most of it is one component, whose members need no pairs among themselves."""
         names, counts = np.unique(label, return_counts=True)
         main = label == names[counts.argmax()]
-        out = []
         for i in np.flatnonzero(~main):
             low, high = np.searchsorted(n * 100, percent * n[i], "left"), np.searchsorted(n * percent, 100 * n[i], "right")
             j = np.arange(low, high)
             j = j[(label[j] != label[i]) & (home[j] != home[i]) & (main[j] | (j > i))]
-            out.append((np.minimum(i, j) + first, np.maximum(i, j) + first))
-        return out
-
-    def _counted(found, rep, n, counts=None) -> pa.RecordBatch:
-        at, to = (np.concatenate(x) for x in zip(*found, strict=True))
-        swap = cross & (rep[at] > rep[to])
-        at, to = np.where(swap, to, at), np.where(swap, at, to)
-        shared = np.ones(len(at), np.int64) if counts is None else counts
-        table = pa.table({"a": rep[at], "b": rep[to], "na": n[at], "nb": n[to], "shared": shared}).group_by(["a", "b", "na", "nb"]).aggregate([("shared", "sum")]).rename_columns(["a", "b", "na", "nb", "shared"])
-        return table.combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pydict({c: pa.array([], pa.int64()) for c in table.column_names})
+            yield np.minimum(i, j) + first, np.maximum(i, j) + first, np.ones(len(j), np.int64)
 
-    return rows.repartition("token").mapInArrow(run, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    return _by_token(rows, work, True)
 
 
 def _pairs(pairs) -> pa.RecordBatch:
@@ -324,9 +368,8 @@ def _pairs(pairs) -> pa.RecordBatch:
 
 
 def _home_links(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within each (home, salt) of homes (id, home, salt); the hub is there for every salt."""
-    members = homes.where("id <> home").unionByName(homes.select(F.col("home").alias("id"), "home", "salt").distinct()).join(sets, "id")
-    schema = "a long, b long"
+    """Links within each of the small homes (id, home)."""
+    members = homes.join(sets, "id").select("home", "id", "own").repartition("home").sortWithinPartitions("home", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, own = None, [], []
@@ -336,16 +379,80 @@ def _home_links(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield _pairs(links)
 
         for batch in batches:
-            for home, salt, key, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "id", "own")), strict=True):
-                if (home, salt) != now:
+            for home, key, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "id", "own")), strict=True):
+                if home != now:
                     yield from done()
-                    now, keys, own = (home, salt), [], []
+                    now, keys, own = home, [], []
                 keys.append(key)
                 own.append(np.frombuffer(raw, np.uint64))
         yield from done()
 
-    first = F.when(F.col("id") == F.col("home"), 0).otherwise(1)
-    return members.select("home", "salt", first.alias("late"), "id", "own").repartition("home", "salt").sortWithinPartitions("home", "salt", "late", "id").mapInArrow(run, schema)
+    return members.mapInArrow(run, "a long, b long")
+
+
+def _differences(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """id, home, n, near (similar to the home's root) and prefix: the differences of the members of (id, home, salt) from
+    the root, as shingles that are the home's own. The root is there for every salt; it has no row of its own."""
+    roots = homes.select(F.col("home").alias("id"), "home", "salt").distinct()
+    members = homes.where("id <> home").unionByName(roots).join(sets, "id")
+    late = F.when(F.col("id") == F.col("home"), 0).otherwise(1)
+    dealt = members.select("home", "salt", late.alias("late"), "id", "own").repartition("home", "salt").sortWithinPartitions("home", "salt", "late", "id", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, root, own_of_home = None, None, None
+        for batch in batches:
+            rows = []
+            for home, salt, key, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "id", "own")), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if (home, salt) != now:
+                    now, root, own_of_home = (home, salt), own, mixed(np.array([home], np.int64).view(np.uint64))[0]
+                    continue
+                delta = np.setxor1d(own, root, assume_unique=True)
+                near = (100 + percent) * len(delta) <= (100 - percent) * (len(own) + len(root))
+                rows.append((key, home, len(own), near, np.sort(mixed(delta ^ own_of_home)).view(np.int64)))
+            if rows:
+                cut = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[4] for r in rows])))
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))), lists], names=["id", "home", "n", "near", "prefix"])
+
+    return dealt.mapInArrow(run, "id long, home long, n long, near boolean, prefix array<long>")
+
+
+def _size_class(d: int) -> int:
+    """Classes of sizes of differences, four to a doubling."""
+    return int(4 * np.log2(d))
+
+
+_LOWEST = [next(d for d in range(int(2 ** (c / 4)), 1 << 30) if _size_class(d) >= c) for c in range(116)]
+
+
+def _difference_tokens(differences: DataFrame, percent: int, heavy: np.ndarray) -> DataFrame:
+    """token, rep, n, home of the prefixes of differences: one prefix for each class of sizes that a partner may have.
+
+    A token names the shingle and both classes; home keeps members of one class apart from pairs of two classes."""
+    rare_last = differences.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = rare_last.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part, tokens, rows = batch.slice(k, 256), [], []
+                for key, n, delta in zip(part.column("id").to_pylist(), part.column("n").to_pylist(), part.column("prefix"), strict=True):
+                    own = delta.values.to_numpy().view(np.uint64)
+                    d, most = len(own), (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+                    if len(last):
+                        known = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+                        own = np.concatenate([own[~known], own[known]])
+                    mine = _size_class(d)
+                    for c in range(_size_class(max(1, d - most)), _size_class(d + most) + 1):
+                        take = d - max(1, -((most - d - _LOWEST[c]) // 2)) + 1
+                        if take > 0 and _size_class(_LOWEST[c]) == c:
+                            tokens.append(mixed(own[:take] ^ np.uint64(min(c, mine) << 8 | max(c, mine))).view(np.int64))
+                            rows.append((key, n, key if c == mine else -1 - mine))
+                count = [len(t) for t in tokens]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), *(pa.array(np.repeat(np.array([r[x] for r in rows], np.int64), count)) for x in range(3))], names=["token", "rep", "n", "home"])
+
+    return differences.select("id", "n", "prefix").mapInArrow(run, "token long, rep long, n long, home long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -374,16 +481,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and sorted shingles of the documents with these ids."""
+    """id and sorted shingles of the documents with these ids, written; a row for each different set of an id."""
     ids = ids.select(F.col("id").alias("doc_id"))
     few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([own.tobytes() for own in shingle_sets(batch, size)], pa.binary())], names=["id", "own"])
+            sets = list(shingle_sets(batch, size))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([set_id(own) for own in sets], pa.binary()), pa.array([own.tobytes() for own in sets], pa.binary())], names=["id", "sid", "own"])
 
-    found = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").mapInArrow(run, "id long, own binary")
-    return written(found, "sets").groupBy("id").agg(F.first("own").alias("own"))
+    found = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").mapInArrow(run, "id long, sid binary, own binary").where("length(own) > 0")
+    return written(found, "sets").repartition("id").groupBy("id", "sid").agg(F.first("own").alias("own")).drop("sid")
 
 
 def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -393,29 +501,40 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     signatures = written(_signatures(docs, size, percent, heavy, 1), "signatures")
     classes = written(_classes(signatures), "classes")
     placed = classes.select("rep", "n", F.explode("prefix").alias("token"), F.col("rep").alias("label"), F.col("rep").alias("home"))
-    stars = written(_groups(placed, percent, cross=False), "stars")
-    short = F.least("na", "nb")
-    fair = stars.where(F.col("shared") >= F.greatest(F.lit(1), FAIR * (short - F.ceil(short * percent / 100) + 1)))
-    nearest = fair.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("a"), "b")
+    stars = written(_hubs(placed, percent), "stars")
+    nearest = stars.where("shared > 0").groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("a"), "b")
     homes = components(nearest).select(F.col("node").alias("id"), F.col("label").alias("home"))
-    parts = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / MAX_HOME).alias("parts"))
-    homes = written(homes.join(parts, "home").select("id", "home", F.pmod(F.xxhash64("id"), "parts").alias("salt")), "homes")
-    links = written(_home_links(homes, _sets(docs, homes.select("id"), size), percent), "links")
-    labels = components(links)
-    # only what shares a shingle with another set of like size can still be linked; what shares a salted home is done
-    ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    known = homes.select(F.col("id").alias("_id"), F.xxhash64("home", "salt").alias("_home"))
-    longer = classes.join(ids, F.col("rep") == F.col("id"), "left_semi").join(labels, F.col("rep") == F.col("node"), "left").join(known, F.col("rep") == F.col("_id"), "left")
-    longer = longer.select("rep", "n", F.explode("prefix").alias("token"), F.coalesce("label", "rep").alias("label"), F.coalesce("_home", F.xxhash64("rep")).alias("home"))
+    homes = written(homes.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id"), "homes")
+    held = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c"), (8 * F.sum("n")).alias("bytes")).where((F.col("c") > MAX_HOME) | (F.col("bytes") > HOME_BYTES))
+    large = written(held.select("home", F.ceil(F.greatest(F.col("bytes") / HOME_BYTES, F.col("c") / MAX_HOME)).alias("parts")), "large")
+    sets = _sets(docs, homes.select("id"), size)
+    found = _home_links(homes.join(large, "home", "left_anti").select("id", "home"), sets, percent)
+    differences = None
+    if not large.limit(1).isEmpty():
+        salted = homes.join(large, "home").select("id", "home", F.pmod(F.xxhash64("id"), "parts").alias("salt"))
+        differences = written(_differences(salted, sets, percent), "differences")
+        found = found.unionByName(differences.where("near").select(F.col("home").alias("a"), F.col("id").alias("b")))
+    links = written(found, "links")
+    labels = components(links).select(F.col("node").alias("rep"), "label")
+    known = homes.select(F.col("id").alias("rep"), "home")
+    # only what shares a shingle with another set of like size can still be linked; what shares a home is done
+    ids = stars.select(F.col("a").alias("rep")).union(stars.select("b")).distinct()
+    rows = classes.join(ids, "rep", "left_semi").join(labels, "rep", "left").join(known, "rep", "left")
+    rows = rows.select("rep", "n", F.explode("prefix").alias("token"), F.coalesce("label", "rep").alias("label"), F.coalesce("home", "rep").alias("home"))
     total = F.col("na") + F.col("nb")
     least = F.ceil(total * percent / (100 + percent))
     kept = lambda n: least + 1 - F.ceil(F.col(n) * percent / 100)
-    rest = written(_groups(longer, percent, cross=True).where(F.col("shared") >= F.greatest(F.lit(1), F.least(kept("na"), kept("nb")))), "rest")
+    rest = _across(rows, percent).where(F.col("shared") >= F.greatest(F.lit(1), F.least(kept("na"), kept("nb")))).select("a", "b")
+    if differences is not None:
+        own = _difference_tokens(differences, percent, _heavy(differences)).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        rest = rest.unionByName(_across(own, percent).select("a", "b"))
+    rest = written(rest, "rest")
     if not rest.limit(1).isEmpty():
-        sets = _sets(docs, rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct(), size)
+        further = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(homes, "id", "left_anti")
+        sets = sets.unionByName(_sets(docs, further, size))
         links = written(links.unionByName(_verified(rest, sets, percent)), "links")
-        labels = components(links)
-    reps = classes.select("sid", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("sid", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
+        labels = components(links).select(F.col("node").alias("rep"), "label")
+    reps = classes.select("sid", "rep").join(labels, "rep", "left").select("sid", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
     return signatures.select("doc_id", "n", "sid").join(reps, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

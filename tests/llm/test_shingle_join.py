@@ -56,7 +56,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,size,percent,heavy", [(1, 3, 90, 100), (2, 5, 80, 5), (3, 3, 90, 2)])
 def test_against_brute_force(spark, monkeypatch, seed, size, percent, heavy):
     monkeypatch.setattr(shingle_join, "HEAVY", heavy)
-    monkeypatch.setattr(shingle_join, "MAX_HOME", 20_000 if seed == 1 else 30)
+    monkeypatch.setattr(shingle_join, "MAX_HOME", 512 if seed == 1 else 30)
     docs = corpus(seed)
     rows = shingle_join.join(spark.createDataFrame(docs, "doc_id long, text string"), size, percent).collect()
     want = brute(docs, size, percent)
@@ -120,3 +120,40 @@ def test_trie_prunes_but_finds():
     for s in sets:
         want = {k for k, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 80 * len(np.union1d(s, t))}
         assert set(trie.probe(s, 80)) == want
+
+
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_large_homes_by_differences(spark, monkeypatch, size, percent):
+    """Edited copies of one text, alike or not, in homes that are too large for one task."""
+    monkeypatch.setattr(shingle_join, "MAX_HOME", 20)
+    rng = random.Random(9)
+    docs = []
+    for base in range(3):
+        root = [f"w{base}x{rng.randrange(5000)}" for _ in range(70)]
+        passage = [f"p{base}x{k}" for k in range(25)]
+        for _ in range(110):
+            text = list(root)
+            if rng.random() < 0.4:
+                text[5:5] = passage  # a second text within the home
+            for _ in range(rng.choice((0, 1, 2, 3, 4, 6, 9))):
+                k = rng.randrange(len(text))
+                text[k : k + rng.randrange(0, 2)] = [f"n{rng.randrange(60)}"] * rng.randrange(0, 2)
+            docs.append((len(docs), " ".join(text)))
+            if rng.random() < 0.3:  # a chain that leaves the root
+                for _ in range(3):
+                    text[rng.randrange(len(text))] = f"n{rng.randrange(60)}"
+                docs.append((len(docs), " ".join(text)))
+    rows = shingle_join.join(spark.createDataFrame(docs, "doc_id long, text string"), size, percent).collect()
+    want = brute(docs, size, percent)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+    assert 10 < len({c for _, c in want.values()}) < len(want) - 100
+
+
+def test_rows_without_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = [(None, text), (None, "only here and nowhere else"), (None, None), (3, text), (5, text + " more"), (8, "one two"), (5, "one two")]
+    rows = shingle_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component_id"] is None, r["component_id"] or 0) for r in rows)
+    assert got == [(False, 3, 38, False, 3), (False, 5, 1, False, 3), (False, 5, 39, False, 3), (False, 8, 1, False, 3), (True, 0, 0, True, 0), (True, 0, 3, True, 0), (True, 0, 38, False, 3)]
+    kept = shingle_join.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or -1) for r in kept) == [-1, -1, -1, 3]
