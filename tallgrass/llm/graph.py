@@ -1,4 +1,4 @@
-"""Connected components of a link table by minimum labels with pointer jumping, checkpointed each round."""
+"""Connected components of a link table and roots of a forest, by pointer jumping; each round is written."""
 
 from __future__ import annotations
 
@@ -20,3 +20,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.where("old <> label").limit(1).isEmpty():
             return labels
+
+
+def roots(parents: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, label) for every node of parents (a, b), each b having one row, with a the next node towards its root.
+
+    The rounds do for paths of 2 ** rounds nodes; labels along a cycle, if there is one, are any of its nodes."""
+    tops = parents.select(F.col("a").alias("node")).distinct().join(parents.select(F.col("b").alias("node")), "node", "left_anti")
+    up = written(parents.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(tops.withColumn("label", F.col("node"))), "roots")
+    for _ in range(rounds):
+        over = up.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        step = written(up.join(over, "label").select("node", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved")), "roots")
+        up = step.select("node", "label")
+        if step.where("moved").limit(1).isEmpty():
+            break
+    return up

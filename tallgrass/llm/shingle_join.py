@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, flat_text, mixed, slices, word_bounds, word_hashes, written
-from .graph import components
+from .graph import components, roots
 
 #: A shingle in more prefixes than this goes last in the order; doubled until at most MAX_HEAVY are left to broadcast.
 HEAVY = 4
@@ -367,9 +367,9 @@ def _pairs(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _home_links(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within each of the small homes (id, home)."""
-    members = homes.join(sets, "id").select("home", "id", "own").repartition("home").sortWithinPartitions("home", "id")
+def _home_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links within each of the small homes of sets (id, home, own)."""
+    members = sets.select("home", "id", "own").repartition("home").sortWithinPartitions("home", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, own = None, [], []
@@ -383,30 +383,33 @@ def _home_links(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if home != now:
                     yield from done()
                     now, keys, own = home, [], []
-                keys.append(key)
-                own.append(np.frombuffer(raw, np.uint64))
+                if not keys or keys[-1] != key or own[-1].tobytes() != raw:  # repeated rows have one place
+                    keys.append(key)
+                    own.append(np.frombuffer(raw, np.uint64))
         yield from done()
 
     return members.mapInArrow(run, "a long, b long")
 
 
-def _differences(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """id, home, n, near (similar to the home's root) and prefix: the differences of the members of (id, home, salt) from
-    the root, as shingles that are the home's own. The root is there for every salt; it has no row of its own."""
-    roots = homes.select(F.col("home").alias("id"), "home", "salt").distinct()
-    members = homes.where("id <> home").unionByName(roots).join(sets, "id")
-    late = F.when(F.col("id") == F.col("home"), 0).otherwise(1)
-    dealt = members.select("home", "salt", late.alias("late"), "id", "own").repartition("home", "salt").sortWithinPartitions("home", "salt", "late", "id", "own")
+def _differences(sets: DataFrame, percent: int) -> DataFrame:
+    """id, home, n, near (similar to the home's root) and prefix: the differences of the members of sets (id, home, salt,
+    parts, own) from the root, as shingles that are the home's own. The root is there for every salt; it has no row."""
+    roots = sets.where("id = home").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    members = roots.withColumn("late", F.lit(0)).unionByName(sets.where("id <> home").withColumn("late", F.lit(1)))
+    dealt = members.select("home", "salt", "late", "id", "own").repartition("home", "salt").sortWithinPartitions("home", "salt", "late", "id", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, root, own_of_home = None, None, None
+        now, root, own_of_home, last = None, None, None, None
         for batch in batches:
             rows = []
             for home, salt, key, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "id", "own")), strict=True):
                 own = np.frombuffer(raw, np.uint64)
                 if (home, salt) != now:
                     now, root, own_of_home = (home, salt), own, mixed(np.array([home], np.int64).view(np.uint64))[0]
+                    last = None
+                if (key, raw) == last or own is root or key == home and np.array_equal(own, root):
                     continue
+                last = (key, raw)
                 delta = np.setxor1d(own, root, assume_unique=True)
                 near = (100 + percent) * len(delta) <= (100 - percent) * (len(own) + len(root))
                 rows.append((key, home, len(own), near, np.sort(mixed(delta ^ own_of_home)).view(np.int64)))
@@ -457,7 +460,7 @@ def _difference_tokens(differences: DataFrame, percent: int, heavy: np.ndarray)
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of the candidate pairs by exact similarity, in tries by (a, salt)."""
-    salts = max(1, pairs.count() // 20_000)
+    sets, salts = sets.select("id", "own"), max(1, pairs.count() // 20_000)
     pairs = pairs.select("a", "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)))
     members = pairs.join(sets, F.col("b") == F.col("id")).select("a", "salt", F.lit(1).alias("member"), "id", "own")
     hubs = pairs.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(0).alias("member"), "id", "own")
@@ -481,17 +484,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id and sorted shingles of the documents with these ids, written; a row for each different set of an id."""
-    ids = ids.select(F.col("id").alias("doc_id"))
+    """The rows of ids (id, home, salt, parts) with own, the sorted shingles of the documents with these ids; written."""
     few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = list(shingle_sets(batch, size))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([set_id(own) for own in sets], pa.binary()), pa.array([own.tobytes() for own in sets], pa.binary())], names=["id", "sid", "own"])
+            yield batch.drop_columns("text").append_column("own", pa.array([own.tobytes() for own in shingle_sets(batch, size)], pa.binary()))
 
-    found = docs.select("doc_id", "text").join(few, "doc_id", "left_semi").mapInArrow(run, "id long, sid binary, own binary").where("length(own) > 0")
-    return written(found, "sets").repartition("id").groupBy("id", "sid").agg(F.first("own").alias("own")).drop("sid")
+    found = docs.select("text", F.col("doc_id").cast("long").alias("id")).join(few, "id").select("text", "id", "home", "salt", "parts")
+    return written(found.mapInArrow(run, "id long, home long, salt long, parts long, own binary").where("length(own) > 0"), "sets")
 
 
 def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -503,16 +504,15 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     placed = classes.select("rep", "n", F.explode("prefix").alias("token"), F.col("rep").alias("label"), F.col("rep").alias("home"))
     stars = written(_hubs(placed, percent), "stars")
     nearest = stars.where("shared > 0").groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("a"), "b")
-    homes = components(nearest).select(F.col("node").alias("id"), F.col("label").alias("home"))
-    homes = written(homes.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id"), "homes")
+    homes = roots(nearest).select(F.col("node").alias("id"), F.col("label").alias("home"))
+    homes = homes.join(classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n")), "id")
     held = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c"), (8 * F.sum("n")).alias("bytes")).where((F.col("c") > MAX_HOME) | (F.col("bytes") > HOME_BYTES))
-    large = written(held.select("home", F.ceil(F.greatest(F.col("bytes") / HOME_BYTES, F.col("c") / MAX_HOME)).alias("parts")), "large")
-    sets = _sets(docs, homes.select("id"), size)
-    found = _home_links(homes.join(large, "home", "left_anti").select("id", "home"), sets, percent)
-    differences = None
-    if not large.limit(1).isEmpty():
-        salted = homes.join(large, "home").select("id", "home", F.pmod(F.xxhash64("id"), "parts").alias("salt"))
-        differences = written(_differences(salted, sets, percent), "differences")
+    large = held.select("home", F.ceil(F.greatest(F.col("bytes") / HOME_BYTES, F.col("c") / MAX_HOME)).cast("long").alias("parts"))
+    homes = written(homes.join(large, "home", "left").select("id", "home", F.pmod(F.xxhash64("id"), "parts").alias("salt"), "parts"), "homes")
+    sets = _sets(docs, homes, size)
+    found, differences = _home_links(sets.where("salt is null"), percent), None
+    if not homes.where("salt is not null").limit(1).isEmpty():
+        differences = written(_differences(sets.where("salt is not null"), percent), "differences")
         found = found.unionByName(differences.where("near").select(F.col("home").alias("a"), F.col("id").alias("b")))
     links = written(found, "links")
     labels = components(links).select(F.col("node").alias("rep"), "label")
@@ -531,7 +531,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     rest = written(rest, "rest")
     if not rest.limit(1).isEmpty():
         further = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(homes, "id", "left_anti")
-        sets = sets.unionByName(_sets(docs, further, size))
+        none = F.lit(None).cast("long")
+        sets = sets.unionByName(_sets(docs, further.select("id", F.col("id").alias("home"), none.alias("salt"), none.alias("parts")), size))
         links = written(links.unionByName(_verified(rest, sets, percent)), "links")
         labels = components(links).select(F.col("node").alias("rep"), "label")
     reps = classes.select("sid", "rep").join(labels, "rep", "left").select("sid", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("component_id"))
