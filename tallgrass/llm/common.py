@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into numpy arrays at once (a longer text goes alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +60,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             at = to
 
 
+def text_slices(texts: Iterator[pa.Array], limit: int = SLICE_BYTES) -> Iterator[list[pa.RecordBatch]]:
+    """For each array of texts, the list of its slices as batches of one column named text."""
+    for text in texts:
+        yield list(slices(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), limit=limit))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64): spreads every input bit over the word."""
     x = x.astype(np.uint64, copy=True)

@@ -13,14 +13,14 @@ abstain or there is nothing to fit on, every text with words is kept. Repeated r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, flat_text, mixed, slices, word_bounds, word_hashes
+from .common import LOWER, SPACE, flat_text, mixed, slices, text_slices, word_bounds, word_hashes
 
 MAX_TRAIN = 4_000
 BUCKETS = 1 << 13
@@ -183,21 +183,27 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     return {"weights": w.astype(np.float32), "bias": float(bias), "accuracies": table, "prior": prior}
 
 
-def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (probability of good) and quality (1 kept, 0 rejected); columns of those names are replaced."""
+def probability(docs: DataFrame, model: dict) -> Callable[[Column], Column]:
+    """The scorer as a function of a text column; only texts go to Python and only numbers come back."""
     weights, bias = docs.sparkSession.sparkContext.broadcast(model["weights"]), model["bias"]
-    docs = docs.drop("quality_score", "quality_pred")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            s = _text_stats(batch)
-            doc, bucket, value = features(s)
-            z = np.bincount(doc, value * weights.value[bucket], batch.num_rows) + bias
-            p = np.where(s["n"] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names, "quality_score", "quality_pred"])
+    def of(batch: pa.RecordBatch) -> np.ndarray:
+        s = _text_stats(batch)
+        doc, bucket, value = features(s)
+        z = np.bincount(doc, value * weights.value[bucket], batch.num_rows) + bias
+        return np.where(s["n"] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, schema + ", quality_score double, quality_pred int")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batches in text_slices(texts):
+            yield pa.array(np.concatenate([np.zeros(0), *map(of, batches)]), pa.float64())
+
+    return F.arrow_udf(run, "double")
+
+
+def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with quality_score (probability of good) and quality_pred (1 kept, 0 rejected); columns of those names are replaced."""
+    scored = docs.drop("quality_score", "quality_pred").withColumn("quality_score", probability(docs, model)(F.col("text")))
+    return scored.withColumn("quality_pred", (F.col("quality_score") >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -205,5 +211,5 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the scorer accepts."""
-    return score(docs, fit(docs)).where("quality_pred = 1").select(*docs.columns)
+    """The rows of documents that the scorer accepts, with all their columns as they are."""
+    return docs.where(probability(docs, fit(docs))(F.col("text")) >= THRESHOLD)

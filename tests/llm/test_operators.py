@@ -226,6 +226,14 @@ def test_language(spark, docs, edges):
     assert langid.stage(spark, edges, "").columns == edges.columns
 
 
+def test_filter_stages_leave_columns_alone(spark, docs):
+    clash = docs.select("*", F.col("doc_id").cast("int").alias("score"), *(F.concat(F.lit(c), "doc_id").alias(c) for c in ("quality_score", "quality_pred", "lang_pred", "ambiguous")))
+    rows = {r["doc_id"]: r for r in clash.collect()}
+    for stage in (quality.stage, langid.stage):
+        kept = stage(spark, clash, "").collect()
+        assert kept and all(r == rows[r["doc_id"]] for r in kept)
+
+
 def test_ambiguous_languages_are_rejected(spark):
     """Clean texts stay; texts half in one and half in another language, or in a language not learned, go."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null and length(text) > 600")
