@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into numpy arrays at once (a longer text goes alone).
@@ -47,12 +48,15 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about limit bytes of text at most."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, binary: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about limit bytes of text (or of a binary column) at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = flat_text(batch.column(text))
+        if binary:
+            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(text)).to_numpy())])
+        else:
+            _, offsets = flat_text(batch.column(text))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)

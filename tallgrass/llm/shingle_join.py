@@ -5,14 +5,14 @@ go last, the others by value. Two sets of Jaccard similarity 0.9 or more share a
 n - ceil(0.9 n) + 1 of each. Sets that are equal are one class from the start, so copies cost nothing.
 
 Round 1: within each prefix shingle's group, members of like size are paired with a hub; following the hub with
-which it shares most of its prefix leads each set to its home, whose root is one of its sets. Small homes (MAX_HOME
+which it shares most of its prefix leads each set to its home. Small homes (MAX_HOME
 sets, HOME_BYTES) meet in a task and are joined there: their sets are stored in a trie, which is walked adding up
 the overlap along shared paths and leaving a subtree as soon as the shingles that remain cannot reach the
 similarity; homes beyond a few dozen sets are probed by adding a shingle's nodes to the ranges of leaves below
 them, all at once.
 
-Large homes never meet in a task. Each member keeps its difference from the root (the shingles that only one of
-both has); similar sets have like differences: of sizes d and e, they have (d + e - s) / 2 in common at least, s
+Large homes never meet in a task. Their root is the member nearest to the shingles that most members have. Each
+member keeps its difference from the root (the shingles that only one of both has); similar sets have like differences: of sizes d and e, they have (d + e - s) / 2 in common at least, s
 being the largest symmetric difference that the similarity allows. Where that is nothing or less, both sets are
 similar to the root itself, a link that is found on the way. All others share one of their first
 d - (d + e - s) / 2 + 1 shingles in an order that puts last what many differences of the home have; members are
@@ -391,48 +391,68 @@ def _home_links(sets: DataFrame, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def _differences(sets: DataFrame, percent: int) -> DataFrame:
-    """id, home, n, near (similar to the home's root) and prefix: the differences of the members of sets (id, home, salt,
-    parts, own) from the root, as shingles that are the home's own. The root is there for every salt; it has no row."""
-    roots = sets.where("id = home").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    members = roots.withColumn("late", F.lit(0)).unionByName(sets.where("id <> home").withColumn("late", F.lit(1)))
-    dealt = members.select("home", "salt", "late", "id", "own").repartition("home", "salt").sortWithinPartitions("home", "salt", "late", "id", "own")
+def _differences(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """id, home, root, n, near (similar to the root) and prefix: the differences of the members of sets (id, home, salt,
+    own) from the roots (home, root, parts, own), as shingles that are the home's own. A root goes to each of its parts."""
+    spread = roots.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("late"), F.col("root").alias("id"), "own")
+    members = spread.unionByName(sets.select("home", "salt", F.lit(1).alias("late"), "id", "own"))
+    dealt = members.repartition("home", "salt").sortWithinPartitions("home", "salt", "late", "id", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, root, own_of_home, last = None, None, None, None
+        now, root, root_id, own_of_home, last = None, None, None, None, None
         for batch in batches:
             rows = []
-            for home, salt, key, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "id", "own")), strict=True):
+            for home, salt, late, key, raw in zip(*(batch.column(c).to_pylist() for c in ("home", "salt", "late", "id", "own")), strict=True):
                 own = np.frombuffer(raw, np.uint64)
-                if (home, salt) != now:
-                    now, root, own_of_home = (home, salt), own, mixed(np.array([home], np.int64).view(np.uint64))[0]
-                    last = None
-                if (key, raw) == last or own is root or key == home and np.array_equal(own, root):
-                    continue
-                last = (key, raw)
-                delta = np.setxor1d(own, root, assume_unique=True)
-                near = (100 + percent) * len(delta) <= (100 - percent) * (len(own) + len(root))
-                rows.append((key, home, len(own), near, np.sort(mixed(delta ^ own_of_home)).view(np.int64)))
+                if not late:
+                    now, root, root_id, own_of_home = (home, salt), own, key, mixed(np.array([home], np.int64).view(np.uint64))[0]
+                elif (home, salt) == now and (key, raw) != last:  # repeated rows have one place
+                    last = (key, raw)
+                    delta = np.setxor1d(own, root, assume_unique=True)
+                    near = (100 + percent) * len(delta) <= (100 - percent) * (len(own) + len(root))
+                    rows.append((key, home, root_id, len(own), near, np.sort(mixed(delta ^ own_of_home)).view(np.int64)))
             if rows:
-                cut = np.concatenate([[0], np.cumsum([len(r[4]) for r in rows])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[4] for r in rows])))
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))), lists], names=["id", "home", "n", "near", "prefix"])
+                cut = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[5] for r in rows])))
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))), lists], names=["id", "home", "root", "n", "near", "prefix"])
 
-    return dealt.mapInArrow(run, "id long, home long, n long, near boolean, prefix array<long>")
+    return dealt.mapInArrow(run, "id long, home long, root long, n long, near boolean, prefix array<long>")
 
 
-def _size_class(d: int) -> int:
-    """Classes of sizes of differences, four to a doubling."""
-    return int(4 * np.log2(d))
+def _centers(sets: DataFrame, percent: int) -> DataFrame:
+    """The member of each home of sets (id, home, salt, parts, own) that is nearest to the shingles that most of them have:
+    (home, root, parts, own). Those shingles are twice a mean set at most."""
 
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "own", binary=True):
+            raw = [x.as_buffer() for x in batch.column("own")]
+            home = np.repeat(batch.column("home").to_numpy(), [len(x) // 8 for x in raw])
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["home", "token"])
 
-_LOWEST = [next(d for d in range(int(2 ** (c / 4)), 1 << 30) if _size_class(d) >= c) for c in range(116)]
+    def packed(lists: pa.Array) -> pa.Array:
+        return pa.array([np.sort(x.values.to_numpy().view(np.uint64)).tobytes() for x in lists], pa.binary())
+
+    counts = sets.select("home", "own").mapInArrow(flat, "home long, token long").groupBy("home", "token").agg(F.count(F.lit(1)).alias("c"))
+    members = sets.groupBy("home").agg(F.count(F.lit(1)).alias("m"), F.first("parts").alias("parts"))
+    common = counts.join(members, "home").where("2 * c > m").groupBy("home").agg(F.collect_list("token").alias("own"))
+    common = members.join(common, "home", "left").withColumn("own", F.coalesce("own", F.expr("cast(array() as array<bigint>)")))
+    common = written(common.select("home", F.lit(None).cast("long").alias("root"), "parts", F.arrow_udf(packed, "binary")("own").alias("own")), "common")
+    nearest = _differences(sets, common, percent).groupBy("home").agg(F.min(F.struct(F.size("prefix").alias("d"), "id")).alias("m")).select("home", F.col("m.id").alias("id"))
+    return written(sets.join(written(nearest, "nearest"), ["home", "id"]).groupBy("home", F.col("id").alias("root"), "parts").agg(F.min("own").alias("own")), "centers")
+
+
+def _size_levels(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(level, width of a class of difference sizes, largest symmetric difference) of a set of n shingles: by doublings of
+    the larger set's size, those that a partner may have."""
+    most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+    levels = range(n.bit_length(), (100 * n // percent).bit_length() + 1)
+    return [(v, max(1, (100 - percent) * (1 << v) // (8 * (100 + percent))), most) for v in levels]
 
 
 def _difference_tokens(differences: DataFrame, percent: int, heavy: np.ndarray) -> DataFrame:
     """token, rep, n, home of the prefixes of differences: one prefix for each class of sizes that a partner may have.
 
-    A token names the shingle and both classes; home keeps members of one class apart from pairs of two classes."""
+    A token names the shingle, the level and both classes; home keeps members of one class apart from pairs of two."""
     rare_last = differences.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,20 +462,23 @@ def _difference_tokens(differences: DataFrame, percent: int, heavy: np.ndarray)
                 part, tokens, rows = batch.slice(k, 256), [], []
                 for key, n, delta in zip(part.column("id").to_pylist(), part.column("n").to_pylist(), part.column("prefix"), strict=True):
                     own = delta.values.to_numpy().view(np.uint64)
-                    d, most = len(own), (100 - percent) * (n + 100 * n // percent) // (100 + percent)
+                    d = len(own)
                     if len(last):
                         known = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
                         own = np.concatenate([own[~known], own[known]])
-                    mine = _size_class(d)
-                    for c in range(_size_class(max(1, d - most)), _size_class(d + most) + 1):
-                        take = d - max(1, -((most - d - _LOWEST[c]) // 2)) + 1
-                        if take > 0 and _size_class(_LOWEST[c]) == c:
-                            tokens.append(mixed(own[:take] ^ np.uint64(min(c, mine) << 8 | max(c, mine))).view(np.int64))
-                            rows.append((key, n, key if c == mine else -1 - mine))
+                    for level, width, most in _size_levels(n, percent):
+                        mine = d // width
+                        for c in range(max(1, d - most) // width, (d + most) // width + 1):
+                            # what both have in common at least, of sizes d and c * width or more
+                            take = d - max(1, -((most - d - max(1, c * width)) // 2)) + 1
+                            if take > 0:
+                                name = mixed(np.array([level << 56 | min(c, mine) << 28 | max(c, mine)], np.uint64))[0]
+                                tokens.append(mixed(own[:take] ^ name).view(np.int64))
+                                rows.append((key, n, key if c == mine else -1 - mine))
                 count = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), *(pa.array(np.repeat(np.array([r[x] for r in rows], np.int64), count)) for x in range(3))], names=["token", "rep", "n", "home"])
 
-    return differences.select("id", "n", "prefix").mapInArrow(run, "token long, rep long, n long, home long")
+    return differences.where("size(prefix) > 0").select("id", "n", "prefix").mapInArrow(run, "token long, rep long, n long, home long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -512,8 +535,9 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     sets = _sets(docs, homes, size)
     found, differences = _home_links(sets.where("salt is null"), percent), None
     if not homes.where("salt is not null").limit(1).isEmpty():
-        differences = written(_differences(sets.where("salt is not null"), percent), "differences")
-        found = found.unionByName(differences.where("near").select(F.col("home").alias("a"), F.col("id").alias("b")))
+        dense = sets.where("salt is not null")
+        differences = written(_differences(dense, _centers(dense, percent), percent), "differences")
+        found = found.unionByName(differences.where("near").select(F.col("root").alias("a"), F.col("id").alias("b")))
     links = written(found, "links")
     labels = components(links).select(F.col("node").alias("rep"), "label")
     known = homes.select(F.col("id").alias("rep"), "home")
