@@ -1,18 +1,19 @@
 """Main-text extraction by a suffix array over each host's pages.
 
-A page is split into blocks of visible text by its markup; each block has a zone: content (inside article
-or main), chrome (inside nav, header, footer, aside, form, an advert, notice, comment or menu, by tag, role,
-class or id) or open (neither). The token streams of a host's pages, blocks and all, are concatenated and
-their suffixes sorted by the first WINDOW tokens (prefix doubling); windows that occur on two or more
-distinct pages are long repeated substrings, and what they cover is boilerplate. Open blocks keep their
-place if most of their tokens are unique runs. Chrome goes in any case, and content stays in any case: an
-article that many pages repeat is still their article.
-
-Hosts are dealt in parts of about PART pages by a hash of page_id, so a host with a third of all pages is
-many tasks' work; a part still holds many pages of the host, where its boilerplate repeats.
-
-Defined results: null or empty html has no blocks and gives the empty text with n_chars 0; a null url is a
-host of its own. Repeated rows each get a row. Further columns are dropped.
+A page is split into blocks of visible text by its markup; each block has a zone, a hint from tags, roles, classes
+and ids: content (inside article or main), chrome (inside nav, header, footer, aside, form, an advert, notice, comment
+or menu) or open (neither). Open blocks are settled by the host's suffix array: the token streams of all its pages,
+blocks and all, are concatenated, and each suffix gets a rank by its first WINDOW tokens. The array is a Spark
+table of (rank, page, place), dealt by rank and never by host, so that a host with a third of all pages is many tasks'
+work and repeats are found on any two of its pages; ranks that occur on two distinct pages are long repeated
+substrings, overlapping ones make up the longer runs, and what they cover is boilerplate. Open blocks stay if most
+of their tokens are unique runs. Chrome goes in any case, and content stays in any case: an article that many pages
+repeat is still their article. A host without open blocks needs no array.
+
+Pages are distinct if their html is: copies of a page do not make its text a repeat.
+
+Defined results: null or empty html has no blocks and gives the empty text with n_chars 0; pages without a url, or
+with one that names no host, are a host together. Repeated rows each get a row. Further columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SPACE, flat_text, mixed, slices, word_bounds, word_hashes, written
+
 WINDOW = 16
-PART = 256
-MAX_BROADCAST = 100_000
 CHROME, OPEN, CONTENT = 0, 1, 2
 # Elements by what they do to text.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "math"}
@@ -39,7 +40,10 @@ INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins k
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open p or li ends where one of these begins.
 ENDS_P = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "footer", "header", "nav", "aside", "form", "table", "blockquote", "pre", "main", "figure", "hr"}
-NOISE = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|comments?|replies|disqus|side-?bar|menu|nav\w*|breadcrumbs?|footer|header|related|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])")
+NOISE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|comments?|replies|disqus|sidebar|menu|nav\w*|breadcrumbs?|footer|header|related|widget|pagination|pager|toolbar|skip)\Z")
+#: A class that begins so tells of a page's layout, not of what an element is.
+LAYOUT = {"no", "has", "with", "without", "is", "not"}
+NAME_PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 ROLES = re.compile(r"(?i)\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 MARKS = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -59,6 +63,26 @@ def unseen(attributes: str) -> bool:
     return False
 
 
+def noisy(names: str) -> set[str]:
+    """The words of a class or id that speak for chrome: the first or last part of one of its names."""
+    found = set()
+    for name in names.replace("side-bar", "sidebar").split():
+        parts = [p.lower() for p in NAME_PARTS.split(name) if p]
+        if parts and parts[0] not in LAYOUT:
+            found |= {p for p in (parts[0], parts[-1]) if NOISE.match(p)}
+    return found
+
+
+def is_chrome(tag: str, attributes: str, zone: int) -> bool:
+    """Whether an element begins chrome. A header within content belongs to it: it has the title."""
+    own = {"header"} if zone == CONTENT else set()
+    if tag in AWAY - own or attributes and ROLES.search(attributes):
+        return True
+    if not attributes or tag in BODY or tag in ("html", "body"):
+        return False
+    return any(noisy(x[0] or x[1] or x[2]) - own for x in MARKS.findall(attributes))
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block of visible text, in page order."""
     out: list[tuple[int, str]] = []
@@ -114,7 +138,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         now, away = zone, hidden or tag in HIDDEN or unseen(attributes)
         if tag in BODY and zone != CHROME:
             now = CONTENT
-        elif tag in AWAY or attributes and (ROLES.search(attributes) or any(NOISE.search(x[0] or x[1] or x[2]) for x in MARKS.findall(attributes)) and tag not in ("html", "body", "article", "main")):
+        elif is_chrome(tag, attributes, zone):
             now = CHROME
         if (now, away) != (zone, hidden):
             flush()
@@ -128,96 +152,107 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which tokens lie in a window of so many tokens that occurs on two pages or more.
-
-    Ranks of all suffixes by their first 1, 2, 4, .. window tokens; equal ranks in the suffix array's order
-    are occurrences of one substring. A window never crosses to the next page."""
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < window:
-        return covered
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    k = 1
-    while k < window:
-        later = np.zeros(n, np.int64)
-        later[:-k] = np.where(page[k:] == page[:-k], rank[k:], 0)
-        rank = np.unique(rank * np.int64(n + 2) + later, return_inverse=True)[1].astype(np.int64) + 1
-        k *= 2
-    whole = np.zeros(n, bool)
-    whole[: n - window + 1] = page[window - 1 :] == page[: n - window + 1]
-    array = np.argsort(rank, kind="stable")  # the suffix array
-    array = array[whole[array]]
-    ranks, pages = rank[array], page[array]
-    first = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else np.zeros(0, int)
-    if not len(first):
-        return covered
-    low, high = np.minimum.reduceat(pages, first), np.maximum.reduceat(pages, first)
-    many = np.repeat(low != high, np.diff(np.append(first, len(ranks))))
-    change = np.zeros(n + 1, np.int64)
-    starts = array[many]
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + window, -1)
-    return np.cumsum(change[:-1]) > 0
+def suffix_ranks(texts: list[str], site: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each suffix of a page's token stream by its first window tokens (equal for equal ones of a host), and
+    the block of each token. Suffixes that are shorter have none."""
+    data, offsets = flat_text(pa.array([" ".join(texts)]))
+    starts, ends = word_bounds(~SPACE[data], offsets)
+    words = word_hashes(data, starts, ends)
+    sizes = np.cumsum([0] + [len(t.encode("utf-8", "replace")) + 1 for t in texts])
+    block = np.searchsorted(sizes, starts, "right") - 1
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), block
+    ranks = np.full(n, np.array([site], np.int64).view(np.uint64)[0])
+    for k in range(window):
+        ranks = mixed(ranks * np.uint64(3) ^ words[k : n + k])
+    return ranks.view(np.int64), block
 
 
 SEP = "\x1f"
+PARSED = "page_id long, url string, site long, page long, n_open int, packed binary"
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks, n_dropped of each page."""
-    pages = pages.select("page_id", "url", "html")
+def parse(pages: DataFrame) -> DataFrame:
+    """PARSED of each page: its host's and its html's hash, how many open blocks it has, and its blocks, compressed."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    counts = pages.groupBy(host.alias("host")).agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
-    few = F.broadcast(counts) if counts.count() <= MAX_BROADCAST else counts
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):  # a page's blocks travel compressed
-                part = batch.slice(k, 64)
-                packed = [press.compress("\n".join(f"{z}{SEP}{t}" for z, t in blocks(page or "")).encode("utf-8", "replace")) for page in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url"), part.column("host"), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "packed"])
+        for batch in slices(batches, "html", 1 << 20):
+            found = [blocks(page or "") for page in batch.column("html").to_pylist()]
+            packed = [press.compress("\n".join(f"{z}{SEP}{t}" for z, t in own).encode("utf-8", "replace")) for own in found]
+            n_open = pa.array([sum(z == OPEN for z, _ in own) for own in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("site"), batch.column("page"), n_open, pa.array(packed, pa.binary())], names=[c.split()[0] for c in PARSED.split(", ")])
+
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host).alias("site"), F.xxhash64("html").alias("page"), "html")
+    return keyed.mapInArrow(run, PARSED)
+
+
+def unpacked(packed: bytes, opened: zstandard.ZstdDecompressor) -> list[tuple[int, str]]:
+    raw = opened.decompress(packed, max_output_size=1 << 31).decode() if packed else ""
+    return [(int(b[0]), b[2:]) for b in raw.split("\n")] if raw else []
 
-    parsed = pages.withColumn("host", host).mapInArrow(parse, "page_id long, url string, host string, packed binary")
-    dealt = parsed.join(few, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1)))).drop("parts")
 
-    def whole(group: list[tuple]) -> pa.RecordBatch:
+def suffixes(parsed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(rank, site, page, place) of the pages' suffixes; place is -1 for all that touch no open block, one row per rank and page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
-        texts, words, owner, block_of = [], [], [], []
-        for page_id, url, packed in group:
-            raw = opened.decompress(packed, max_output_size=1 << 30).decode() if packed else ""
-            texts.append([(int(b[0]), b[2:]) for b in raw.split("\n")] if raw else [])
-        number = {}
-        for p, page in enumerate(texts):
-            for b, (_, text) in enumerate(page):
-                own = text.split()
-                words += [number.setdefault(w, len(number)) for w in own]
-                owner.append(np.full(len(own), p))
-                block_of.append(np.full(len(own), b))
-        page = np.concatenate(owner) if owner else np.zeros(0, int)
-        block = np.concatenate(block_of) if block_of else np.zeros(0, int)
-        covered = repeated(np.array(words, np.int64), page)
-        offsets = np.cumsum([0] + [len(t) for t in texts])
-        flat = offsets[page] + block if len(page) else page
-        share = np.bincount(flat, covered, offsets[-1]) / np.maximum(np.bincount(flat, minlength=offsets[-1]), 1)
-        rows = []
-        for p, (page_id, url, _) in enumerate(group):
-            kept = [t for b, (z, t) in enumerate(texts[p]) if z == CONTENT or z == OPEN and share[offsets[p] + b] <= 0.5]
-            text = "\n".join(kept)
-            rows.append((page_id, url, text, len(text), len(texts[p]), len(texts[p]) - len(kept)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_dropped"])
-
-    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
         for batch in batches:
-            for h, part, page_id, url, packed in zip(*(batch.column(c).to_pylist() for c in ("host", "part", "page_id", "url", "packed")), strict=True):
-                if (h, part) != now or len(group) >= 4 * PART:
-                    if group:
-                        yield whole(group)
-                    now, group = (h, part), []
-                group.append((page_id, url, packed))
-        if group:
-            yield whole(group)
-
-    return dealt.repartition("host", "part").sortWithinPartitions("host", "part", "page_id").mapInArrow(hosts, "page_id long, url string, text string, n_chars long, n_blocks long, n_dropped long")
+            for site, page, packed in zip(*(batch.column(c).to_pylist() for c in ("site", "page", "packed")), strict=True):
+                own = unpacked(packed, opened)
+                ranks, block = suffix_ranks([t for _, t in own], site, window)
+                if not len(ranks):
+                    continue
+                is_open = np.concatenate([[0], np.cumsum(np.array([z == OPEN for z, _ in own])[block])])
+                touches = is_open[window:] > is_open[: len(ranks)]
+                place = np.flatnonzero(touches)
+                rest = np.unique(ranks[~touches])
+                columns = [np.concatenate([ranks[place], rest]), np.concatenate([place, np.full(len(rest), -1)])]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.full(len(columns[0]), site)), pa.array(np.full(len(columns[0]), page)), pa.array(columns[1], pa.int64())], names=["rank", "site", "page", "place"])
+
+    return parsed.select("site", "page", "packed").mapInArrow(run, "rank long, site long, page long, place long")
+
+
+def repeats(parsed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(site, page, places): where a window begins that another page of the host has too, of those that touch open blocks."""
+    hosts = parsed.groupBy("site").agg(F.max("n_open").alias("most"), F.min("page").alias("lo"), F.max("page").alias("hi")).where("most > 0 and lo < hi").select("site")
+    array = suffixes(parsed.join(hosts, "site", "left_semi"), window)
+    ranks = array.groupBy("rank").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo < hi").select("rank")
+    places = array.where("place >= 0").distinct().join(ranks, "rank", "left_semi")
+    return places.groupBy("site", "page").agg(F.collect_list("place").alias("places"))
+
+
+RESULT = "page_id long, url string, text string, n_chars long, n_blocks long, n_dropped long, n_settled long"
+
+
+def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """RESULT of each page; n_settled counts the blocks that the suffix array decided."""
+    parsed = written(parse(pages), "parsed")
+    whole = parsed.where("n_open = 0").select("page_id", "url", "packed", F.expr("cast(null as array<bigint>)").alias("places"))
+    if not parsed.where("n_open > 0").limit(1).isEmpty():
+        some = parsed.where("n_open > 0").join(repeats(parsed, window), ["site", "page"], "left")
+        whole = whole.unionByName(some.select("page_id", "url", "packed", "places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "packed", 1 << 20, binary=True):
+            rows = []
+            for page_id, url, packed, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "places")), strict=True):
+                own = unpacked(packed, opened)
+                share = np.zeros(len(own))
+                if places:
+                    _, block = suffix_ranks([t for _, t in own], 0, window)
+                    change = np.zeros(len(block) + 1, np.int64)
+                    np.add.at(change, places, 1)
+                    np.add.at(change, np.array(places) + window, -1)
+                    covered = np.cumsum(change[:-1]) > 0
+                    share = np.bincount(block, covered, len(own)) / np.maximum(np.bincount(block, minlength=len(own)), 1)
+                kept = [t for (z, t), c in zip(own, share, strict=True) if z == CONTENT or z == OPEN and c <= 0.5]
+                text = "\n".join(kept)
+                rows.append((page_id, url, text, len(text), len(own), len(own) - len(kept), sum(z == OPEN for z, _ in own)))
+            types = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
+
+    return whole.mapInArrow(run, RESULT)

@@ -138,22 +138,6 @@ def test_pages_boilerplate_without_article(spark):
     assert all("menu" not in r["text"] and r["n_chars"] > 200 for r in out)
 
 
-def test_repeated_windows_by_brute_force():
-    rng = np.random.default_rng(2)
-    for _ in range(20):
-        tokens, page = rng.integers(0, 3, 120), np.sort(rng.integers(0, 4, 120))
-        w, want = 4, np.zeros(120, bool)
-        where = collections.defaultdict(list)
-        for i in range(120 - w + 1):
-            if page[i] == page[i + w - 1]:
-                where[tuple(tokens[i : i + w])].append(i)
-        for at in where.values():
-            if len({page[i] for i in at}) > 1:
-                for i in at:
-                    want[i : i + w] = True
-        assert (pages.repeated(tokens, page, w) == want).all()
-
-
 def test_packing_round_trip(spark, docs, texts, edges):
     from tokenizers import Tokenizer
 
