@@ -48,7 +48,7 @@ from .graph import components, roots
 HEAVY = 4
 MAX_HEAVY = 1 << 19
 #: Broadcast of the ids whose sets are needed: up to this many, beyond it a shuffled join.
-MAX_BROADCAST = 2_000_000
+MAX_BROADCAST = 500_000
 #: Percent of a set, in the order of values, in which the shingles that go last are looked for (two needed prefixes at least).
 LOOK = 30
 #: Sets of a home that meet in one task, at most, and their bytes; what is larger is joined by differences from its root.
@@ -392,7 +392,7 @@ def _home_links(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _differences(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """id, home, root, n, near (similar to the root) and prefix: the differences of the members of sets (id, home, salt,
+    """id, home, root, n, root_n (sizes), near (similar to the root) and prefix: the differences of the members of sets (id, home, salt,
     own) from the roots (home, root, parts, own), as shingles that are the home's own. A root goes to each of its parts."""
     spread = roots.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("late"), F.col("root").alias("id"), "own")
     members = spread.unionByName(sets.select("home", "salt", F.lit(1).alias("late"), "id", "own"))
@@ -410,13 +410,13 @@ def _differences(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                     last = (key, raw)
                     delta = np.setxor1d(own, root, assume_unique=True)
                     near = (100 + percent) * len(delta) <= (100 - percent) * (len(own) + len(root))
-                    rows.append((key, home, root_id, len(own), near, np.sort(mixed(delta ^ own_of_home)).view(np.int64)))
+                    rows.append((key, home, root_id, len(own), len(root), near, np.sort(mixed(delta ^ own_of_home)).view(np.int64)))
             if rows:
-                cut = np.concatenate([[0], np.cumsum([len(r[5]) for r in rows])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[5] for r in rows])))
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))), lists], names=["id", "home", "root", "n", "near", "prefix"])
+                cut = np.concatenate([[0], np.cumsum([len(r[6]) for r in rows])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[6] for r in rows])))
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, t in enumerate((*[pa.int64()] * 5, pa.bool_()))), lists], names=["id", "home", "root", "n", "root_n", "near", "prefix"])
 
-    return dealt.mapInArrow(run, "id long, home long, root long, n long, near boolean, prefix array<long>")
+    return dealt.mapInArrow(run, "id long, home long, root long, n long, root_n long, near boolean, prefix array<long>")
 
 
 def _centers(sets: DataFrame, percent: int) -> DataFrame:
@@ -446,13 +446,14 @@ def _size_levels(n: int, percent: int) -> list[tuple[int, int, int]]:
     the larger set's size, those that a partner may have."""
     most = (100 - percent) * (n + 100 * n // percent) // (100 + percent)
     levels = range(n.bit_length(), (100 * n // percent).bit_length() + 1)
-    return [(v, max(1, (100 - percent) * (1 << v) // (8 * (100 + percent))), most) for v in levels]
+    return [(v, max(1, (100 - percent) * (1 << v) // (4 * (100 + percent))), most) for v in levels]
 
 
 def _difference_tokens(differences: DataFrame, percent: int, heavy: np.ndarray) -> DataFrame:
-    """token, rep, n, home of the prefixes of differences: one prefix for each class of sizes that a partner may have.
+    """token, rep, n, label, home of the prefixes of differences: one prefix for each class of sizes that a partner may have.
 
-    A token names the shingle, the level and both classes; home keeps members of one class apart from pairs of two."""
+    A token names the shingle, the level and both classes; home keeps members of one class apart from pairs of two.
+    Two members that are both similar to the root are linked already, so such a member looks only for others."""
     rare_last = differences.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,25 +461,26 @@ def _difference_tokens(differences: DataFrame, percent: int, heavy: np.ndarray)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part, tokens, rows = batch.slice(k, 256), [], []
-                for key, n, delta in zip(part.column("id").to_pylist(), part.column("n").to_pylist(), part.column("prefix"), strict=True):
+                for key, n, root_n, near, label, delta in zip(*(part.column(c).to_pylist() for c in ("id", "n", "root_n", "near", "label")), part.column("prefix"), strict=True):
                     own = delta.values.to_numpy().view(np.uint64)
                     d = len(own)
                     if len(last):
                         known = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
                         own = np.concatenate([own[~known], own[known]])
+                    far = (100 - percent) * (-(-n * percent // 100) + root_n) // (100 + percent) if near else 0  # a partner that is not near has more
                     for level, width, most in _size_levels(n, percent):
                         mine = d // width
-                        for c in range(max(1, d - most) // width, (d + most) // width + 1):
+                        for c in range(max(1, d - most, far + 1) // width, (d + most) // width + 1):
                             # what both have in common at least, of sizes d and c * width or more
                             take = d - max(1, -((most - d - max(1, c * width)) // 2)) + 1
                             if take > 0:
                                 name = mixed(np.array([level << 56 | min(c, mine) << 28 | max(c, mine)], np.uint64))[0]
                                 tokens.append(mixed(own[:take] ^ name).view(np.int64))
-                                rows.append((key, n, key if c == mine else -1 - mine))
+                                rows.append((key, n, label, key if c == mine else -1 - mine))
                 count = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), *(pa.array(np.repeat(np.array([r[x] for r in rows], np.int64), count)) for x in range(3))], names=["token", "rep", "n", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)])), *(pa.array(np.repeat(np.array([r[x] for r in rows], np.int64), count)) for x in range(4))], names=["token", "rep", "n", "label", "home"])
 
-    return differences.where("size(prefix) > 0").select("id", "n", "prefix").mapInArrow(run, "token long, rep long, n long, home long")
+    return differences.where("size(prefix) > 0").select("id", "n", "root_n", "near", "label", "prefix").mapInArrow(run, "token long, rep long, n long, label long, home long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -550,7 +552,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     kept = lambda n: least + 1 - F.ceil(F.col(n) * percent / 100)
     rest = _across(rows, percent).where(F.col("shared") >= F.greatest(F.lit(1), F.least(kept("na"), kept("nb")))).select("a", "b")
     if differences is not None:
-        own = _difference_tokens(differences, percent, _heavy(differences)).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        labelled = differences.join(labels.withColumnRenamed("rep", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        own = _difference_tokens(labelled, percent, _heavy(differences))
         rest = rest.unionByName(_across(own, percent).select("a", "b"))
     rest = written(rest, "rest")
     if not rest.limit(1).isEmpty():
