@@ -111,9 +111,15 @@ def summary(series: DataFrame, interest: str = "simple", calmar: str = "referenc
     return df.select(*keys, *DIRECTIONS, F.lit(1).cast("long").alias("count"))
 
 
-def triplet(value: Column, long: Column, short: Column) -> Column:
+def since(series: DataFrame, start: str) -> DataFrame:
+    """Net returns of a daily() frame from a day on: their sum, and their mean as a year's."""
+    part = series.where(F.col("time") >= F.lit(start).cast("timestamp"))
+    return part.groupBy(*SERIES).agg(F.sum("net_ret").alias("cumulative_return"), (F.avg("net_ret") * DAYS).alias("annualized_return"))
+
+
+def triplet(value: Column, long: Column, short: Column, form: str = "%.6g") -> Column:
     """A metric with its baselines, as 'v(long,short)'."""
-    show = lambda c: F.coalesce(F.format_string("%.6g", c), F.lit("nan"))
+    show = lambda c: F.coalesce(F.format_string(form, c), F.lit("nan"))
     return F.concat(show(value), F.lit("("), show(long), F.lit(","), show(short), F.lit(")"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.compiler import evaluate
 from ..sources.store import delete, exists, merged, replace
 
 KEYS = ("version", "factor_name", "instrument_id", "start_date", "end_date")
@@ -12,9 +13,13 @@ SCHEMA = "method string, version string, factor_name string, instrument_id strin
 
 
 def read(spark: SparkSession, path: str, names: list[str] | None = None, versions: list[str] | None = None, collections: list[str] | None = None) -> DataFrame:
-    df = spark.read.schema(SCHEMA).parquet(path)
-    for column, wanted in (("factor_name", names), ("version", versions), ("collection", collections)):
-        df = df.where(F.col(column).isin(wanted)) if wanted else df
+    return wanted(spark.read.schema(SCHEMA).parquet(path), names, versions, collections)
+
+
+def wanted(df: DataFrame, names: list[str] | None = None, versions: list[str] | None = None, collections: list[str] | None = None) -> DataFrame:
+    """Records of these names, versions and collections; None asks for all."""
+    for column, some in (("factor_name", names), ("version", versions), ("collection", collections)):
+        df = df.where(F.col(column).isin(some)) if some else df
     return df
 
 
@@ -42,6 +47,22 @@ def formulas(df: DataFrame) -> dict[str, str]:
     return {r["factor_name"]: r["f"][0] for r in rows}
 
 
+def values(panel: DataFrame, records: DataFrame, names: list[str], version: str, collections: list[str]) -> DataFrame:
+    """panel with the values of stored factors as columns of their names; a column of such a name is replaced."""
+    if len(set(names)) < len(names) or not collections:
+        raise ValueError("names are given once each, and one collection at least")
+    found = formulas(wanted(records, names, [version], collections))
+    if missing := sorted(set(names) - set(found)):
+        raise ValueError(f"no formula of version {version} for {', '.join(missing)}")
+    keep = [c for c in panel.columns if c not in names]
+    return evaluate(panel.select(*keep), {n: found[n] for n in names}, keep)
+
+
+def other_runs(df: DataFrame, version: str, collection: str) -> DataFrame:
+    """Records but those of a version in a collection."""
+    return df.where(~((F.col("version").eqNullSafe(version)) & (F.col("collection").eqNullSafe(collection))))
+
+
 def versions(df: DataFrame) -> DataFrame:
     return df.groupBy("collection").agg(F.sort_array(F.collect_set("version"), asc=False).alias("versions"))
 

@@ -9,6 +9,8 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import metrics
+from .backtest import Options
 from .xsection import information
 
 MODELS = {"linear": LinearRegression, "tree": DecisionTreeRegressor, "forest": RandomForestRegressor, "boosted": GBTRegressor}
@@ -52,6 +54,13 @@ def rolling(df: DataFrame, factors: list[str], model: str = "linear", grid: Iter
     return out if out is not None else df.drop("_x", "_month").withColumn("prediction", F.lit(None).cast("double")).limit(0)
 
 
+def backtested(predictions: DataFrame, name: str = "signal", options: Options = Options()) -> DataFrame:
+    """The summary of predictions (instrument_id, time, prediction, future_ret) as a factor's positions."""
+    keep = [c for c in ("instrument_id", "time", "future_ret", "is_rollover") if c in predictions.columns]
+    frame = predictions.select(*keep, F.lit(name).alias("factor_name"), F.col("prediction").alias("factor_value"))
+    return metrics.summary(metrics.daily(frame, options.fees, options.rollover_cost), options.interest, options.calmar)
+
+
 def top_return(predictions: DataFrame, n: int = 10, label: str = "future_ret") -> DataFrame:
     """Mean label of each time's n largest predictions."""
     order = Window.partitionBy("time").orderBy(F.desc("prediction"), "instrument_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import root_column
+
 PRICES = ("open", "high", "low", "close")
 PANEL = (*PRICES, "volume", "position")
 
@@ -26,16 +28,36 @@ def check_keys(df: DataFrame, keys: tuple[str, ...] = ("instrument_id", "time"))
         raise ValueError(f"duplicate key {twice[0].asDict()}")
 
 
-def scan(spark: SparkSession, path: str, instruments: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """A stored panel; instrument and time predicates go down to the files."""
+def _stored(spark: SparkSession, path: str, names: dict[str, str | Column] | None) -> DataFrame:
+    """A table, with its columns under the given names (all under their own without)."""
     df = spark.read.parquet(path)
-    if instruments:
-        df = df.where(F.col("instrument_id").isin(instruments))
+    return df.select(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in names.items())) if names else df
+
+
+def _between(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start:
         df = df.where(F.col("time") >= F.lit(start).cast("timestamp"))
     return df.where(F.col("time") <= F.lit(end).cast("timestamp")) if end else df
 
 
+def scan(spark: SparkSession, path: str, instruments: list[str] | None = None, start: str | None = None, end: str | None = None, names: dict[str, str | Column] | None = None) -> DataFrame:
+    """A stored panel; instrument and time predicates go down to the files, and prune the folders of one that is partitioned."""
+    df = _stored(spark, path, names)
+    return _between(df.where(F.col("instrument_id").isin(instruments)) if instruments else df, start, end)
+
+
+def scan_symbols(spark: SparkSession, path: str, symbols: list[str], start: str | None = None, end: str | None = None, names: dict[str, str | Column] | None = None) -> DataFrame:
+    """Prices of listed contracts by symbol and time, in that order, with the root of each; names are looked for in any case."""
+    df = _stored(spark, path, names).withColumn("symbol", F.upper(F.trim("symbol"))).withColumn("instrument_id", root_column(F.col("symbol")))
+    return _between(df.where(F.col("symbol").isin([s.strip().upper() for s in symbols])), start, end).orderBy("symbol", "time")
+
+
+def contract_info(contracts: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """The instruments that are listed, or those of them that are asked for."""
+    known = contracts.select("instrument_id").distinct()
+    return known.where(F.col("instrument_id").isin(wanted)) if wanted else known
+
+
 def weighted_price(panel: DataFrame, factor: str = "weighted_factor", prices: tuple[str, ...] = PRICES) -> DataFrame:
     """Prices times the adjustment factor; a factor of 0 or null counts as 1."""
     f = F.coalesce(F.when(F.col(factor) != 0, F.col(factor)), F.lit(1.0))
