@@ -80,9 +80,13 @@ def best_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(select.best_failed(summary, {"Net Return": (999.0, 999.0, 1)}))
 
 
-@query("look_ahead", f"WITH {PANEL_SQL}, n AS (SELECT count(*) AS c FROM panel WHERE time IN (TIMESTAMP '1996-06-03', TIMESTAMP '1999-03-01')) SELECT unnest(['momentum', 'reversal']) AS factor_name, CAST(0 AS BIGINT) AS changed, c AS compared, true AS passed FROM n")
+@query("look_ahead", f"""WITH {PANEL_SQL}, t AS (SELECT time, ntile(20) OVER (ORDER BY time) AS p FROM (SELECT DISTINCT time FROM panel)), c AS (SELECT max(time) AS cut FROM t GROUP BY p),
+ peek AS (SELECT instrument_id, time, lead(close) OVER ({_I}) AS v FROM panel), n AS (SELECT count(*) AS compared, count(v) AS seen FROM peek WHERE time IN (SELECT cut FROM c))
+ SELECT unnest(['momentum', 'reversal', 'peeking']) AS factor_name, unnest([0, 0, seen]) AS changed, compared, unnest([true, true, seen = 0]) AS passed FROM n""")
 def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.look_ahead(panels.lineitem_panel(spark, sf_dir), TESTED, ["1996-06-03", "1999-03-01"])
+    """Two factors that look back only, and one of a column that knows the next day."""
+    knowing = lambda df: df.withColumn("next_close", F.lead("close").over(panels.by_time()))
+    return select.look_ahead(panels.lineitem_panel(spark, sf_dir), TESTED | {"peeking": "Neg(next_close)"}, prepare=knowing)
 
 
 # --- cross-sections over the suppliers' nations: many instruments a day
@@ -248,18 +252,36 @@ def _simulated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return frame, strategy.simulate(frame)
 
 
-@query("strategy")
+# The equity's path as a recursion over each instrument's days.
+_TRUNC = "CAST(coalesce(trunc({}), 0) AS BIGINT)".format
+_LOG = f"""WITH RECURSIVE {_V}, m AS (SELECT v.instrument_id, v.time, v.factor_value, p.open, p.close FROM vals v JOIN panel p ON v.instrument_id = p.instrument_id AND v.time = p.time WHERE v.factor_name = 'momentum'),
+ s AS (SELECT instrument_id, time, open, lag(factor_value) OVER w AS f, lead(open) OVER w AS next_open, first_value(open) OVER w AS fo, row_number() OVER w AS rn FROM m WINDOW w AS ({_I})),
+ t AS MATERIALIZED (SELECT *, {_TRUNC('1000000.0 * f / (open * 10.0)')} AS wanted, {_TRUNC('1000000.0 / (fo * 10.0)')} AS ll, {_TRUNC('-1000000.0 / (fo * 10.0)')} AS sl, CASE WHEN next_open > 0 THEN (next_open - open) * 10 ELSE 0 END AS move FROM s),
+ sim AS (SELECT instrument_id, CAST(0 AS BIGINT) AS rn, 1000000.0::DOUBLE AS equity, CAST(0 AS BIGINT) AS lots, CAST(0 AS BIGINT) AS traded, 0.0::DOUBLE AS pnl, 0.0::DOUBLE AS margin, 1000000.0::DOUBLE AS bl, 1000000.0::DOUBLE AS bs, 0.0::DOUBLE AS after_costs, false AS capped, false AS gone FROM (SELECT DISTINCT instrument_id FROM t)
+  UNION ALL SELECT instrument_id, rn, CASE WHEN e <= 0 THEN e ELSE e + target * move END, target, traded, CASE WHEN e <= 0 THEN 0 ELSE target * move END, CASE WHEN e <= 0 THEN 0 ELSE abs(target) * open * 10 * 0.1 END, CASE WHEN e <= 0 THEN bl ELSE bl + ll * move END, CASE WHEN e <= 0 THEN bs ELSE bs + sl * move END, e, capped, CASE WHEN e <= 0 THEN true ELSE e + target * move <= 0 END
+   FROM (SELECT *, equity - traded * 2.0 - traded * 10.0 AS e FROM (SELECT *, abs(target - lots) AS traded FROM (SELECT t.instrument_id, t.rn, t.open, t.ll, t.sl, t.move, x.equity, x.lots, x.bl, x.bs, abs(t.wanted) > CAST(floor(greatest(x.equity, 0) / (t.open * 10 * 0.1)) AS BIGINT) AS capped, CASE WHEN abs(t.wanted) > CAST(floor(greatest(x.equity, 0) / (t.open * 10 * 0.1)) AS BIGINT) THEN CAST(sign(t.wanted) AS BIGINT) * CAST(floor(greatest(x.equity, 0) / (t.open * 10 * 0.1)) AS BIGINT) ELSE t.wanted END AS target FROM sim x JOIN t ON t.instrument_id = x.instrument_id AND t.rn = x.rn + 1 WHERE NOT x.gone)))),
+ log AS (SELECT t.instrument_id, 'momentum' AS factor_name, t.time, t.open, t.next_open, coalesce(t.f, 0) AS factor_value, t.wanted AS target_lots, x.lots, x.lots - coalesce(lag(x.lots) OVER (PARTITION BY t.instrument_id ORDER BY t.rn), 0) AS delta_lots, CAST(x.traded AS DOUBLE) * 2 AS fee, CAST(x.traded AS DOUBLE) * 10 AS slippage_cost, x.pnl AS open_to_open_pnl, x.equity, x.margin AS required_margin, CASE WHEN x.after_costs <= 0 THEN x.after_costs ELSE x.after_costs - x.margin END AS available_cash, x.bl AS baseline_long_equity, x.bs AS baseline_short_equity,
+  concat_ws(';', CASE WHEN x.capped THEN 'margin' END, CASE WHEN x.lots = 0 AND coalesce(t.f, 0) <> 0 THEN 'below_one_lot' END, CASE WHEN x.after_costs <= 0 THEN 'equity_gone_by_costs' WHEN x.gone THEN 'equity_gone' END) AS warning FROM sim x JOIN t ON t.instrument_id = x.instrument_id AND t.rn = x.rn)"""
+_R6 = "round({0}, 6) + 0.0 AS {0}".format
+
+
+@query("strategy", f"{_LOG} SELECT instrument_id, factor_name, time, {_R6('open')}, {_R6('next_open')}, {_R6('factor_value')}, target_lots, lots, delta_lots, {', '.join(map(_R6, ('fee', 'slippage_cost', 'open_to_open_pnl', 'equity', 'required_margin', 'available_cash', 'baseline_long_equity', 'baseline_short_equity')))}, warning FROM log")
 def strategy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_simulated(spark, sf_dir)[1])
 
 
-@query("monitor")
+@query("monitor", f"""{_LOG}, last AS (SELECT instrument_id, 'momentum' AS factor_name, max(time) AS time, max_by(factor_value, time) AS signal, max_by(close, time) AS close FROM m GROUP BY 1), kept AS (SELECT instrument_id, max_by(lots, time) AS lots FROM log GROUP BY 1),
+ b AS (SELECT last.*, coalesce(kept.lots, 0) AS lots, {_TRUNC('1000000.0 * signal / (close * 10.0)')} AS target_lots FROM last LEFT JOIN kept ON last.instrument_id = kept.instrument_id)
+ SELECT instrument_id, factor_name, time, {_R6('signal')}, {_R6('close')}, lots, target_lots, CASE WHEN lots = target_lots THEN 'HOLD' WHEN lots = 0 THEN 'OPEN_' || CASE WHEN target_lots > 0 THEN 'LONG' ELSE 'SHORT' END WHEN lots > 0 AND target_lots >= 0 OR lots < 0 AND target_lots <= 0 THEN 'ADJUST_' || CASE WHEN lots > 0 THEN 'LONG' ELSE 'SHORT' END ELSE 'REVERSE_TO_' || CASE WHEN target_lots > 0 THEN 'LONG' ELSE 'SHORT' END END AS action, target_lots - lots AS delta_lots FROM b""")
 def monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, log = _simulated(spark, sf_dir)
     return rounded(strategy.monitor(frame, log))
 
 
-@query("attribution")
+@query("attribution", f"""{_LOG}, a AS (SELECT instrument_id, factor_name, time, lag(position) OVER (PARTITION BY instrument_id ORDER BY time) AS bt_position, net_ret, turnover FROM series WHERE factor_name = 'momentum'),
+ j AS (SELECT a.*, l.open, l.lots, l.target_lots, l.fee, l.slippage_cost, l.open_to_open_pnl, l.warning, l.lots * l.open * 10 / 1000000.0 AS exposure FROM a JOIN log l ON a.instrument_id = l.instrument_id AND a.time = l.time)
+ SELECT instrument_id, factor_name, time, {', '.join(map(_R6, ('bt_position', 'net_ret', 'turnover', 'open')))}, lots, target_lots, {', '.join(map(_R6, ('fee', 'slippage_cost', 'open_to_open_pnl')))}, warning, {_R6('exposure')}, round(exposure - bt_position, 6) + 0.0 AS exposure_diff, round((open_to_open_pnl - fee - slippage_cost) / 1000000.0, 6) + 0.0 AS st_ret,
+ concat_ws('|', CASE WHEN abs(exposure - bt_position) > 1e-9 THEN 'rounding' END, CASE WHEN contains(warning, 'margin') THEN 'margin' END, CASE WHEN contains(warning, 'below_one_lot') THEN 'below_one_lot' END, CASE WHEN fee + slippage_cost > 0 THEN 'costs' END) AS reason FROM j""")
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, log = _simulated(spark, sf_dir)
     series = metrics.daily(panels.future_return(frame))

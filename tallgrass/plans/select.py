@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,17 +70,27 @@ def yearly_summary(summary: DataFrame, limits: Limits) -> DataFrame:
     return df.groupBy("factor_name", "instrument_id", "metric").agg((F.avg("v") * F.first("d")).alias("mean"), (F.min("v") * F.first("d")).alias("worst"))
 
 
-def look_ahead(panel: DataFrame, formulas: Mapping[str, str], cuts: list, rtol: float = 1e-8, atol: float = 1e-10) -> DataFrame:
-    """Per factor whether its values change when the panel ends earlier, at each cut. All cuts are one plan: the panel
-    is repeated per cut with the cut as part of the instrument."""
+def cut_times(panel: DataFrame, n: int = 20) -> list:
+    """The last time of each of n parts of the panel's times."""
+    parts = panel.select("time").distinct().withColumn("_p", F.ntile(n).over(Window.orderBy("time")))  # a row per time
+    return [r["t"] for r in parts.groupBy("_p").agg(F.max("time").alias("t")).orderBy("t").collect()]
+
+
+def look_ahead(panel: DataFrame, formulas: Mapping[str, str], cuts: list | None = None, rtol: float = 1e-8, atol: float = 1e-10, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Per factor whether its values change when the panel ends earlier, at each cut (cut_times by default). All cuts are
+    one plan: the panel is repeated per cut with the cut as part of the instrument. prepare makes columns of a panel that
+    the formulas use, anew for each cut. A row that only one of both has counts as changed."""
+    cuts = cut_times(panel) if cuts is None else cuts
+    prepare = prepare or (lambda df: df)
     ends = F.array(*(F.lit(c).cast("timestamp") for c in cuts))
     copies = panel.withColumn("_cut", F.explode(ends)).where("time <= _cut")
     tagged = copies.withColumn("_own", F.col("instrument_id")).withColumn("instrument_id", F.concat_ws("\x1f", "instrument_id", F.col("_cut").cast("string")))
-    short = evaluate_long(tagged, formulas, ["_own", "_cut", "time"]).where("time = _cut").select(F.col("_own").alias("instrument_id"), "time", "factor_name", F.col("factor_value").alias("short"))
-    whole = evaluate_long(panel, formulas)
-    df = whole.join(short, ["instrument_id", "time", "factor_name"])
+    short = evaluate_long(prepare(tagged), formulas, ["_own", "_cut", "time"]).where("time = _cut").select(F.col("_own").alias("instrument_id"), "time", "factor_name", F.col("factor_value").alias("short"), F.lit(True).alias("_short"))
+    whole = evaluate_long(prepare(panel), formulas).where(F.array_contains(ends, F.col("time").cast("timestamp"))).withColumn("_whole", F.lit(True))
+    df = whole.join(short, ["instrument_id", "time", "factor_name"], "full_outer")
     x, y = F.col("factor_value"), F.col("short")
-    off = (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > atol + rtol * F.abs(y), F.lit(False))
+    alone = F.col("_short").isNull() | F.col("_whole").isNull()
+    off = alone | (x.isNull() != y.isNull()) | F.coalesce(F.abs(x - y) > atol + rtol * F.abs(y), F.lit(False))
     return df.groupBy("factor_name").agg(F.count_if(off).alias("changed"), F.count(F.lit(1)).alias("compared")).withColumn("passed", F.col("changed") == 0)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,14 +37,33 @@ def list_tables(spark: SparkSession, root: str) -> DataFrame:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write df where its own input may be: to a new folder first, then in the old one's place."""
+    """Write df where its own input may be: to a new folder first, then in the old one's place, which goes last.
+
+    A crash in between leaves the old table beside its place, as path.<id>.old, and the new one as path.<id>.new."""
     spark = df.sparkSession
     fs, p = _fs(spark, path)
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    fs.delete(p, True)
-    if not fs.rename(_fs(spark, new)[1], p):
-        raise OSError(f"{new} could not take the place of {path}")
+    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    new, old = _fs(spark, aside + ".new")[1], _fs(spark, aside + ".old")[1]
+    df.write.parquet(aside + ".new")
+    there = fs.exists(p)
+    if there and not fs.rename(p, old):
+        raise OSError(f"{path} could not be put aside")
+    if not fs.rename(new, p):
+        if there:
+            fs.rename(old, p)
+        raise OSError(f"{aside}.new could not take the place of {path}")
+    if there:
+        fs.delete(old, True)
+
+
+def details(spark: SparkSession, root: str) -> DataFrame:
+    """list_tables with the number of rows and columns of each; counts come from the files' own statistics."""
+    found = list_tables(spark, root).collect()  # a row per table
+    out = []
+    for r in found:
+        df = spark.read.parquet(f"{root.rstrip('/')}/{r['name']}")
+        out.append((r["name"], r["bytes"], r["files"], df.count(), len(df.columns)))
+    return spark.createDataFrame(out, "name string, bytes long, files long, rows long, columns int").orderBy(F.desc("bytes"), "name")
 
 
 def insert(df: DataFrame, path: str) -> None:
@@ -72,15 +92,85 @@ def merged(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = KEYS) -> Data
     return both.select(*out)
 
 
-def upsert(new: DataFrame, path: str, keys: tuple[str, ...] = KEYS) -> None:
-    """Idempotent keyed upsert; nulls in the keys or values raise."""
+def upsert(new: DataFrame, path: str, keys: tuple[str, ...] = KEYS, by: dict[str, Column] | None = None) -> None:
+    """Idempotent keyed upsert; nulls in the keys or values raise.
+
+    by names the columns that the table is partitioned by, each a text made of the keys that does not look like a number
+    or a date: then only the partitions that new has rows of are read and written anew. Without it the whole table is."""
     spark = new.sparkSession
     if not new.where(" or ".join(f"`{c}` is null" for c in new.columns)).limit(1).isEmpty():
         raise ValueError("nulls in what is to be stored")
+    if by is None:
+        if exists(spark, path):
+            replace(merged(spark.read.parquet(path), new, keys), path)
+        else:
+            merged(new.limit(0), new, keys).write.parquet(path)
+        return
+    new = new.withColumns(by)
     if exists(spark, path):
-        replace(merged(spark.read.parquet(path), new, keys), path)
+        old = spark.read.parquet(path)
+        touched = new.select(*by).distinct().collect()  # a row per touched partition
+        hit = F.lit(False)
+        for r in touched:
+            same = F.lit(True)
+            for c in by:
+                same = same & (F.col(c) == F.lit(r[c]))
+            hit = hit | same
+        rows = merged(old.where(hit), new, (*keys, *by))
+    else:
+        rows = merged(new.limit(0), new, (*keys, *by))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+METHODS = ("insert_many", "update_one", "bulk_write_update")
+
+
+def update(df: DataFrame, path: str, method: str = "insert_many", keys: tuple[str, ...] = KEYS, by: dict[str, Column] | None = None) -> None:
+    """The sink by its method: append with checks, set the fields of one row, or of many, by their keys."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}; there are {', '.join(METHODS)}")
+    if method == "insert_many":
+        insert(df, path)
+        return
+    if method == "update_one" and df.limit(2).count() != 1:
+        raise ValueError("update_one takes one row")
+    upsert(df, path, keys, by)
+
+
+def deduplicate(spark: SparkSession, path: str, keys: tuple[str, ...], order: list) -> str:
+    """One row per key of a stored table, the first in the given order, in place; returns where the old table is kept."""
+    fs, p = _fs(spark, path)
+    backup = f"{path.rstrip('/')}.{uuid.uuid4().hex}.backup"
+    if not fs.rename(p, _fs(spark, backup)[1]):
+        raise OSError(f"{path} could not be put aside")
+    keep_first(spark.read.parquet(backup), keys, order).write.parquet(path)
+    return backup
+
+
+def export(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Factor values, predictions or reports as files of Parquet, CSV (with names) or JSON lines."""
+    if form not in ("parquet", "csv", "json"):
+        raise ValueError(f"unknown form {form}")
+    writer = df.write.mode("overwrite")
+    writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)
+
+
+def update_prices(spark: SparkSession, path: str, fetch: Callable[[str, date, date], DataFrame], stitch: Callable[[DataFrame, dict[str, float]], DataFrame], start: date, end: date, wanted: list[str], whole: bool = False) -> list[tuple[str, date, date]]:
+    """Bring stored continuous prices up to a range of days: what is missing is fetched (as contract rows), stitched to
+    go on from each series' last factor, and upserted by month. whole fetches the whole range again. Returns what was fetched.
+
+    fetch is asked once per instrument and range, of which there are two an instrument at most."""
+    have = exists(spark, path)
+    stored = spark.read.parquet(path) if have else spark.createDataFrame([], "instrument_id string, time timestamp, weighted_factor double")
+    if whole:
+        ranges = [(i, start, end) for i in wanted]
     else:
-        merged(new.limit(0), new, keys).write.parquet(path)
+        ranges = [(r["instrument_id"], r["first"], r["last"]) for r in missing_ranges(stored, start, end, wanted).orderBy("instrument_id", "first").collect()]
+    for instrument, first, last in ranges:
+        before = stored.where((F.col("instrument_id") == instrument) & (F.col("time") < F.lit(first).cast("timestamp"))).agg(F.max_by("weighted_factor", "time").alias("f")).first()["f"] if have else None
+        rows = stitch(fetch(instrument, first, last), {instrument: before if before else 1.0})
+        upsert(rows.dropna(), path, KEYS, {"month": F.date_format("time", "'m'yyyyMM")})
+    return ranges
 
 
 def update_many(df: DataFrame, where: Column, values: dict[str, Column]) -> tuple[DataFrame, Column, Column]:

@@ -18,9 +18,12 @@ def bars(ticks: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> D
 
 
 def upserting(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A writer that merges each batch into the panel at path by (time, instrument_id): replays change nothing."""
+    """A writer that merges each batch into the panel at path by (time, instrument_id): replays change nothing.
+
+    The panel is partitioned by day, and a batch rewrites the days that it has bars of."""
+
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            upsert(batch, path)
+            upsert(batch, path, by={"day": F.date_format("time", "'d'yyyyMMdd")})
 
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
