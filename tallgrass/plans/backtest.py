@@ -24,15 +24,15 @@ class Options:
     method: str = "1D"
 
 
-def labelled(panel: DataFrame, formulas: Mapping[str, str], options: Options = Options(), check: bool = True) -> DataFrame:
-    """instrument_id, time, future_ret, optional is_rollover, factor_name, factor_value."""
+def labelled(panel: DataFrame, formulas: Mapping[str, str], options: Options = Options(), check: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """instrument_id, time, future_ret, optional is_rollover, factor_name, factor_value and more columns of the panel."""
     check_columns(panel, ("instrument_id", "time", *PANEL[:4]))
     if check:
         check_keys(panel)
     if options.adjust:
         panel = weighted_price(panel)
     panel = future_return(panel, options.method)
-    keep = ["instrument_id", "time", "future_ret", *(["is_rollover"] if "is_rollover" in panel.columns else [])]
+    keep = ["instrument_id", "time", "future_ret", *(["is_rollover"] if "is_rollover" in panel.columns else []), *more]
     return evaluate_long(panel, formulas, keep)
 
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import metrics
+
 from ..functions.formula import FIELDS, SPECS, Const, Field, Kind, Node, depth, field_kind, kind_of, parse
+from ..functions.scalars import root_symbol, sanitised
 from ..operators.compiler import evaluate
-from .backtest import Options, backtest
+from .backtest import Options, labelled
 
 
 @dataclass(frozen=True)
@@ -27,8 +30,19 @@ class Search:
     depth_penalty: float = 0.001
     related: float = 0.9
     elite: int = 10
-    patience: int = 3
+    patience: int = 5
     refine: int = 0
+    depth_start: int = 0
+    depth_linear: float = 0.0
+    depth_quadratic: float = 0.0
+    small_factor: float = 0.0
+    capital: float = 1_000_000.0
+    multipliers: Mapping[str, float] = field(default_factory=dict)
+    consistency: float = 0.0
+    min_rows: int = 50
+    shock_after: int = 2
+    shock_length: int = 2
+    shock_fresh: float = 0.3
     seed: int = 1
     fitness: Mapping[str, float] = field(default_factory=lambda: {"TS IC": 1.0})
 
@@ -103,38 +117,112 @@ def crossed(rng: random.Random, a, b, search: Search):
     return out if valid(out, search) else a
 
 
+def scores(panel: DataFrame, formulas: Mapping[str, str], search: Search, options: Options = Options()) -> DataFrame:
+    """(factor_name, score, tradable) of formulas in one plan.
+
+    Rows without label or factor are left out, then instruments with fewer than min_rows; factors are clipped to 20 and
+    returns to 1. The score adds up the metrics' weights times their means over instruments and years (missing ones count
+    as 0; metrics of the whole period over instruments). With a consistency penalty it shrinks by the deviation of the
+    years' weighted sums relative to their mean. tradable is the share of rows whose factor buys a lot, by capital and
+    multiplier, where they are known."""
+    lot = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in search.multipliers.items() for x in pair)), root_symbol(F.col("instrument_id"))), F.lit(None).cast("double")) if search.multipliers else F.lit(None).cast("double")
+    frame = labelled(panel, formulas, options, check=False, more=("open",)).dropna(subset=["factor_value", "future_ret"])
+    frame = frame.withColumn("_least", F.col("open") * lot / search.capital).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*metrics.SERIES)))
+    tradable = frame.where("_least > 0").groupBy("factor_name").agg(F.avg((F.abs("factor_value") >= F.col("_least")).cast("double")).alias("tradable"))
+    series = metrics.daily(sanitised(frame.where(F.col("_rows") >= search.min_rows).drop("_rows", "_least", "open")), options.fees, rollover_cost=False)
+    summary = metrics.summary(series, options.interest, options.calmar)
+    yearly = F.col("year") != "all"
+    value = lambda m: F.coalesce(F.col(f"`{m}`"), F.lit(0.0))
+    mean = {m: F.avg(F.when(~yearly, F.col(f"`{m}`")) if m.endswith("IR") else F.when(yearly, value(m))) for m in search.fitness}
+    of_year = sum((value(m) * w for m, w in search.fitness.items() if not m.endswith("IR")), F.lit(0.0))
+    of_years = F.when(yearly, of_year)
+    total = sum((F.coalesce(mean[m], F.lit(0.0)) * w for m, w in search.fitness.items()), F.lit(0.0))
+    shrunk = F.when(F.count(of_years) >= 2, F.greatest(F.lit(0.0), 1 - search.consistency * F.stddev_samp(of_years) / (F.abs(F.avg(of_years)) + 1e-8))).otherwise(1.0) if search.consistency else F.lit(1.0)
+    return summary.groupBy("factor_name").agg((total * shrunk).alias("score")).join(tradable, "factor_name", "left")
+
+
+def depth_penalty(levels: int, search: Search) -> float:
+    """Linear in the depth, and beyond depth_start linear and quadratic in what exceeds it."""
+    extra = max(levels - search.depth_start, 0)
+    return search.depth_penalty * levels + search.depth_linear * extra + search.depth_quadratic * extra * extra
+
+
 def fitness(panel: DataFrame, trees: Iterable, search: Search, options: Options = Options()) -> dict[str, tuple[float, int]]:
-    """formula -> (penalised fitness, sign): the weighted mean of yearly metrics of the normalised factor, of the better
-    of both signs, less the depth's penalty. Both signs of all trees are rows of one job."""
+    """formula -> (penalised fitness, sign) of the normalised factor and the better of both signs, less the penalties for
+    depth and for factors too small to trade. Both signs of all trees are rows of one job."""
     found = {str(t): t for t in trees}
     norm = "RollNorm({}, 60, 20, 1e-06, 3)".format
     formulas = {f"+{f}": norm(f) for f in found} | {f"-{f}": norm(f"Neg({f})") for f in found}
-    total = sum((F.coalesce(F.avg(f"`{m}`"), F.lit(0.0)) * w for m, w in search.fitness.items()), F.lit(0.0)) / sum(search.fitness.values())
-    summary = backtest(panel, formulas, options, check=False)[0].where("year <> 'all'")
-    out: dict[str, tuple[float, int]] = {f: (0.0, 1) for f in found}
-    scored = {r["factor_name"]: r["s"] for r in summary.groupBy("factor_name").agg(total.alias("s")).collect()}
+    scored = {r["factor_name"]: r for r in scores(panel, formulas, search, options).collect()}
+    out: dict[str, tuple[float, int]] = {}
     for f, t in found.items():
-        both = [(scored.get(f"+{f}", 0.0), 1), (scored.get(f"-{f}", 0.0), -1)]
-        value, sign = max(both, key=lambda x: x[0])
-        out[f] = (value - search.depth_penalty * depth(t), sign)
+        both = [((r["score"] if (r := scored.get(f"{s}{f}")) else 0.0), k, r) for s, k in (("+", 1), ("-", -1))]
+        value, sign, row = max(both, key=lambda x: x[0])
+        small = search.small_factor * (1 - row["tradable"]) if row and row["tradable"] is not None else 0.0
+        out[f] = (value - depth_penalty(depth(t), search) - small, sign)
     return out
 
 
-def archive(panel: DataFrame, scored: dict[str, tuple[float, int]], search: Search) -> list[str]:
-    """The best formulas, none of which correlates with a better one by more than the limit."""
-    best = sorted((f for f in scored if scored[f][0] > 0), key=lambda f: (-scored[f][0], f))[: 4 * search.elite]
-    if not best:
-        return []
-    wide = evaluate(panel, {f"c{k}": f for k, f in enumerate(best)})
-    pairs = [(i, j) for i in range(len(best)) for j in range(i)]
+def correlations(panel: DataFrame, formulas: list[str], least: int = 10) -> dict[tuple[int, int], float]:
+    """Absolute correlation of each pair of formulas over the rows that both have, 0 where these are fewer than least."""
+    pairs = [(i, j) for i in range(len(formulas)) for j in range(i)]
+    if not pairs:
+        return {}
+    wide = evaluate(panel, {f"c{k}": f for k, f in enumerate(formulas)})
     known = lambda i, j: F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
-    corr = lambda i, j: F.try_divide(F.covar_samp(F.when(known(i, j), F.col(f"c{i}")), F.when(known(i, j), F.col(f"c{j}"))), F.stddev_samp(F.when(known(i, j), F.col(f"c{i}"))) * F.stddev_samp(F.when(known(i, j), F.col(f"c{j}"))))
-    row = wide.agg(*(F.abs(corr(i, j)).alias(f"p{i}_{j}") for i, j in pairs)).first() if pairs else {}
-    kept: list[int] = []
-    for i in range(len(best)):
-        if all((row[f"p{i}_{j}"] or 0.0) <= search.related for j in kept):
-            kept.append(i)
-    return [best[i] for i in kept[: search.elite]]
+
+    def one(i: int, j: int):
+        x, y = (F.when(known(i, j), F.col(f"c{k}")) for k in (i, j))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.when((F.count(x) >= least) & (F.stddev_pop(x) >= 1e-12) & (F.stddev_pop(y) >= 1e-12), F.abs(F.covar_pop(x, y) / spread))
+
+    out: dict[tuple[int, int], float] = {}
+    for k in range(0, len(pairs), 500):
+        row = wide.agg(*(one(i, j).alias(f"p{n}") for n, (i, j) in enumerate(pairs[k : k + 500]))).first()
+        out |= {p: row[f"p{n}"] or 0.0 for n, p in enumerate(pairs[k : k + 500])}
+    return out
+
+
+@dataclass
+class Archive:
+    """The elite: formulas with their fitness, none of which correlates with another by more than the limit (a school).
+
+    A newcomer that is better than all of its school takes their place, else it goes. One of a new school comes in
+    while there is room, and then only by being better than the worst, which goes."""
+
+    size: int
+    related: float
+    held: dict[str, float] = field(default_factory=dict)
+
+    def admit(self, formula: str, value: float, near: Callable[[str, str], float]) -> bool:
+        if formula in self.held:
+            return False
+        school = [f for f in self.held if near(formula, f) > self.related]
+        if school:
+            if value <= max(self.held[f] for f in school):
+                return False
+            gone = school
+        elif len(self.held) < self.size:
+            gone = []
+        else:
+            worst = min(self.held, key=lambda f: (self.held[f], f))
+            if value <= self.held[worst]:
+                return False
+            gone = [worst]
+        self.held = {f: v for f, v in self.held.items() if f not in gone} | {formula: value}
+        return True
+
+    def admit_all(self, panel: DataFrame, scored: Mapping[str, tuple[float, int]]) -> int:
+        """Newcomers with a positive fitness, best first, four times the archive's size at most; correlations are one job."""
+        new = sorted((f for f in scored if scored[f][0] > 0 and f not in self.held), key=lambda f: (-scored[f][0], f))[: 4 * self.size]
+        names = [*self.held, *new]
+        place = {f: k for k, f in enumerate(names)}
+        found = correlations(panel, names) if new else {}
+        near = lambda a, b: found[max(place[a], place[b]), min(place[a], place[b])]
+        return sum(self.admit(f, scored[f][0], near) for f in new)
+
+    def best(self) -> list[str]:
+        return sorted(self.held, key=lambda f: (-self.held[f], f))
 
 
 def neighbours(tree, search: Search) -> list:
@@ -151,24 +239,34 @@ def neighbours(tree, search: Search) -> list:
 
 
 def mine(panel: DataFrame, search: Search = Search(), options: Options = Options()) -> list[tuple[str, float]]:
-    """(formula, fitness) of the archive, best first; the same for the same seed."""
+    """(formula, fitness) of the archive, best first; the same for the same seed.
+
+    A search that stands still for shock_after generations is shaken for shock_length: it mutates twice as often and a
+    share of each generation is grown anew. It ends after patience generations without a better fitness."""
     rng = random.Random(search.seed)
     panel = panel.persist()
-    trees = {str(t): t for t in (random_tree(rng, search) for _ in range(3 * search.population)) if isinstance(t, Node)}
-    trees = dict(list(trees.items())[: search.population])
+    grown = lambda n: {str(t): t for t in (random_tree(rng, search) for _ in range(3 * n)) if isinstance(t, Node)}
+    trees = dict(list(grown(search.population).items())[: search.population])
     scored: dict[str, tuple[float, int]] = {}
-    best, still = float("-inf"), 0
+    elite = Archive(search.elite, search.related)
+    best, still, shaken = float("-inf"), 0, 0
     for _ in range(search.generations):
-        scored |= fitness(panel, [t for f, t in trees.items() if f not in scored], search, options) if any(f not in scored for f in trees) else {}
+        fresh = [t for f, t in trees.items() if f not in scored]
+        made = fitness(panel, fresh, search, options) if fresh else {}
+        scored |= made
+        elite.admit_all(panel, made)
         top = max(scored[f][0] for f in trees)
         still = 0 if top > best + 1e-12 else still + 1
         best = max(best, top)
         if still >= search.patience:
             break
+        shaken = search.shock_length if still >= search.shock_after and not shaken else max(0, shaken - 1)
         ranked = sorted(trees, key=lambda f: (-scored[f][0], f))
         pick = lambda: trees[min(rng.sample(ranked, min(search.tournament, len(ranked))), key=ranked.index)]  # noqa: E731,B023
-        rate = min(1.0, search.mutation * (1 + still))  # a stalled search is shaken
+        rate = min(1.0, search.mutation * (2 if shaken else 1))
         new = {f: trees[f] for f in ranked[: max(1, search.population // 10)]}
+        if shaken:
+            new |= dict(list(grown(search.population).items())[: int(search.population * search.shock_fresh)])
         for _ in range(20 * search.population):
             if len(new) >= search.population:
                 break
@@ -177,12 +275,17 @@ def mine(panel: DataFrame, search: Search = Search(), options: Options = Options
             new[str(child)] = child
         trees = new
     for _ in range(search.refine):
-        top = sorted(scored, key=lambda f: (-scored[f][0], f))[: search.elite]
-        steps = {str(n): n for f in top for n in neighbours(parse(f), search)}
+        steps = {str(n): n for f in elite.best() for n in neighbours(parse(f), search)}
         fresh = [t for f, t in steps.items() if f not in scored]
         if not fresh:
             break
-        scored |= fitness(panel, fresh, search, options)
-    found = archive(panel, scored, search)
+        made = fitness(panel, fresh, search, options)
+        scored |= made
+        elite.admit_all(panel, made)
     panel.unpersist()
-    return [(f if scored[f][1] > 0 else f"Neg({f})", scored[f][0]) for f in found]
+    return [(f if scored[f][1] > 0 else f"Neg({f})", scored[f][0]) for f in elite.best()]
+
+
+def named(found: list[tuple[str, float]]) -> dict[str, str]:
+    """Names by fitness: fac_gp_0001 is the best."""
+    return {f"fac_gp_{k:04d}": f for k, (f, _) in enumerate(sorted(found, key=lambda x: (-x[1], x[0])), 1)}

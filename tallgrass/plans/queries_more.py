@@ -11,7 +11,7 @@ from ..functions import metrics
 from ..operators.compiler import evaluate
 from ..sources import panels, store
 from ..streaming.bars import bars
-from . import fusion, learning, mining, reports, rollover, select, strategy, xsection
+from . import fusion, learning, mining, pipeline, reports, rollover, select, strategy, xsection
 from .backtest import Options, backtest, labelled
 from .queries import _LABEL, _METRIC_SQL, _SUM, _V, PANEL_SQL, TESTED, query, rounded
 
@@ -299,10 +299,39 @@ def fusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mining")
 def mining_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mining.mine(panels.orders_panel(spark, sf_dir), mining.Search(population=8, generations=2, max_depth=3, elite=5))
+    found = mining.mine(panels.orders_panel(spark, sf_dir), mining.Search(population=20, generations=3))
     return spark.createDataFrame([(k + 1, f, round(s, 6)) for k, (f, s) in enumerate(found)], "rank int, formula string, fitness double")
 
 
+_WEIGHTS = {"TS IC": 1.0, "Net Return": 0.5}
+
+
+@query("fitness_scores", f"""WITH {_V}, g AS (SELECT *, count(*) OVER (PARTITION BY instrument_id, factor_name) AS n FROM vals WHERE factor_value IS NOT NULL AND future_ret IS NOT NULL),
+ c AS (SELECT instrument_id, time, factor_name, greatest(-20.0, least(20.0, factor_value)) AS f, greatest(-1.0, least(1.0, future_ret)) AS r FROM g WHERE n >= 50),
+ d AS (SELECT *, f * r - abs(f - coalesce(lag(f) OVER (PARTITION BY instrument_id, factor_name ORDER BY time), 0)) * 0.0002 AS net FROM c),
+ y AS (SELECT factor_name, instrument_id, year(time) AS year, coalesce(CASE WHEN min(f) <> max(f) AND min(r) <> max(r) THEN corr(f, r) END, 0) AS ic, avg(net) * 252 AS nr FROM d GROUP BY 1, 2, 3)
+ SELECT factor_name, round((avg(ic) + avg(nr) * 0.5) * greatest(0, 1 - 0.2 * stddev_samp(ic + nr * 0.5) / (abs(avg(ic + nr * 0.5)) + 1e-8)), 6) + 0.0 AS score, round(t, 6) AS tradable
+ FROM y JOIN (SELECT factor_name, avg(CAST(abs(g.factor_value) >= p.open * 100 / 10000.0 AS INT)) AS t FROM g JOIN panel p ON g.instrument_id = p.instrument_id AND g.time = p.time WHERE g.instrument_id IN ('AF', 'RF') GROUP BY 1) USING (factor_name) GROUP BY factor_name, t""")
+def fitness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    search = mining.Search(fitness=_WEIGHTS, consistency=0.2, capital=10_000.0, multipliers={"AF": 100.0, "RF": 100.0})
+    return rounded(mining.scores(panels.lineitem_panel(spark, sf_dir), TESTED, search))
+
+
+_CHOSEN = {"momentum": TESTED["momentum"], "d3": "TsDelta(close, 3)", "d5": "TsDelta(close, 5)"}
+
+
+@query("chosen_factors", f"""WITH {PANEL_SQL}, x AS (SELECT instrument_id, time, close - lag(close, 3) OVER w AS d3, close - lag(close, 5) OVER w AS d5, close - lag(close, 4) OVER w AS d4 FROM panel WINDOW w AS ({_I})),
+ p AS (SELECT 'd3' AS factor_name, d3 AS x, d4 AS y FROM x UNION ALL SELECT 'd5', d5, d4 FROM x),
+ k AS (SELECT *, rank() OVER (PARTITION BY factor_name ORDER BY x) + (count(*) OVER (PARTITION BY factor_name, x) - 1) / 2 AS a, rank() OVER (PARTITION BY factor_name ORDER BY y) + (count(*) OVER (PARTITION BY factor_name, y) - 1) / 2 AS b FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
+ s AS (SELECT factor_name, abs(corr(a, b)) AS m FROM k GROUP BY 1)
+ SELECT unnest(['d3', 'd5', 'momentum']) AS factor_name, unnest([true, true, false]) AS passed_limits, unnest([true, true, false]) AS passed_look_ahead, round(unnest([(SELECT m FROM s WHERE factor_name = 'd3'), (SELECT m FROM s WHERE factor_name = 'd5'), NULL]), 6) AS max_abs_spearman, unnest([(SELECT m FROM s WHERE factor_name = 'd3') < 0.5, (SELECT m FROM s WHERE factor_name = 'd5') < 0.5, false]) AS kept""")
+def chosen_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of mining from given candidates: limits (factors in prices vary more than normalised ones), look-ahead, relation."""
+    rules = pipeline.Rules({"Gross Volatility": (5.0, 0.0, 1)}, related=0.5)
+    run = pipeline.chosen(panels.lineitem_panel(spark, sf_dir), _CHOSEN, {"stored": "TsDelta(close, 4)"}, rules)
+    return rounded(run.table().drop("formula"))
+
+
 @query("rolling_model")
 def rolling_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panels.future_return(panels.lineitem_panel(spark, sf_dir))

@@ -160,14 +160,15 @@ def update_prices(spark: SparkSession, path: str, fetch: Callable[[str, date, da
     go on from each series' last factor, and upserted by month. whole fetches the whole range again. Returns what was fetched.
 
     fetch is asked once per instrument and range, of which there are two an instrument at most."""
-    have = exists(spark, path)
-    stored = spark.read.parquet(path) if have else spark.createDataFrame([], "instrument_id string, time timestamp, weighted_factor double")
+    def stored() -> DataFrame:
+        return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], "instrument_id string, time timestamp, weighted_factor double")
+
     if whole:
         ranges = [(i, start, end) for i in wanted]
     else:
-        ranges = [(r["instrument_id"], r["first"], r["last"]) for r in missing_ranges(stored, start, end, wanted).orderBy("instrument_id", "first").collect()]
+        ranges = [(r["instrument_id"], r["first"], r["last"]) for r in missing_ranges(stored(), start, end, wanted).orderBy("instrument_id", "first").collect()]
     for instrument, first, last in ranges:
-        before = stored.where((F.col("instrument_id") == instrument) & (F.col("time") < F.lit(first).cast("timestamp"))).agg(F.max_by("weighted_factor", "time").alias("f")).first()["f"] if have else None
+        before = stored().where((F.col("instrument_id") == instrument) & (F.col("time") < F.lit(first).cast("timestamp"))).agg(F.max_by("weighted_factor", "time").alias("f")).first()["f"]
         rows = stitch(fetch(instrument, first, last), {instrument: before if before else 1.0})
         upsert(rows.dropna(), path, KEYS, {"month": F.date_format("time", "'m'yyyyMM")})
     return ranges
