@@ -33,6 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Partitions for so many bytes, each about each at most: the session's number, or more where that is too few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each), 1)
+
+
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,15 +53,13 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, binary: bool = False) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about limit bytes of text (or of a binary column) at most."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds about limit bytes of a text or binary column at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        if binary:
-            offsets = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(text)).to_numpy())])
-        else:
-            _, offsets = flat_text(batch.column(text))
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)

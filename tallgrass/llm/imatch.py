@@ -21,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions_for, written
 
 MIN_SHARE = 0.0005
 MAX_SHARE = 0.2
 MAX_BROADCAST = 2_000_000
-#: Buckets of doc_id at most: so many edge rows are broadcast to find the next document.
-MAX_BUCKETS = 100_000
+#: Buckets of documents at most: so many edges are broadcast to find the next document.
+MAX_BUCKETS = 1 << 16
 LEVELS = ((4, 6), (16, 6), (64, 8), (256, 8))
 TERMS = "[^\\p{L}\\p{N}]+"
 
@@ -45,25 +45,44 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
     return counts.where((F.col("df") >= low) & (F.col("df") <= max(max_share * n, low))).select("term")
 
 
+def _below(edges: list[int], value: Column, least: bool) -> Column:
+    """How many of the sorted edges are below a value (or, without least, not above it): a search by halves."""
+    steps = [1 << k for k in range(len(edges).bit_length() - 1, -1, -1)]
+    table = F.array(*map(F.lit, edges))
+
+    def step(at: Column, half: Column) -> Column:
+        edge = F.get(table, at + half - 1)
+        return F.when(edge < value if least else edge <= value, at + half).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next text (by descending doc_id, cyclic), bucket and a row number within the bucket.
 
-    Texts are shuffled once, by ranges of doc_id; only the last text of each range goes to the next range
-    too, as a row with own = 0."""
+    Buckets are ranges between quantiles of doc_id; an id with so many rows that several quantiles fall on it has as many
+    buckets, by ranges of the text's hash. Texts are shuffled once; only the last text of each bucket goes to the next
+    one too, as a row with own = 0."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(64, -(-(high - low + 1) // MAX_BUCKETS))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    docs = docs.withColumn("bucket", bucket)
-    # at most MAX_BUCKETS + 1 rows: the last doc_id of each range, and the range above (the lowest one for the highest)
-    tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = partitions_for(spark, size, 32 << 20)
+    many = min(MAX_BUCKETS, 8 * parts)
+    edges = docs.agg(F.percentile_approx("doc_id", [k / many for k in range(1, many)], 4 * many)).first()[0] or [0]
+    hashed = F.xxhash64("text")
+    low, high = _below(edges, F.col("doc_id"), True), _below(edges, F.col("doc_id"), False)
+    docs = docs.select("doc_id", "text", hashed.alias("h"), low.alias("low"), high.alias("high"))
+    share = (F.col("h") / F.lit(2.0**64) + 0.5) * (F.col("high") - F.col("low"))
+    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("low") + F.least(F.floor(share).cast("int"), F.greatest(F.col("high") - F.col("low") - 1, F.lit(0))))
+    docs = docs.select("doc_id", "text", "h", bucket.alias("bucket"))
+    # at most MAX_BUCKETS + 1 rows: the last document of each bucket, and the bucket above (the lowest one for the highest)
+    tops = docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("top"))
     up = F.lead("bucket").over(Window.orderBy("bucket"))
     lowest = F.min("bucket").over(Window.partitionBy(F.lit(1)))
-    edges = tops.select("bucket", "top", F.coalesce(up, lowest).alias("to"))
-    given = docs.alias("d").join(F.broadcast(edges.alias("e")), F.expr("d.bucket = e.bucket and d.doc_id <=> e.top")).select("d.doc_id", "d.text", F.col("e.to").alias("bucket"), F.lit(0).alias("own"))
+    edge_rows = tops.select("bucket", "top.*", F.coalesce(up, lowest).alias("to"))
+    given = docs.alias("d").join(F.broadcast(edge_rows.alias("e")), F.expr("d.bucket = e.bucket and d.doc_id <=> e.doc_id and d.h = e.h")).select("d.doc_id", "d.text", F.col("e.to").alias("bucket"))
+    given = given.groupBy("bucket").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).withColumn("own", F.lit(0))
     rows = docs.select("doc_id", "text", "bucket", F.lit(1).alias("own")).unionByName(given)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inside = Window.partitionBy("bucket").orderBy("own", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return rows.repartition(parts, "bucket").select("bucket", F.row_number().over(inside).alias("row"), "own", "doc_id", "text", F.lag("text").over(inside).alias("next"))
 

@@ -4,7 +4,7 @@ A document's token counts, hashed with signs into DIMS projections and scaled to
 of few dimensions; its cell on a 2**ORDER grid has a Hilbert key. Documents are range-partitioned and
 sorted by (key, doc_id) and laid end to end along the curve; a sequence takes LENGTH tokens, documents
 are cut where one is full. Each partition's last, partial sequence is cut into powers of two, which need
-no padding. Token ids travel as 16-bit integers; the tokenised table is written once to the shared folder
+no padding. Token ids travel as 16-bit integers, so that a vocabulary has 65,536 ids at most (a larger one raises); the tokenised table is written once to the shared folder
 so that neither the range sampling nor a lost executor tokenises again.
 
 Defined results: a null or empty text is the one end token. Equal texts share a key and are told apart by
@@ -23,8 +23,9 @@ from itertools import chain, filterfalse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import mixed, slices, written
+from .common import mixed, partitions_for, slices, written
 
 LENGTH = 2048
 DIMS = 4
@@ -52,6 +53,8 @@ class _Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("a vocabulary of more than 65,536 ids")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -173,7 +176,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
     spark = docs.sparkSession
     table = written(tokenised(docs, path), "packing")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = partitions_for(spark, 2 * (table.agg(F.sum("n_ids")).first()[0] or 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

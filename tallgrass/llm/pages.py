@@ -237,7 +237,7 @@ def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "packed", 1 << 20, binary=True):
+        for batch in slices(batches, "packed", 1 << 20):
             rows = []
             for page_id, url, packed, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "places")), strict=True):
                 own = unpacked(packed, opened)

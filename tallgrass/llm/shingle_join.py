@@ -424,7 +424,7 @@ def _centers(sets: DataFrame, percent: int) -> DataFrame:
     (home, root, parts, own). Those shingles are twice a mean set at most."""
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "own", binary=True):
+        for batch in slices(batches, "own"):
             raw = [x.as_buffer() for x in batch.column("own")]
             home = np.repeat(batch.column("home").to_numpy(), [len(x) // 8 for x in raw])
             yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["home", "token"])
