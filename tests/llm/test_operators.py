@@ -335,14 +335,3 @@ def test_chroma_alignment(spark):
     assert out[3][0]["n_matches"] == out[8][0]["n_matches"] == 0
     assert all(out[k][0]["fingerprint"] is None and out[k][0]["n_matches"] == 0 for k in (4, 5, 6))
     assert chroma.matches(spark.createDataFrame([], "id long, audio binary")).count() == 0
-
-
-def test_area_filters_are_sums():
-    rng = np.random.default_rng(0)
-    image = rng.random((20, 12))
-    got = chroma.codes(image)
-    kind, c, h, w = chroma.FILTERS[0]
-    whole = np.array([image[t : t + w, c : c + h].sum() for t in range(13)])
-    rest = np.array([image[t : t + w].sum() for t in range(13)]) - whole
-    want = chroma.GRAY[np.searchsorted(chroma.BOUNDS, np.log1p(whole) - np.log1p(rest))]
-    assert (got >> np.uint32(30) == want).all()
