@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chroma, imatch, langid, licenses, packing, pages, pii, quality, shingle_join, unigram
+from . import chroma, imatch, langid, licenses, oracles, packing, pages, pii, quality, shingle_join, unigram
 from .common import tables
 
 
@@ -56,4 +56,5 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chroma, op2_pii, op3_imatch, op4_pages, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
-ORACLES: dict[str, str] = {}
+QUERIES |= oracles.QUERIES
+ORACLES: dict[str, str] = oracles.ORACLES
