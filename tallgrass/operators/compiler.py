@@ -1,14 +1,19 @@
 """Formulas to staged DataFrame columns: each distinct windowed subtree is one column, computed once.
 
 All windows share one specification (instrument_id, time), so a batch of formulas costs one shuffle and one
-sort. Exponential means recur without end, which no frame expresses: they go through a grouped map.
+sort. Exponential means recur without end, which no frame expresses: they are folded over the sorted rows in Arrow
+batches, with each series' last mean carried on, so that a long series never is in memory as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +40,30 @@ def clean(panel: DataFrame, fields: Iterable[str]) -> DataFrame:
     return panel.withColumns({f: number(f) for f in fields})
 
 
-def _ema_map(columns: dict[str, tuple[str, int]], schema: str):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("time")
-        for out, (source, n) in columns.items():
-            group[out] = group[source].astype(float).ewm(span=n, adjust=False).mean()
-        return group
+def _ema_fold(columns: dict[str, tuple[str, int]]):
+    """Adds exponential means (name -> source, span) to rows that come sorted by instrument and time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), {}  # the open series; per mean its last value and the missing ones since
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column("instrument_id")
+            edges = [0, *(k + 1 for k, same in enumerate(pc.equal(names[1:], names[:-1]).fill_null(False).to_pylist()) if not same), batch.num_rows]
+            made = {out: np.empty(batch.num_rows) for out in columns}
+            for a, z in pairwise(edges):
+                own = names[a].as_py()
+                if own != now:
+                    now, last = own, {}
+                for out, (source, n) in columns.items():
+                    x = batch.column(source)[a:z].to_numpy(zero_copy_only=False).astype(float)
+                    value, gap = last.get(out, (np.nan, 0))
+                    before = np.concatenate([[value], np.full(gap, np.nan)]) if value == value else np.zeros(0)
+                    y = pd.Series(np.concatenate([before, x])).ewm(span=n, adjust=False).mean().to_numpy()[len(before) :]
+                    made[out][a:z] = y
+                    seen = np.flatnonzero(x == x)
+                    last[out] = (y[-1], len(x) - 1 - seen[-1] if len(seen) else gap + len(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, from_pandas=True) for v in made.values())], names=[*batch.schema.names, *made])
 
     return run
 
@@ -96,7 +119,7 @@ def evaluate(panel: DataFrame, formulas: Mapping[str, str], keep: Iterable[str]
             df = df.withColumns({f"{name}_in": c for name, c, _ in means.values()})
             made = {name: (f"{name}_in", n) for name, _, n in means.values()}
             schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{m}` double" for m in made)])
-            df = df.groupBy("instrument_id").applyInPandas(_ema_map(made, schema), schema)
+            df = df.repartition("instrument_id").sortWithinPartitions("instrument_id", "time").mapInArrow(_ema_fold(made), schema)
             columns.update({n: name for n, (name, _, _) in means.items()})
     return df.select(*keep, *(value(t).cast("double").alias(k) for k, t in trees.items()))
 

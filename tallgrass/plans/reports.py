@@ -22,8 +22,10 @@ def overview(panel: DataFrame, fields: list[str], days: DataFrame | None = None)
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more than one row: how many, and which columns differ within."""
     others = [c for c in df.columns if c not in keys]
-    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *(F.count_distinct(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00"))).alias(f"_n_{c}") for c in others)).where("rows > 1")
-    return out.select(*keys, "rows", F.array_join(F.array_compact(F.array(*(F.when(F.col(f"`_n_{c}`") > 1, F.lit(c)) for c in others))), ",").alias("differing"))
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    two = lambda c: (F.min(text(c)) < F.max(text(c))) | (F.count(text(c)) > 0) & (F.count(text(c)) < F.count(F.lit(1)))  # noqa: E731  two values, or one and a null
+    out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *(two(c).alias(f"_n_{c}") for c in others)).where("rows > 1")
+    return out.select(*keys, "rows", F.array_join(F.array_compact(F.array(*(F.when(F.col(f"`_n_{c}`"), F.lit(c)) for c in others))), ",").alias("differing"))
 
 
 def top(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:

@@ -169,3 +169,23 @@ def test_rows_on_one_side_count_as_changed(panel):
     calls = iter([gone, lambda df: df])
     out = select.look_ahead(panel, {"back": "Delta(close)"}, ["2020-06-01"], prepare=lambda df: next(calls)(df)).first()
     assert out["compared"] == 2 and out["changed"] == 1 and not out["passed"]
+
+
+def test_exponential_means_go_on_over_batches(spark):
+    import numpy as np
+    import pandas as pd
+
+    from tallgrass.operators.compiler import evaluate
+
+    rng = random.Random(3)
+    rows = [(name, datetime(2020, 1, 1) + timedelta(k), None if k < 2 or rng.random() < 0.3 or 30 < k < 50 else rng.random()) for name in ("a", "b", "c") for k in range(90)]
+    df = spark.createDataFrame(rows, "instrument_id string, time timestamp, close double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = evaluate(df, {"e": "Ema(close, 5)"}).toPandas().sort_values(["instrument_id", "time"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plain = pd.DataFrame(rows, columns=["i", "t", "x"])
+    want = plain.groupby("i")["x"].transform(lambda x: x.astype(float).ewm(span=5, adjust=False).mean())
+    np.testing.assert_allclose(got["e"].to_numpy(float), want.to_numpy(), rtol=1e-12)
