@@ -72,30 +72,45 @@ class _Encoder(dict):
             else:
                 self.words.update((w, self.alone(w)) for w in part)
 
+    def learn_parts(self, new: set[str]) -> None:
+        self.learn_words([w for w in new if w.isalpha()])
+        self.words.update((w, self.alone(w)) for w in new if not w.isalpha())
+
     def learn(self, chunks: set[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
         split, other = {}, []
         for c in chunks:
             if PLAIN.search(c) or not (c.isascii() or unicodedata.is_normalized("NFC", c)):
                 other.append(c)
             else:
                 split[c] = PARTS.findall(c.lower())
-        new = set().union(*split.values()) - self.words.keys()
-        self.learn_words([w for w in new if w.isalpha()])
-        self.words.update((w, self.alone(w)) for w in new if not w.isalpha())
+        self.learn_parts(set().union(*split.values()) - self.words.keys())
         self.update((c, b"".join(map(self.words.__getitem__, parts))) for c, parts in split.items())
         self.update((c, self.alone(c)) for c in other)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # the tokenizer never joins across white space, so chunks between spaces can be encoded one by one
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        """Ids of each text with the end token: by its parts, or by its chunks where some cannot be split."""
+        end = np.array([END], "<u2").tobytes()
+        out: list[bytes] = [b""] * len(texts)
+        parts, chunks = {}, {}
+        for k, t in enumerate(texts):
+            if PLAIN.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)):
+                chunks[k] = t.replace("\n", " ").split(" ")  # the tokenizer never joins across white space
+            else:
+                parts[k] = PARTS.findall(t.lower())
+        if len(self.words) > CACHE:
+            self.words.clear()
+        known = self.words
+        if new := set(filterfalse(known.__contains__, chain.from_iterable(parts.values()))):
+            self.learn_parts(new)
+        for k, own in parts.items():
+            out[k] = b"".join(map(known.__getitem__, own)) + end
         if len(self) > CACHE:
             self.clear()
-        if new := set(filterfalse(self.__contains__, chain.from_iterable(split))):
+        if new := set(filterfalse(self.__contains__, chain.from_iterable(chunks.values()))):
             self.learn(new)
-        end = np.array([END], "<u2").tobytes()
-        return [(self.alone(t) if "<|" in t else b"".join(map(self.__getitem__, s))) + end for s, t in zip(split, texts, strict=True)]
+        for k, own in chunks.items():
+            out[k] = (self.alone(texts[k]) if "<|" in texts[k] else b"".join(map(self.__getitem__, own))) + end
+        return out
 
 
 def _encoder(path: str) -> _Encoder:
@@ -151,7 +166,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, signs = _encoder(path), projection()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
             flat = np.frombuffer(b"".join(ids), "<u2")
             n = np.array([len(x) // 2 for x in ids])
