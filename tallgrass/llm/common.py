@@ -16,10 +16,13 @@ SLICE_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, one set on the context, or on a single machine (as in
+    tests) a temporary one of our own. On a cluster without either this raises."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
+    if not spark.sparkContext.master.startswith("local") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallgrass-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -30,7 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a written table that nothing reads any more."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:

@@ -99,11 +99,12 @@ class _Encoder(dict):
                 parts[k] = PARTS.findall(t.lower())
         if len(self.words) > CACHE:
             self.words.clear()
-        known = self.words
-        if new := set(filterfalse(known.__contains__, chain.from_iterable(parts.values()))):
+        seen = set().union(*parts.values())  # the many words known are looked up once for all texts
+        if new := seen - self.words.keys():
             self.learn_parts(new)
+        here = {w: self.words[w] for w in seen}
         for k, own in parts.items():
-            out[k] = b"".join(map(known.__getitem__, own)) + end
+            out[k] = b"".join(map(here.__getitem__, own)) + end
         if len(self) > CACHE:
             self.clear()
         if new := set(filterfalse(self.__contains__, chain.from_iterable(chunks.values()))):
