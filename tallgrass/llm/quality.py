@@ -8,7 +8,8 @@ features is fitted. The scorer sees words and word shapes, not the votes, and sc
 
 Defined results: null and empty texts get every labeller's abstention and the scorer's bias; they have no
 words, so nothing speaks against them or for them, and they are rejected (quality 0). Where all votes
-abstain or there is nothing to fit on, every text with words is kept. Repeated rows each get a row.
+abstain or there is nothing to fit on, every text with words is kept. In texts most of whose bytes are of other than
+Latin letters, the labellers that look at words and sentences do not vote against. Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def _text_stats(batch: pa.RecordBatch) -> dict:
     frequent = np.isin(hashes, _frequent())
     sums = lambda mask: np.bincount(doc, mask, len(n))
     return {"n": n, "doc": doc, "hashes": hashes, "first": first, "last": last, "second": kinds[np.minimum(starts + 1, ends - 1)] if len(starts) else kinds[:0], "length": ends - starts, "bytes": np.diff(offsets),
-            "lower": per(kinds == 1), "upper": per(kinds == 2), "symbols": per(kinds == 6), "bangs": per(kinds == 5), "distinct": np.bincount(doc[order][new], minlength=len(n)),
+            "wide": per(data >= 128), "lower": per(kinds == 1), "upper": per(kinds == 2), "symbols": per(kinds == 6), "bangs": per(kinds == 5), "distinct": np.bincount(doc[order][new], minlength=len(n)),
             "frequent": sums(frequent), "lone": sums(((ends - starts) == 1) & (first == 6)), "capital": sums((first == 2) & (kinds[np.minimum(starts + 1, ends - 1)] == 1)) if len(starts) else np.zeros(len(n)), "stops": sums(data[ends - 1] == ord(".")) if len(ends) else np.zeros(len(n))}
 
 
@@ -77,14 +78,15 @@ def votes(s: dict) -> np.ndarray:
     some = s["n"] > 0
     share = s["distinct"] / n
     bad = lambda mask: np.where(mask, 0, -1)  # noqa: E731  detectors speak up only where they see something
+    other = 2 * s["wide"] > s["bytes"]  # scripts whose words the labellers do not know: they abstain
     out = [
         bad((caps > 0.5) & (s["n"] >= 5) | (s["bangs"] / n > 0.3)),
         bad(symbols > 0.3),
         bad(s["lone"] / n > 0.2),
         bad((s["n"] >= 12) & (share < 0.25) & (s["n"] < 4000) | (s["n"] >= 4000) & (share < 0.05)),
-        bad((s["bytes"] / n < 3) | (s["bytes"] / n > 16)),
-        np.where(s["frequent"] / n > 0.08, 1, np.where((s["n"] >= 40) & (s["frequent"] / n < 0.01), 0, -1)),
-        np.where((s["stops"] / n > 0.02) & (s["capital"] / n > 0.02), 1, np.where(s["n"] >= 60, 0, -1)),
+        bad(~other & ((s["bytes"] / n < 3) | (s["bytes"] / n > 16))),
+        np.where(s["frequent"] / n > 0.08, 1, np.where(~other & (s["n"] >= 40) & (s["frequent"] / n < 0.01), 0, -1)),
+        np.where((s["stops"] / n > 0.02) & (s["capital"] / n > 0.02), 1, np.where(~other & (s["n"] >= 60), 0, -1)),
     ]
     return np.where(some[:, None], np.stack(out, 1), -1).astype(np.int64)
 
