@@ -130,6 +130,7 @@ class Spec:
 
 
 def _specs() -> dict[str, Spec]:
+    # The language's operators with operands, windows and type rules.
     out: dict[str, Spec] = {}
 
     def add(group: str, operands: int, windows: int, **rules: Callable) -> None:

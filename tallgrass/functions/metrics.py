@@ -55,7 +55,9 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 def average_rank(x: Column, by: list[str]) -> Column:
     """Rank with ties at their mean, within groups."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
+    order = Window.partitionBy(*by).orderBy(x)
+    peers = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # in the same sort
+    return F.rank().over(order) + (peers - 1) / 2
 
 
 def _over(x: str, y: str) -> Column:

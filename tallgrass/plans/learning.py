@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import random
+from collections.abc import Iterable, Mapping, Sequence
+from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -33,9 +35,24 @@ def _fitted(df: DataFrame, model: str, params: dict, label: str):
     return MODELS[model](featuresCol="_x", labelCol=label, **params).fit(df)
 
 
-def rolling(df: DataFrame, factors: list[str], model: str = "linear", grid: Iterable[dict] = ({},), label: str = "future_ret", **widths) -> DataFrame:
-    """Predictions over all test months: per split the parameters with the best rank information on the validation
+def drawn(choices: Mapping[str, Sequence], n: int, seed: int = 1) -> list[dict]:
+    """n different combinations of parameters by chance (all of them, if there are fewer): a grid for a random search."""
+    every = [dict(zip(choices, v, strict=True)) for v in product(*choices.values())]
+    return every if len(every) <= n else random.Random(seed).sample(every, n)
+
+
+#: What a search holds predictions of the validation months against: larger is better.
+WORTH = {
+    "rank_ic": lambda scored, label: information(scored, "prediction", label).agg(F.avg("rank_ic")),
+    "top_return": lambda scored, label: top_return(scored, 10, label).agg(F.avg("ret")),
+}
+
+
+def rolling(df: DataFrame, factors: list[str], model: str = "linear", grid: Iterable[dict] = ({},), label: str = "future_ret", metric: str = "rank_ic", **widths) -> DataFrame:
+    """Predictions over all test months: per split the parameters with the best metric on the validation
     months are fitted again on training and validation months together."""
+    if metric not in WORTH:
+        raise ValueError(f"unknown metric {metric}; there are {', '.join(WORTH)}")
     if model not in MODELS:
         raise ValueError(f"unknown model {model}; there are {', '.join(MODELS)}")
     df = VectorAssembler(inputCols=factors, outputCol="_x").transform(df.dropna(subset=[*factors, label])).withColumn("_month", month()).persist()
@@ -47,7 +64,8 @@ def rolling(df: DataFrame, factors: list[str], model: str = "linear", grid: Iter
         if len(grid) > 1:
             def worth(p):  # noqa: ANN001, ANN202
                 scored = _fitted(part(a, b), model, p, label).transform(part(b, c))  # noqa: B023
-                return information(scored, "prediction", label).agg(F.avg("rank_ic")).first()[0] or -2.0
+                found = WORTH[metric](scored, label).first()[0]
+                return -2.0 if found is None else found
             best = max(grid, key=worth)
         made = _fitted(part(a, c), model, best, label).transform(part(c, d)).drop("_x", "_month")
         out = made if out is None else out.unionByName(made)

@@ -47,6 +47,10 @@ class Search:
     fitness: Mapping[str, float] = field(default_factory=lambda: {"TS IC": 1.0})
 
 
+# How often a grown node is of each group of operators.
+MIX = {"binary": 0.45, "unary": 0.25, "unary_ts": 0.17, "binary_ts": 0.08, "conditional": 0.05}
+
+
 def random_tree(rng: random.Random, search: Search, want: Kind | None = None, level: int = 0):
     """A tree that passes the type rules (of the wanted type, if any); fields where no operator fits."""
     fields = [f for f in FIELDS if want in (None, field_kind(f))]
@@ -55,9 +59,12 @@ def random_tree(rng: random.Random, search: Search, want: Kind | None = None, le
             return Const(round(rng.uniform(-2, 2), 3))
         if fields:
             return Field(rng.choice(fields))
-    names = [n for n in SPECS if n not in ("RollNorm", "NanMean")]
+    groups: dict[str, list[str]] = {}
+    for s in SPECS.values():
+        groups.setdefault(s.group, []).append(s.name)
+    mix = {g: w for g, w in MIX.items() if g in groups}
     for _ in range(60):
-        spec = SPECS[rng.choice(names)]
+        spec = SPECS[rng.choice(groups[rng.choices(list(mix), list(mix.values()))[0]])]
         kids = tuple(random_tree(rng, search, None, level + 1) for _ in range(spec.operands))
         if any(isinstance(k, Const) for k in kids) and all(isinstance(k, Const) for k in kids):
             continue

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.formula import parse
 from ..sources.store import exists
 from . import catalog, mining, select
 from .backtest import Options, backtest
@@ -59,6 +61,34 @@ def chosen(panel: DataFrame, formulas: Mapping[str, str], stored: Mapping[str, s
     return run
 
 
+def split(panel: DataFrame, cut: str) -> tuple[DataFrame, DataFrame]:
+    """The panel before a day and from it on: for a search and for what it has not seen."""
+    at = F.lit(cut).cast("timestamp")
+    return panel.where(F.col("time") < at), panel.where(F.col("time") >= at)
+
+
+def proposed(answers: Iterable[str], panel: DataFrame, most: int = 100, prefix: str = "fac_llm") -> dict[str, str]:
+    """Formulas out of texts that hold a JSON object {"formulas": [..]} somewhere: those that parse, fit the types and the
+    panel's fields and come up for the first time, under numbered names, until there are most."""
+    fields = [c for c, t in panel.dtypes if t in ("double", "float", "int", "bigint")]
+    found: dict[str, str] = {}
+    for text in answers:
+        begin, end = text.find("{"), text.rfind("}")
+        try:
+            listed = json.loads(text[begin : end + 1]).get("formulas", []) if begin >= 0 else []
+        except (ValueError, AttributeError):
+            continue
+        for one in listed if isinstance(listed, list) else []:
+            try:
+                printed = str(parse(one, fields))
+            except ValueError:
+                continue
+            found.setdefault(printed, one)
+            if len(found) >= most:
+                return {f"{prefix}_{k:04d}": f for k, f in enumerate(found, 1)}
+    return {f"{prefix}_{k:04d}": f for k, f in enumerate(found, 1)}
+
+
 def records(run: Run, panel: DataFrame, version: str, collection: str, method: str = "gp") -> DataFrame:
     """Registry records of a run's new factors, one per instrument, with the fitness of each metric of its summary."""
     spark = panel.sparkSession

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..functions.formula import Kind
+from ..operators import extend
 from ..operators.compiler import evaluate
 from ..sources import panels, store
 from ..streaming.bars import bars
@@ -303,6 +305,33 @@ def mining_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k + 1, f, round(s, 6)) for k, (f, s) in enumerate(found)], "rank int, formula string, fitness double")
 
 
+@query("freshness", f"WITH {PANEL_SQL} SELECT instrument_id, CAST(max(time) AS DATE) AS latest_day, DATE '2001-10-01' AS expected_day, max(time) >= TIMESTAMP '2001-10-01' AS is_latest FROM panel GROUP BY 1")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategy.freshness(panels.lineitem_panel(spark, sf_dir), date(2001, 10, 1))
+
+
+@query("registered_operator", f"WITH {PANEL_SQL} SELECT instrument_id, time, round(CASE WHEN count(close) OVER w >= 4 THEN max(close) OVER w - min(close) OVER w END / nullif(high, 0), 6) + 0.0 AS spread FROM panel WINDOW w AS ({_I} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
+def registered_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula of operators that the language does not have."""
+
+    def spread(x, by, n):
+        rows = by.rowsBetween(1 - n, 0)
+        return F.when(F.count(x).over(rows) >= n, F.max(x).over(rows) - F.min(x).over(rows))
+
+    with extend.registered("Spread", spread, windows=1), extend.registered("Ratio", F.try_divide, operands=2, kind=Kind.RATIO):
+        df = evaluate(panels.lineitem_panel(spark, sf_dir), {"spread": "Ratio(Spread(close, 4), high)"})
+    return rounded(df)
+
+
+@query("outside_sample", f"WITH {_SUM}, y AS (SELECT *, year < '1999' AS inside FROM ir WHERE year <> 'all'), m AS (SELECT factor_name, instrument_id, avg(t) FILTER (inside) * 0.75 + avg(t) FILTER (NOT inside) * 0.25 AS mean_turnover, bool_and(t <= 5) FILTER (inside) AS low FROM y GROUP BY 1, 2) SELECT factor_name, instrument_id, low AND mean_turnover <= 1.15 AS passed, round(mean_turnover, 6) AS mean_turnover FROM m")
+def outside_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits on a mean that is blended with years that the search has not seen."""
+    summary = backtest(panels.lineitem_panel(spark, sf_dir), TESTED, check=False)[0]
+    inside, outside = summary.where("year < '1999' or year = 'all'"), summary.where("year >= '1999' and year <> 'all'")
+    df = select.verdicts(inside, {"Turnover": (1.15, 5.0, -1)}, outside=outside, outside_share=0.25)
+    return rounded(df.select("factor_name", "instrument_id", "passed", F.col("Turnover").alias("mean_turnover")))
+
+
 _WEIGHTS = {"TS IC": 1.0, "Net Return": 0.5}
 
 

@@ -7,6 +7,7 @@ groups are what Spark spreads.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -99,6 +100,12 @@ def action(now: Column, target: Column) -> Column:
     )
 
 
+def freshness(panel: DataFrame, expected: date) -> DataFrame:
+    """Per instrument the last day that is stored, and whether it is the expected one or later."""
+    last = panel.groupBy("instrument_id").agg(F.to_date(F.max("time")).alias("latest_day"))
+    return last.withColumn("expected_day", F.lit(expected)).withColumn("is_latest", F.coalesce(F.col("latest_day") >= F.col("expected_day"), F.lit(False)))
+
+
 def monitor(frame: DataFrame, log: DataFrame, account: Account = Account()) -> DataFrame:
     """Per instrument and factor: the last day, its signal, lots held, lots wanted at the close, the action."""
     keys = ["instrument_id", "factor_name"]

@@ -189,3 +189,38 @@ def test_exponential_means_go_on_over_batches(spark):
     plain = pd.DataFrame(rows, columns=["i", "t", "x"])
     want = plain.groupby("i")["x"].transform(lambda x: x.astype(float).ewm(span=5, adjust=False).mean())
     np.testing.assert_allclose(got["e"].to_numpy(float), want.to_numpy(), rtol=1e-12)
+
+
+def test_formulas_out_of_answers(panel):
+    answers = ['Sure! {"formulas": ["Delta(close)", "Nothing(close)", "TsMean(close, 5)"]} Enjoy.', "none", '{"formulas": ["delta(close)", "Add(close, volume)", 7]}', '{"formulas": {"a": 1}}', "{broken"]
+    assert pipeline.proposed(answers, panel) == {"fac_llm_0001": "Delta(close)", "fac_llm_0002": "TsMean(close, 5)"}
+    assert len(pipeline.proposed(answers, panel, most=1)) == 1
+    before, after = pipeline.split(panel, "2020-07-01")
+    assert before.count() + after.count() == panel.count() and after.agg(F.min("time")).first()[0] == datetime(2020, 7, 1)
+
+
+def test_own_operators(panel):
+    from tallgrass.functions import formula
+    from tallgrass.operators import extend
+
+    with extend.registered("Twice", lambda x: x * 2):
+        assert str(formula.parse("twice(close)")) == "Twice(close)"
+        with pytest.raises(ValueError):
+            extend.register("Twice", lambda x: x)
+    with pytest.raises(ValueError):
+        formula.parse("Twice(close)")
+    with pytest.raises(ValueError):
+        extend.register("TsMean", lambda x: x)
+
+
+def test_random_search_of_models(spark, panel):
+    from tallgrass.operators.compiler import evaluate
+    from tallgrass.plans import learning
+
+    grid = learning.drawn({"regParam": [0.0, 0.1, 0.5], "elasticNetParam": [0.0, 0.5]}, 3)
+    assert len(grid) == 3 and grid == learning.drawn({"regParam": [0.0, 0.1, 0.5], "elasticNetParam": [0.0, 0.5]}, 3) and len(learning.drawn({"a": [1]}, 3)) == 1
+    df = evaluate(panels.future_return(panel), {"x": "Delta(close)"}, ["instrument_id", "time", "future_ret"])
+    out = learning.rolling(df, ["x"], "linear", grid[:2], metric="top_return", train=4, validate=2, test=2, step=2)
+    assert out.count() > 100 and learning.backtested(out).where("year = 'all'").count() == 2
+    with pytest.raises(ValueError):
+        learning.rolling(df, ["x"], metric="none")
