@@ -18,14 +18,14 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions_for, slices, written
+from .common import flat_text, mixed, partitions_for, slices, word_hashes, written
 
 LENGTH = 2048
 DIMS = 4
@@ -41,8 +41,17 @@ PARTS = re.compile(r"[^\W\d_]+|\d+|(?:_|[^\w\s])+")
 PLAIN = re.compile("['<\u0130\u03a3\x1c-\x1f]")
 
 
+#: Texts with other than ASCII and Latin letters, or with what PLAIN names, go by chunks.
+ODD = re.compile("['<\u0130\x1c-\x1f]|[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+#: Bytes of lower-cased text: white space, letters (and all of Latin), digits, the rest.
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = 0
+_KINDS[97:123] = _KINDS[128:] = 1
+_KINDS[48:58] = 2
+
+
 class _Encoder(dict):
-    """Ids (16-bit, as bytes) of chunks without a space or line feed between; bounded.
+    """Ids (16-bit, as bytes) of chunks without a space or line feed between, and of parts; bounded.
 
     A new chunk is put together from its parts; new words (runs of letters) are encoded many at a time and
     told apart by the tokens that end a word."""
@@ -53,6 +62,7 @@ class _Encoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("a vocabulary of more than 65,536 ids")
         self.ends = np.zeros(1 << 16, bool)
@@ -90,28 +100,48 @@ class _Encoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with the end token: by its parts, or by its chunks where some cannot be split."""
         end = np.array([END], "<u2").tobytes()
-        out: list[bytes] = [b""] * len(texts)
-        parts, chunks = {}, {}
-        for k, t in enumerate(texts):
-            if PLAIN.search(t) or not (t.isascii() or unicodedata.is_normalized("NFC", t)):
-                chunks[k] = t.replace("\n", " ").split(" ")  # the tokenizer never joins across white space
-            else:
-                parts[k] = PARTS.findall(t.lower())
-        if len(self.words) > CACHE:
-            self.words.clear()
-        seen = set().union(*parts.values())  # the many words known are looked up once for all texts
-        if new := seen - self.words.keys():
-            self.learn_parts(new)
-        here = {w: self.words[w] for w in seen}
-        for k, own in parts.items():
-            out[k] = b"".join(map(here.__getitem__, own)) + end
-        if len(self) > CACHE:
+        odd = [k for k, t in enumerate(texts) if ODD.search(t)]
+        out = self.by_parts([t.lower() for t in texts]) if len(odd) < len(texts) else [b""] * len(texts)
+        split = [texts[k].replace("\n", " ").split(" ") for k in odd]  # the tokenizer never joins across white space
+        if len(self) > CACHE or len(self.words) > CACHE:
             self.clear()
-        if new := set(filterfalse(self.__contains__, chain.from_iterable(chunks.values()))):
+            self.words.clear()
+        if new := set(filterfalse(self.__contains__, chain.from_iterable(split))):
             self.learn(new)
-        for k, own in chunks.items():
-            out[k] = (self.alone(texts[k]) if "<|" in texts[k] else b"".join(map(self.__getitem__, own))) + end
-        return out
+        for k, own in zip(odd, split, strict=True):
+            out[k] = self.alone(texts[k]) if "<|" in texts[k] else b"".join(map(self.__getitem__, own))
+        return [x + end for x in out]
+
+    def by_parts(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of ASCII and Latin letters: each different part of a slice is looked up once, by its bytes."""
+        data, offsets = flat_text(pa.array(texts, pa.large_string()))
+        kinds = _KINDS[data]
+        first = np.concatenate([kinds[:1] > 0, (kinds[1:] != kinds[:-1])])
+        inner = offsets[1:-1]
+        first[inner[inner < len(data)]] = True
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(data))
+        starts, ends = (x[kinds[starts] > 0] for x in (starts, ends))
+        if not len(starts):
+            return [b""] * len(texts)
+        _, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        names = [raw[a:z] for a, z in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        if new := [n for n in names if n not in self.parts]:
+            words = [n.decode() for n in new]
+            self.learn_parts(set(words) - self.words.keys())
+            self.parts.update((n, self.words[w]) for n, w in zip(new, words, strict=True))
+            self.words.clear()
+        ids = [self.parts[n] for n in names]
+        size = np.array([len(x) // 2 for x in ids])
+        flat, begin = np.frombuffer(b"".join(ids), "<u2"), np.concatenate([[0], np.cumsum(size)[:-1]])
+        long = size[which]
+        done = np.concatenate([[0], np.cumsum(long)])
+        found = flat[np.repeat(begin[which] - done[:-1], long) + np.arange(done[-1])]
+        cut = done[np.searchsorted(starts, offsets)]
+        return [found[a:z].tobytes() for a, z in pairwise(cut.tolist())]
 
 
 def _encoder(path: str) -> _Encoder:

@@ -335,3 +335,16 @@ def test_chroma_alignment(spark):
     assert out[3][0]["n_matches"] == out[8][0]["n_matches"] == 0
     assert all(out[k][0]["fingerprint"] is None and out[k][0]["n_matches"] == 0 for k in (4, 5, 6))
     assert chroma.matches(spark.createDataFrame([], "id long, audio binary")).count() == 0
+
+
+def test_encoder_against_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng, plain = random.Random(7), Tokenizer.from_file(TOKENIZER)
+    latin = [chr(c) for c in range(0, 128) if chr(c) not in "'<" and not 0x1C <= c <= 0x1F] + [chr(c) for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7, 0x130)]
+    other = list("abcXYZ019 \n\t.,;'’\"<|>­‍日本Σσς²½Ⅷﬁ\U0001f600İı́")
+    usual = [chr(c) for c in range(97, 123)] * 6 + list(" .,!_-019") * 4
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 30))) for pool in (latin, other, usual) for _ in range(1500)] + ["", "<|endoftext|>", "It's we'll"]
+    got = packing._encoder(TOKENIZER).encode(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
+    assert {bool(packing.ODD.search(t)) for t in texts} == {True, False}
