@@ -268,7 +268,8 @@ def rendered(vectors: DataFrame, key: str = "vec_id", column: str = "embedding")
     source = F.when(part.between(1, 4), F.col(key) - part)
     own = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("own"), source.cast("long").alias("source"))
     models = vectors.where(part == 0).groupBy(F.col(key).cast("long").alias("source")).agg(F.min(column).alias("model"))
-    both = own.join(models, "source", "left").select("id", "own", "model")
+    alone = own.where("source is null").select("id", "own", F.lit(None).cast(dict(vectors.dtypes)[column]).alias("model"))  # most rows, which stay where they are
+    both = alone.unionByName(own.where("source is not null").join(models, "source", "left").select("id", "own", "model"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         time = np.arange(length) / RATE
