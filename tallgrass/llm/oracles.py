@@ -82,8 +82,23 @@ _PII = ",\n ".join(
     ]
 )
 
+def _page_blocks(html: str) -> str:
+    """Blocks of a piece of the tables' pages, whose block elements are few and well-formed."""
+    bare = "replace(x, '<br>', ' ')"
+    bare = f"regexp_replace({bare}, '<[^>]*>', '', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+        bare = f"replace({bare}, '&{name};', '{char}')"
+    clean = f"trim(regexp_replace({bare}, '[\\s\u00a0]+', ' ', 'g'))"
+    return f"list_filter(list_transform(regexp_split_to_array({html}, '</?(?:nav|ul|li|div|article|h1|p|footer|body|html)(?: [^>]*)?>|<!--[^>]*-->'), lambda x: {clean}), lambda x: x <> '')"
+
+
+PAGES = f"""WITH h AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS article, coalesce(regexp_extract(html, '(?s)</head>(.*)', 1), '') AS body FROM pages),
+ b AS (SELECT page_id, url, {_page_blocks('article')} AS kept, {_page_blocks('body')} AS found FROM h)
+ SELECT page_id, url, array_to_string(kept, chr(10)) AS text, CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS n_chars, CAST(len(found) AS BIGINT) AS n_blocks, CAST(len(found) - len(kept) AS BIGINT) AS n_dropped, CAST(0 AS BIGINT) AS n_settled FROM b"""
+
 QUERIES = {"shingle_sizes": shingle_sizes, "edited_texts": edited_texts, "license_phrases": license_phrases, "personal_data": personal_data, "packed_documents": packed_documents, "judged_documents": judged}
 ORACLES = {
+    "op4_pages": PAGES,
     "op5_shingle_join": SHINGLE_JOIN,
     "shingle_sizes": f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT doc_id, CAST(len(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN ['x'] ELSE [] END)) AS BIGINT) AS n_shingles FROM w",
     "edited_texts": f"WITH {_NEXT} SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - length(t) // 3) || left(f, length(t) // 3)) AS edited_sha256 FROM o",
