@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chroma, imatch, langid, licenses, oracles, packing, pages, pii, quality, shingle_join, unigram
+from . import chroma, elkan, imatch, langid, licenses, merkle, oracles, oracles_exact, packing, pages, pii, quality, shingle_join, simhash, unigram
 from .common import tables
 
 
@@ -55,6 +55,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(tables(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chroma, op2_pii, op3_imatch, op4_pages, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses)}
+def op11_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster(tables(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(tables(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chroma, op2_pii, op3_imatch, op4_pages, op5_shingle_join, op6_packing, op7_quality, op8_language, op9_unigram, op10_licenses, op11_elkan, op12_merkle, op13_simhash)}
 QUERIES |= oracles.QUERIES
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = oracles.ORACLES | {"op11_elkan": oracles_exact.CLUSTER, "op12_merkle": oracles_exact.manifest()}
