@@ -13,11 +13,11 @@ def z_score(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(f"{column}_z", F.try_divide(F.col(column) - F.avg(column).over(by), F.stddev_samp(column).over(by)))
 
 
-def information(df: DataFrame, factor: str, ret: str = "future_ret") -> DataFrame:
-    """(time, ic, rank_ic) over the instruments of each time."""
+def information(df: DataFrame, factor: str, ret: str = "future_ret", by: tuple[str, ...] = ("time",)) -> DataFrame:
+    """(time, ic, rank_ic) over the instruments of each time (or of each of other keys)."""
     known = df.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
-    ranked = known.withColumns({"_a": average_rank(F.col(factor), ["time"]), "_b": average_rank(F.col(ret), ["time"])})
-    return ranked.groupBy("time").agg(safe_corr(F.col(factor), F.col(ret)).alias("ic"), safe_corr(F.col("_a"), F.col("_b")).alias("rank_ic"))
+    ranked = known.withColumns({"_a": average_rank(F.col(factor), [*by]), "_b": average_rank(F.col(ret), [*by])})
+    return ranked.groupBy(*by).agg(safe_corr(F.col(factor), F.col(ret)).alias("ic"), safe_corr(F.col("_a"), F.col("_b")).alias("rank_ic"))
 
 
 def yearly_information(ic: DataFrame) -> DataFrame:
