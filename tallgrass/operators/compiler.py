@@ -68,6 +68,14 @@ def _ema_fold(columns: dict[str, tuple[str, int]]):
     return run
 
 
+def with_means(df: DataFrame, means: Mapping[str, tuple[Column, int]]) -> DataFrame:
+    """df with exponential means over each instrument's time: name -> (operand, span)."""
+    df = df.withColumns({f"{name}_in": c for name, (c, _) in means.items()})
+    made = {name: (f"{name}_in", n) for name, (_, n) in means.items()}
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{m}` double" for m in made)])
+    return df.repartition("instrument_id").sortWithinPartitions("instrument_id", "time").mapInArrow(_ema_fold(made), schema)
+
+
 def evaluate(panel: DataFrame, formulas: Mapping[str, str], keep: Iterable[str] = KEYS) -> DataFrame:
     """keep columns and one double per formula, named by the mapping's keys."""
     names = set(panel.columns)
@@ -116,10 +124,7 @@ def evaluate(panel: DataFrame, formulas: Mapping[str, str], keep: Iterable[str]
             df = df.withColumns({name: c for name, c in new.values()})
             columns.update({n: name for n, (name, _) in new.items()})
         if means:
-            df = df.withColumns({f"{name}_in": c for name, c, _ in means.values()})
-            made = {name: (f"{name}_in", n) for name, _, n in means.values()}
-            schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{m}` double" for m in made)])
-            df = df.repartition("instrument_id").sortWithinPartitions("instrument_id", "time").mapInArrow(_ema_fold(made), schema)
+            df = with_means(df, {name: (c, n) for name, c, n in means.values()})
             columns.update({n: name for n, (name, _, _) in means.items()})
     return df.select(*keep, *(value(t).cast("double").alias(k) for k, t in trees.items()))
 

@@ -15,6 +15,7 @@ from ..functions.formula import FIELDS, SPECS, Const, Field, Kind, Node, depth,
 from ..functions.scalars import root_symbol, sanitised
 from ..operators.compiler import evaluate
 from .backtest import Options, labelled
+from .refine import Refine, refined
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class Search:
     elite: int = 10
     patience: int = 5
     refine: int = 0
+    gradient: Refine | None = None
     depth_start: int = 0
     depth_linear: float = 0.0
     depth_quadratic: float = 0.0
@@ -95,12 +97,12 @@ def replaced(tree, path: tuple[int, ...], new):
     return Node(tree.op, tuple(kids), tree.params)
 
 
-def valid(tree, search: Search) -> bool:
+def valid(tree, search: Search, extra: int = 0) -> bool:
     try:
         kind_of(tree)
     except TypeError:
         return False
-    return isinstance(tree, Node) and depth(tree) <= search.max_depth + 1
+    return isinstance(tree, Node) and depth(tree) <= search.max_depth + 1 + extra
 
 
 def mutated(rng: random.Random, tree, search: Search):
@@ -245,6 +247,18 @@ def neighbours(tree, search: Search) -> list:
     return [t for t in out if valid(t, search)]
 
 
+def _climbed(panel: DataFrame, made: Mapping[str, tuple[float, int]], search: Search, options: Options, trees: dict | None = None) -> dict[str, tuple[float, int]]:
+    """What the gradient finds better than the scored formulas, which it replaces in the generation (trees), if given."""
+    out = {}
+    for old, (new, value, sign) in refined(panel, made, search, search.gradient, options).items():
+        if new != old:
+            out[new] = (value, sign)
+            if trees is not None and old in trees:
+                trees.pop(old)
+                trees[new] = parse(new)
+    return out
+
+
 def mine(panel: DataFrame, search: Search = Search(), options: Options = Options()) -> list[tuple[str, float]]:
     """(formula, fitness) of the archive, best first; the same for the same seed.
 
@@ -257,9 +271,11 @@ def mine(panel: DataFrame, search: Search = Search(), options: Options = Options
     scored: dict[str, tuple[float, int]] = {}
     elite = Archive(search.elite, search.related)
     best, still, shaken = float("-inf"), 0, 0
-    for _ in range(search.generations):
+    for number in range(search.generations):
         fresh = [t for f, t in trees.items() if f not in scored]
         made = fitness(panel, fresh, search, options) if fresh else {}
+        if search.gradient and search.gradient.every and (number + 1) % search.gradient.every == 0:
+            made |= _climbed(panel, made, search, options, trees)
         scored |= made
         elite.admit_all(panel, made)
         top = max(scored[f][0] for f in trees)
@@ -289,6 +305,10 @@ def mine(panel: DataFrame, search: Search = Search(), options: Options = Options
         made = fitness(panel, fresh, search, options)
         scored |= made
         elite.admit_all(panel, made)
+    if search.gradient and not search.gradient.every and elite.held:
+        made = _climbed(panel, {f: scored[f] for f in elite.best()}, search, options)
+        scored |= made
+        elite.admit_all(panel, made)
     panel.unpersist()
     return [(f if scored[f][1] > 0 else f"Neg({f})", scored[f][0]) for f in elite.best()]
 
