@@ -13,7 +13,7 @@ from ..operators import extend
 from ..operators.compiler import evaluate
 from ..sources import panels, store
 from ..streaming.bars import bars
-from . import fusion, learning, mining, pipeline, reports, rollover, select, strategy, xsection
+from . import fusion, mining, pipeline, reports, rollover, select, strategy, xsection
 from .backtest import Options, backtest, labelled
 from .queries import _LABEL, _METRIC_SQL, _SUM, _V, PANEL_SQL, TESTED, query, rounded
 
@@ -124,9 +124,11 @@ def cross_icir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quantile_portfolios", f"""WITH {_WIDE}, e AS (SELECT time, quantile_cont(factor, [0.2, 0.4, 0.6, 0.8]) AS e FROM x GROUP BY 1),
  b AS (SELECT x.time, future_ret, CASE WHEN factor < e[1] THEN 1 WHEN factor > e[1] AND factor < e[2] THEN 2 WHEN factor > e[2] AND factor < e[3] THEN 3 WHEN factor > e[3] AND factor < e[4] THEN 4 WHEN factor > e[4] THEN 5 END AS bucket FROM x JOIN e ON x.time = e.time)
- SELECT time, bucket, round(avg(future_ret), 6) + 0.0 AS ret, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY 1, 2""")
+ SELECT time, bucket, floor(avg(CAST(round(future_ret * 1e9) AS BIGINT))) / 1e9 AS ret, count(*) AS n FROM b WHERE bucket IS NOT NULL GROUP BY 1, 2""")
 def quantile_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(xsection.quantile_portfolios(_monthly(spark, sf_dir), "factor"))
+    """Returns are whole billionths, whose mean does not depend on their order."""
+    whole = _monthly(spark, sf_dir).withColumn("future_ret", F.round(F.col("future_ret") * 1e9).cast("long"))
+    return xsection.quantile_portfolios(whole, "factor").select("time", "bucket", (F.floor("ret") / 1e9).alias("ret"), "n")
 
 
 _LEG = f"{_WIDE}, leg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY time ORDER BY factor DESC NULLS LAST, instrument_id) AS r, floor(count(factor) OVER (PARTITION BY time) * 0.2) AS n FROM x) WHERE r <= n)"
@@ -359,10 +361,3 @@ def chosen_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = pipeline.Rules({"Gross Volatility": (5.0, 0.0, 1)}, related=0.5)
     run = pipeline.chosen(panels.lineitem_panel(spark, sf_dir), _CHOSEN, {"stored": "TsDelta(close, 4)"}, rules)
     return rounded(run.table().drop("formula"))
-
-
-@query("rolling_model")
-def rolling_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = panels.future_return(panels.lineitem_panel(spark, sf_dir))
-    df = evaluate(panel, {"x1": TESTED["momentum"], "x2": TESTED["reversal"]}, ["instrument_id", "time", "future_ret"])
-    return learning.rolling(df, ["x1", "x2"], "linear", [{"regParam": 0.0}, {"regParam": 0.1}], train=18, validate=6, test=6).select("instrument_id", "time", F.round("prediction", 6).alias("prediction"))

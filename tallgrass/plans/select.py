@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import math
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import DIRECTIONS, average_rank, safe_corr
+from ..functions.metrics import DIRECTIONS, average_rank
 from ..operators.compiler import evaluate, evaluate_long
 
 #: metric -> (least mean of the years, least year, direction); None leaves a part out.
@@ -95,14 +98,73 @@ def look_ahead(panel: DataFrame, formulas: Mapping[str, str], cuts: list | None
 
 
 def spearman(panel: DataFrame, new: Mapping[str, str], stored: Mapping[str, str]) -> DataFrame:
-    """(factor_name, other, spearman): absolute rank correlation over the pooled panel, on each pair's complete rows."""
+    """(factor_name, other, spearman): absolute rank correlation over the pooled panel, on each pair's complete rows.
+
+    A first pass tells the rows that each pair has by their number and the sum of their hashes; pairs with the same rows
+    are a pattern. Each factor is ranked once per pattern it takes part in, not once per pair; a second pass over the rows'
+    ranks adds up the products of blocks of new and stored factors by partition."""
     formulas = {f"n{i}": f for i, f in enumerate(new.values())} | {f"s{j}": f for j, f in enumerate(stored.values())}
-    wide = evaluate(panel, formulas)
-    pairs = F.array(*(F.struct(F.lit(a).alias("factor_name"), F.lit(b).alias("other"), F.col(f"n{i}").alias("x"), F.col(f"s{j}").alias("y")) for i, a in enumerate(new) for j, b in enumerate(stored)))
-    long = wide.select(F.inline(pairs)).where("x is not null and y is not null")
-    keys = ["factor_name", "other"]
-    ranked = long.withColumns({"rx": average_rank(F.col("x"), keys), "ry": average_rank(F.col("y"), keys)})
-    return ranked.groupBy(*keys).agg(F.abs(safe_corr(F.col("rx"), F.col("ry"))).alias("spearman"))
+    names = {(i, j): (a, b) for i, a in enumerate(new) for j, b in enumerate(stored)}
+    spark, schema = panel.sparkSession, "factor_name string, other string, spearman double"
+    if not names:
+        return spark.createDataFrame([], schema)
+    wide = evaluate(panel, formulas).withColumn("_key", F.xxhash64("instrument_id", "time")).persist()
+    mark = F.col("_key").bitwiseAND((1 << 40) - 1)  # sums of so many bits do not overflow
+    both = lambda i, j: F.col(f"n{i}").isNotNull() & F.col(f"s{j}").isNotNull()
+    seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    places = list(names)
+    for at in range(0, len(places), 500):
+        part = places[at : at + 500]
+        row = wide.agg(*(c for i, j in part for c in (F.count_if(both(i, j)), F.sum(F.when(both(i, j), mark))))).first()
+        for k, pair in enumerate(part):
+            seen.setdefault((row[2 * k], row[2 * k + 1]), []).append(pair)
+    names = {pair: names[pair] for rows, pairs in seen.items() if rows[0] for pair in pairs}  # others have no row in common
+    seen = {rows: pairs for rows, pairs in seen.items() if rows[0] > 1}
+    cells = []
+    for k, pairs in enumerate(seen.values()):
+        known = both(*pairs[0])
+        for c in dict.fromkeys(c for i, j in pairs for c in (f"n{i}", f"s{j}")):
+            side, place = (0, int(c[1:])) if c[0] == "n" else (1, int(c[1:]))
+            cells.append(F.when(known, F.struct(F.lit(k).alias("pattern"), F.lit(side).alias("side"), F.lit(place).alias("place"), F.col(c).alias("v"))))
+    if not cells:
+        wide.unpersist()
+        return spark.createDataFrame([(a, b, None) for a, b in names.values()], schema)
+    long = wide.select("instrument_id", "time", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("instrument_id", "time", "c.*")
+    ranks = long.withColumn("r", average_rank(F.col("v"), ["pattern", "side", "place"]))
+    # one row per time and pattern again, with the ranks of either side in their places
+    rows = ranks.groupBy("pattern", "instrument_id", "time").agg(*(F.sort_array(F.collect_list(F.when(F.col("side") == k, F.struct("place", "r"))))["r"].alias(f"r{k}") for k in (0, 1)))
+    middle = {k: (n + 1) / 2 for k, (n, _) in enumerate(seen)}
+    columns = {k: [sorted({p[side] for p in pairs}) for side in (0, 1)] for k, pairs in enumerate(seen.values())}
+    sums: dict[tuple[int, int, int], tuple[float, float, float]] = {}
+    for r in rows.select("pattern", "r0", "r1").mapInArrow(_products(middle, columns), "pattern int, i int, j int, xy double, xx double, yy double").groupBy("pattern", "i", "j").agg(F.sum("xy"), F.sum("xx"), F.sum("yy")).collect():
+        sums[r[0], r[1], r[2]] = r[3], r[4], r[5]
+    wide.unpersist()
+    found = {}
+    for k, pairs in enumerate(seen.values()):
+        for i, j in pairs:
+            xy, xx, yy = sums[k, i, j]
+            found[i, j] = min(1.0, abs(xy) / math.sqrt(xx * yy)) if xx > 0 and yy > 0 else None
+    return spark.createDataFrame([(a, b, found.get(pair)) for pair, (a, b) in names.items()], schema)
+
+
+def _products(middle: Mapping[int, float], columns: Mapping[int, list[list[int]]]):
+    """Per partition the sums of products of centred ranks, for every new and stored factor of each pattern."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            patterns = batch.column("pattern").to_numpy()
+            for k in np.unique(patterns).tolist():
+                own = pa.array(patterns == k)
+                x, y = (batch.column(f"r{side}").filter(own).flatten().to_numpy().reshape(-1, len(columns[k][side])) - middle[k] for side in (0, 1))
+                now = [x.T @ y, (x * x).sum(axis=0), (y * y).sum(axis=0)]
+                total[k] = [a + b for a, b in zip(total[k], now, strict=True)] if k in total else now
+        for k, (xy, xx, yy) in total.items():
+            new, stored = columns[k]
+            i, j = np.repeat(np.array(new, np.int32), len(stored)), np.tile(np.array(stored, np.int32), len(new))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int32)), pa.array(i), pa.array(j), pa.array(xy.ravel()), pa.array(np.repeat(xx, len(stored))), pa.array(np.tile(yy, len(new)))], names=["pattern", "i", "j", "xy", "xx", "yy"])
+
+    return run
 
 
 def unrelated(correlations: DataFrame, threshold: float) -> DataFrame:

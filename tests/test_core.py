@@ -238,7 +238,7 @@ def test_entry(spark):
 
 def test_rolling_model_predicts_every_test_month(spark, sf):
     from tallgrass.plans.learning import month
-    from tallgrass.plans.queries_more import rolling_model
+    from tallgrass.plans.queries_models import rolling_model
 
     months = sorted(r[0] for r in rolling_model(spark, sf).select(month().alias("m")).distinct().collect())
     assert months == list(range(months[0], months[-1] + 1)) and len(months) > 48
