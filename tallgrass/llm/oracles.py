@@ -92,9 +92,16 @@ def _page_blocks(html: str) -> str:
     return f"list_filter(list_transform(regexp_split_to_array({html}, '</?(?:nav|ul|li|div|article|h1|p|footer|body|html)(?: [^>]*)?>|<!--[^>]*-->'), lambda x: {clean}), lambda x: x <> '')"
 
 
-PAGES = f"""WITH h AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS article, coalesce(regexp_extract(html, '(?s)</head>(.*)', 1), '') AS body FROM pages),
- b AS (SELECT page_id, url, {_page_blocks('article')} AS kept, {_page_blocks('body')} AS found FROM h)
- SELECT page_id, url, array_to_string(kept, chr(10)) AS text, CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS n_chars, CAST(len(found) AS BIGINT) AS n_blocks, CAST(len(found) - len(kept) AS BIGINT) AS n_dropped, CAST(0 AS BIGINT) AS n_settled FROM b"""
+PAGES = f"""WITH h AS MATERIALIZED (SELECT page_id, url, md5(html) AS page, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1)), '') AS site, coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '') AS article, coalesce(regexp_extract(html, '(?s)</head>(.*)', 1), '') AS body FROM pages),
+ b AS MATERIALIZED (SELECT page_id, url, page, site, {_page_blocks('article')} AS kept, {_page_blocks('body')} AS found, {_page_blocks("regexp_replace(body, '(?s)<article>.*</article>', '<p>')")} AS outside FROM h),
+ o AS (SELECT site, page, b, outside[b] AS t FROM (SELECT DISTINCT site, page, outside, unnest(generate_series(1, len(outside))) AS b FROM b)),
+ tok AS MATERIALIZED (SELECT site, page, b, w, row_number() OVER (PARTITION BY site, page ORDER BY b, k) AS i FROM (SELECT site, page, b, k, string_split(t, ' ')[k] AS w FROM (SELECT *, unnest(generate_series(1, len(string_split(t, ' ')))) AS k FROM o))),
+ win AS (SELECT site, page, i, array_to_string(list(w) OVER nxt, ' ') AS s, count(*) OVER nxt AS c FROM tok WINDOW nxt AS (PARTITION BY site, page ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+ rep AS (SELECT site, s FROM win WHERE c = 8 GROUP BY 1, 2 HAVING min(page) < max(page)),
+ cov AS (SELECT DISTINCT site, page, i + j AS i FROM (SELECT win.*, unnest(range(8)) AS j FROM win SEMI JOIN rep ON rep.site = win.site AND rep.s = win.s WHERE c = 8)),
+ blk AS (SELECT tok.site, tok.page, b, count(*) AS n, count(cov.i) AS hit FROM tok LEFT JOIN cov ON cov.site = tok.site AND cov.page = tok.page AND cov.i = tok.i GROUP BY 1, 2, 3),
+ decided AS (SELECT site, page, count(*) FILTER (2 * hit > n) AS n FROM blk GROUP BY 1, 2)
+ SELECT page_id, url, array_to_string(kept, chr(10)) AS text, CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS n_chars, CAST(len(found) AS BIGINT) AS n_blocks, CAST(len(found) - len(kept) AS BIGINT) AS n_dropped, CAST(coalesce(n, 0) AS BIGINT) AS n_settled FROM b LEFT JOIN decided ON decided.site = b.site AND decided.page = b.page"""
 
 QUERIES = {"shingle_sizes": shingle_sizes, "edited_texts": edited_texts, "license_phrases": license_phrases, "personal_data": personal_data, "packed_documents": packed_documents, "judged_documents": judged}
 ORACLES = {

@@ -1,19 +1,23 @@
-"""Main-text extraction by a suffix array over each host's pages.
+"""Main-text extraction by the repeats of a suffix array over each host's pages.
 
 A page is split into blocks of visible text by its markup; each block has a zone, a hint from tags, roles, classes
 and ids: content (inside article or main), chrome (inside nav, header, footer, aside, form, an advert, notice, comment
-or menu) or open (neither). Open blocks are settled by the host's suffix array: the token streams of all its pages,
-blocks and all, are concatenated, and each suffix gets a rank by its first WINDOW tokens. The array is a Spark
-table of (rank, page, place), dealt by rank and never by host, so that a host with a third of all pages is many tasks'
-work and repeats are found on any two of its pages; ranks that occur on two distinct pages are long repeated
-substrings, overlapping ones make up the longer runs, and what they cover is boilerplate. Open blocks stay if most
-of their tokens are unique runs. Chrome goes in any case, and content stays in any case: an article that many pages
-repeat is still their article. A host without open blocks needs no array.
+or menu) or open (neither). What lies outside content is settled by the host's suffix array: the token streams of these
+blocks of all its pages are concatenated, and each suffix is a row (host, first WINDOW tokens, page, place). Suffixes that
+agree in these tokens are an interval of the array; one with two distinct pages is a long repeated substring, and
+overlapping ones make up the longer runs. Intervals are found by a grouped minimum and maximum of the page, which
+combines before the shuffle, so that a host with a third of all pages or a passage that all pages have is many tasks'
+work; within an interval the array's order plays no part and is not kept. A block that its runs cover by more than half
+is boilerplate on this evidence, whatever its hint. Of other open blocks the covered runs of RUN tokens or more are cut
+out and the unique runs kept; hints alone drop chrome that the array has no evidence on. Content stays in any case: an
+article that many pages repeat is still their article.
 
 Pages are distinct if their html is: copies of a page do not make its text a repeat.
 
 Defined results: null or empty html has no blocks and gives the empty text with n_chars 0; pages without a url, or
-with one that names no host, are a host together. Repeated rows each get a row. Further columns are dropped.
+with one that names no host, are a host together. Repeated rows each get a row. Further columns are dropped. An empty
+table gives no rows. A page is read once from start to end, whatever its nesting and however broken, and is in memory as
+a whole. A tag that never ends swallows the rest; from a quote on that never ends, tags end at the first `>`.
 """
 
 from __future__ import annotations
@@ -30,23 +34,30 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, flat_text, mixed, slices, word_bounds, word_hashes, written
 
-WINDOW = 16
+#: Tokens that suffixes must share to be a repeat, and those of a run that is cut out of an open block.
+WINDOW, RUN = 8, 16
 CHROME, OPEN, CONTENT = 0, 1, 2
 # Elements by what they do to text.
-HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "math"}
+HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "annotation", "annotation-xml"}
 AWAY = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 BODY = {"article", "main"}
-INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math semantics annotation annotation-xml mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom mfenced menclose mtable mtr mtd".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An open p or li ends where one of these begins.
 ENDS_P = {"p", "div", "ul", "ol", "li", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "footer", "header", "nav", "aside", "form", "table", "blockquote", "pre", "main", "figure", "hr"}
 NOISE = re.compile(r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|comments?|replies|disqus|sidebar|menu|nav\w*|breadcrumbs?|footer|header|related|widget|pagination|pager|toolbar|skip)\Z")
+#: What may follow such a word in a name without making it one of something else (an ad-slot, not ad-hoc).
+WRAPPER = re.compile(r"(?:area|articles?|bar|block|body|bottom|box|buttons?|col\w*|container|content|form|frame|group|holder|icons?|inner|items?|left|links?|list|main|outer|panel|placeholder|popup|posts?|right|row|section|signup|slot|stories|tabs?|text|thread|top|unit|widget|wrap|wrapper|zone|[0-9]+)\Z")
+#: Elements of an article that no name makes chrome, and those that only a class does.
+PLAIN = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "figure", "figcaption", "td", "th", "tr", "li", "dl", "dt", "dd"}
+CLASS_ONLY = {"section"}
 #: A class that begins so tells of a page's layout, not of what an element is.
 LAYOUT = {"no", "has", "with", "without", "is", "not"}
 NAME_PARTS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 ROLES = re.compile(r"(?i)\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)")
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-MARKS = re.compile(r"(?i)\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+TO_QUOTE = re.compile(r"[^>\"']*")
+MARKS = re.compile(r"(?i)\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NO_DISPLAY = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none\b")
 #: What may start inside head without closing it.
@@ -64,12 +75,17 @@ def unseen(attributes: str) -> bool:
 
 
 def noisy(names: str) -> set[str]:
-    """The words of a class or id that speak for chrome: the first or last part of one of its names."""
+    """The words of a class or id that speak for chrome: the last part of one of its names, or the first where only words
+    for wrappers follow."""
     found = set()
     for name in names.replace("side-bar", "sidebar").split():
         parts = [p.lower() for p in NAME_PARTS.split(name) if p]
-        if parts and parts[0] not in LAYOUT:
-            found |= {p for p in (parts[0], parts[-1]) if NOISE.match(p)}
+        if not parts or parts[0] in LAYOUT:
+            continue
+        if NOISE.match(parts[-1]):
+            found.add(parts[-1])
+        if NOISE.match(parts[0]) and all(WRAPPER.match(p) or NOISE.match(p) for p in parts[1:]):
+            found.add(parts[0])
     return found
 
 
@@ -78,17 +94,95 @@ def is_chrome(tag: str, attributes: str, zone: int) -> bool:
     own = {"header"} if zone == CONTENT else set()
     if tag in AWAY - own or attributes and ROLES.search(attributes):
         return True
-    if not attributes or tag in BODY or tag in ("html", "body"):
+    if not attributes or tag in BODY or tag in ("html", "body") or zone == CONTENT and tag in PLAIN:
         return False
-    return any(noisy(x[0] or x[1] or x[2]) - own for x in MARKS.findall(attributes))
+    marks = MARKS.findall(attributes)
+    return any(noisy(x[1] or x[2] or x[3]) - own for x in marks if not (zone == CONTENT and tag in CLASS_ONLY and x[0].lower() == "id"))
+
+
+class Tags:
+    """The tags of a page from start to end: (text before, end tag, name, attributes) each, the rest after the last."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quotes = page, 0, True
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here; -1 where the rest has no end for it."""
+        page, start = self.page, at
+        while self.quotes:
+            at = TO_QUOTE.match(page, at).end()
+            if at == len(page):
+                return -1
+            if page[at] == ">":
+                return at
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                self.quotes = False  # looked for in vain once, and never again
+        return page.find(">", start)
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str, str]]:
+        page, held = self.page, []
+        while (k := page.find("<", self.at)) >= 0:
+            held.append(page[self.at : k])
+            m = NAME.match(page, k + 1)
+            if m:
+                end = self._end(m.end())
+                self.at = end + 1 if end >= 0 else len(page)
+                if end >= 0:
+                    closing = page[k + 1] == "/"
+                    yield "".join(held), closing, m[0].lstrip("/").lower(), page[m.end() : end]
+                    held = []
+                continue
+            for opened, closed in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+                if page.startswith(opened, k):
+                    end = page.find(closed, k + len(opened))
+                    self.at = end + len(closed) if end >= 0 else len(page)
+                    break
+            else:
+                held.append("<")
+                self.at = k + 1
+        yield "".join(held) + page[self.at :], False, "", ""
+
+
+class Open:
+    """The open elements, with the places of each name."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = []  # (tag, zone, hidden)
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+
+    def push(self, tag: str, zone: int, hidden: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append((tag, zone, hidden))
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places.get(tag) else -1
+
+    def pop(self, k: int) -> tuple[int, bool]:
+        """Closes all from the k-th on; the zone and whether it is hidden, outside them."""
+        while len(self.stack) > k:
+            tag = self.stack.pop()[0]
+            self.places[tag].pop()
+            if tag in WALLS:
+                self.walls.pop()
+        return self.stack[-1][1:] if self.stack else (OPEN, False)
+
+
+#: What an open p or li does not end beyond.
+WALLS = {"article", "main", "section", "div", "ul", "ol", "td"}
+RAW = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in ("script", "style", "textarea", "title")}
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block of visible text, in page order."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # (tag, zone, hidden)
-    zone, hidden, at = OPEN, False, 0
+    inner, tags = Open(), Tags(page)
+    zone, hidden = OPEN, False
+    gone: set[str] = set()  # raw elements whose end tag the rest does not have
 
     def flush() -> None:
         text = SPACES.sub(" ", entities.unescape("".join(held))).strip()
@@ -96,57 +190,46 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if text:
             out.append((zone, text))
 
-    def pop(k: int) -> None:
-        nonlocal zone, hidden
-        del stack[k:]
-        _, zone, hidden = stack[-1] if stack else ("", OPEN, False)
-
-    while True:
-        m = TAG.search(page, at)
-        if stack and stack[-1][0] == "head" and page[at : m.start() if m else len(page)].strip():
-            pop(len(stack) - 1)  # text ends the head, whose end tag is optional
+    for before, closing, tag, attributes in tags:
+        if inner.stack and inner.stack[-1][0] == "head" and before.strip():
+            zone, hidden = inner.pop(len(inner.stack) - 1)  # text ends the head, whose end tag is optional
         if not hidden:
-            held.append(page[at : m.start() if m else len(page)])
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+            held.append(before)
         if not tag:
             continue
         if tag not in INLINE:
             flush()
         elif tag == "br":
             held.append(" ")
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None and (tag not in INLINE or stack[k][1:] != (zone, hidden)):
+        if closing:
+            k = inner.last(tag)
+            if k >= 0 and (tag not in INLINE or zone != (inner.stack[k - 1][1] if k else OPEN)):
                 flush()
-            if k is not None:
-                pop(k)
+            if k >= 0:
+                zone, hidden = inner.pop(k)
             continue
-        if tag not in IN_HEAD:
-            k = next((k for k, t in enumerate(stack) if t[0] == "head"), None)
-            if k is not None and not any(t[0] == "template" for t in stack[k + 1 :]):
-                pop(k)
-        if tag in VOID or m[3].endswith("/"):
+        if tag not in IN_HEAD and inner.last("head") > inner.last("template"):
+            zone, hidden = inner.pop(inner.last("head"))
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in ENDS_P:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] == "li" == tag), None)
-            if k is not None and not any(t[0] in ("article", "main", "section", "div", "ul", "ol", "td") for t in stack[k + 1 :]):
-                pop(k)
-        attributes = m[3]
+            k = max(inner.last("p"), inner.last("li") if tag == "li" else -1)
+            if k >= 0 and k > (inner.walls[-1] if inner.walls else -1):
+                zone, hidden = inner.pop(k)
         now, away = zone, hidden or tag in HIDDEN or unseen(attributes)
         if tag in BODY and zone != CHROME:
             now = CONTENT
         elif is_chrome(tag, attributes, zone):
             now = CHROME
-        if (now, away) != (zone, hidden):
+        if now != zone or away != hidden and tag not in INLINE:
             flush()
-        if tag in ("script", "style", "textarea", "title"):  # raw text up to its own end tag
-            end = re.compile(rf"(?i)</{tag}\s*>").search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW:  # raw text up to its own end tag
+            end = None if tag in gone else RAW[tag].search(page, tags.at)
+            if end is None:
+                gone.add(tag)
+            tags.at = end.end() if end else len(page)
             continue
-        stack.append((tag, now, away))
+        inner.push(tag, now, away)
         zone, hidden = now, away
     flush()
     return out
@@ -170,11 +253,11 @@ def suffix_ranks(texts: list[str], site: int, window: int = WINDOW) -> tuple[np.
 
 
 SEP = "\x1f"
-PARSED = "page_id long, url string, site long, page long, n_open int, packed binary"
+PARSED = "page_id long, url string, site long, page long, n_outside int, packed binary"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """PARSED of each page: its host's and its html's hash, how many open blocks it has, and its blocks, compressed."""
+    """PARSED of each page: its host's and its html's hash, how many blocks it has outside content, and its blocks, compressed."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +265,8 @@ def parse(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html", 1 << 20):
             found = [blocks(page or "") for page in batch.column("html").to_pylist()]
             packed = [press.compress("\n".join(f"{z}{SEP}{t}" for z, t in own).encode("utf-8", "replace")) for own in found]
-            n_open = pa.array([sum(z == OPEN for z, _ in own) for own in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("site"), batch.column("page"), n_open, pa.array(packed, pa.binary())], names=[c.split()[0] for c in PARSED.split(", ")])
+            outside = pa.array([sum(z != CONTENT for z, _ in own) for own in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("site"), batch.column("page"), outside, pa.array(packed, pa.binary())], names=[c.split()[0] for c in PARSED.split(", ")])
 
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host).alias("site"), F.xxhash64("html").alias("page"), "html")
     return keyed.mapInArrow(run, PARSED)
@@ -195,64 +278,79 @@ def unpacked(packed: bytes, opened: zstandard.ZstdDecompressor) -> list[tuple[in
 
 
 def suffixes(parsed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rank, site, page, place) of the pages' suffixes; place is -1 for all that touch no open block, one row per rank and page."""
+    """(rank, page, place) of the suffixes of the pages' tokens outside content; place counts these tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
         for batch in batches:
             for site, page, packed in zip(*(batch.column(c).to_pylist() for c in ("site", "page", "packed")), strict=True):
-                own = unpacked(packed, opened)
-                ranks, block = suffix_ranks([t for _, t in own], site, window)
-                if not len(ranks):
-                    continue
-                is_open = np.concatenate([[0], np.cumsum(np.array([z == OPEN for z, _ in own])[block])])
-                touches = is_open[window:] > is_open[: len(ranks)]
-                place = np.flatnonzero(touches)
-                rest = np.unique(ranks[~touches])
-                columns = [np.concatenate([ranks[place], rest]), np.concatenate([place, np.full(len(rest), -1)])]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.full(len(columns[0]), site)), pa.array(np.full(len(columns[0]), page)), pa.array(columns[1], pa.int64())], names=["rank", "site", "page", "place"])
+                ranks, _ = suffix_ranks([t for z, t in unpacked(packed, opened) if z != CONTENT], site, window)
+                if len(ranks):
+                    yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(np.full(len(ranks), page)), pa.array(np.arange(len(ranks)))], names=["rank", "page", "place"])
 
-    return parsed.select("site", "page", "packed").mapInArrow(run, "rank long, site long, page long, place long")
+    return parsed.select("site", "page", "packed").mapInArrow(run, "rank long, page long, place long")
 
 
 def repeats(parsed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(site, page, places): where a window begins that another page of the host has too, of those that touch open blocks."""
-    hosts = parsed.groupBy("site").agg(F.max("n_open").alias("most"), F.min("page").alias("lo"), F.max("page").alias("hi")).where("most > 0 and lo < hi").select("site")
-    array = suffixes(parsed.join(hosts, "site", "left_semi"), window)
+    """(site, page, places): where a substring begins that another page of the host has too, outside content."""
+    # a page's copies have its places; a host of one page has no repeats
+    pages = parsed.where("n_outside > 0").select("site", "page", "packed").dropDuplicates(["site", "page"])
+    array = suffixes(pages, window)
     ranks = array.groupBy("rank").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo < hi").select("rank")
-    places = array.where("place >= 0").distinct().join(ranks, "rank", "left_semi")
-    return places.groupBy("site", "page").agg(F.collect_list("place").alias("places"))
+    found = array.join(ranks, "rank", "left_semi").groupBy("page").agg(F.collect_list("place").alias("places"))
+    return pages.select("site", "page").join(found, "page")
 
 
 RESULT = "page_id long, url string, text string, n_chars long, n_blocks long, n_dropped long, n_settled long"
 
 
-def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:
-    """RESULT of each page; n_settled counts the blocks that the suffix array decided."""
+def covered_runs(places: list[int], n: int, window: int) -> np.ndarray:
+    """Which of n tokens the substrings of window tokens cover that begin at the places."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, places, 1)
+    np.add.at(change, np.array(places) + window, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def settled(own: list[tuple[int, str]], places: list[int] | None, window: int, run: int) -> tuple[list[str], int]:
+    """The blocks that stay, and how many the repeats decided."""
+    outside = [k for k, (z, _) in enumerate(own) if z != CONTENT]
+    stays: list[str | None] = [t if z != CHROME else None for z, t in own]
+    decided = 0
+    if places and outside:
+        _, block = suffix_ranks([own[k][1] for k in outside], 0, window)
+        covered = covered_runs(places, len(block), window)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]])))
+        long = np.zeros(len(block), bool)
+        for a, z in zip(edges[::2], edges[1::2], strict=True):
+            long[a:z] = z - a >= run
+        first = np.searchsorted(block, np.arange(len(outside) + 1))
+        for j, k in enumerate(outside):
+            at = slice(first[j], first[j + 1])
+            n, hit = first[j + 1] - first[j], int(covered[at].sum())
+            if 2 * hit > n:
+                stays[k], decided = None, decided + 1
+            elif own[k][0] == OPEN and long[at].any():
+                words, decided = own[k][1].split(" "), decided + 1
+                stays[k] = " ".join(w for w, cut in zip(words, long[at], strict=True) if not cut) if len(words) == n else own[k][1]
+    return [t for t in stays if t], decided
+
+
+def extract(pages: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """RESULT of each page; n_settled counts the blocks that the repeats decided."""
     parsed = written(parse(pages), "parsed")
-    whole = parsed.where("n_open = 0").select("page_id", "url", "packed", F.expr("cast(null as array<bigint>)").alias("places"))
-    if not parsed.where("n_open > 0").limit(1).isEmpty():
-        some = parsed.where("n_open > 0").join(repeats(parsed, window), ["site", "page"], "left")
-        whole = whole.unionByName(some.select("page_id", "url", "packed", "places"))
+    whole = parsed.join(repeats(parsed, window), ["site", "page"], "left").select("page_id", "url", "packed", "places")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
         for batch in slices(batches, "packed", 1 << 20):
-            rows = []
+            made = []
             for page_id, url, packed, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "places")), strict=True):
                 own = unpacked(packed, opened)
-                share = np.zeros(len(own))
-                if places:
-                    _, block = suffix_ranks([t for _, t in own], 0, window)
-                    change = np.zeros(len(block) + 1, np.int64)
-                    np.add.at(change, places, 1)
-                    np.add.at(change, np.array(places) + window, -1)
-                    covered = np.cumsum(change[:-1]) > 0
-                    share = np.bincount(block, covered, len(own)) / np.maximum(np.bincount(block, minlength=len(own)), 1)
-                kept = [t for (z, t), c in zip(own, share, strict=True) if z == CONTENT or z == OPEN and c <= 0.5]
+                kept, decided = settled(own, places, window, run)
                 text = "\n".join(kept)
-                rows.append((page_id, url, text, len(text), len(own), len(own) - len(kept), sum(z == OPEN for z, _ in own)))
+                made.append((page_id, url, text, len(text), len(own), len(own) - len(kept), decided))
             types = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return whole.mapInArrow(run, RESULT)
+    return whole.mapInArrow(rows, RESULT)

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -56,29 +57,36 @@ class Plain(HTMLParser):
         self.held += data
 
 
-def plain(rows, window, array=True):
+def plain(rows, window, array=True, run=16):
     parsed = [Plain(html or "").blocks for _, _, html in rows]
     where = collections.defaultdict(set)
     streams = []
     for (_, url, html), own in zip(rows, parsed, strict=True):
         host = re.match(r"https?://([^/:]*)", url or "")
         host = host[1].lower() if host else ""
-        tokens = [(w, b) for b, (_, t) in enumerate(own) for w in t.split()]
+        tokens = [(w, b) for b, (z, t) in enumerate(own) if z != 2 for w in t.split()]
         streams.append((host, tokens))
         for k in range(len(tokens) - window + 1):
             where[host, tuple(w for w, _ in tokens[k : k + window])].add(html)
     out = []
-    for (page_id, _, html), own, (host, tokens) in zip(rows, parsed, streams, strict=True):
+    for (page_id, _, _), own, (host, tokens) in zip(rows, parsed, streams, strict=True):
         covered = set()
         for k in range(len(tokens) - window + 1):
             if array and len(where[host, tuple(w for w, _ in tokens[k : k + window])]) > 1:
                 covered |= set(range(k, k + window))
+        long = set()
+        for k in covered:
+            if k - 1 not in covered:
+                end = next(j for j in range(k, len(tokens) + 1) if j not in covered)
+                long |= set(range(k, end)) if end - k >= run else set()
         kept = []
         for b, (zone, text) in enumerate(own):
             places = [k for k, (_, c) in enumerate(tokens) if c == b]
-            if zone == 2 or zone == 1 and 2 * sum(k in covered for k in places) <= len(places):
+            if zone == 2:
                 kept.append(text)
-        out.append((page_id, "\n".join(kept)))
+            elif zone == 1 and 2 * sum(k in covered for k in places) <= len(places):
+                kept.append(" ".join(tokens[k][0] for k in places if k not in long))
+        out.append((page_id, "\n".join(t for t in kept if t)))
     return sorted(out)
 
 
@@ -110,9 +118,9 @@ def made(seed, many):
 @pytest.mark.parametrize("seed,window", [(1, 16), (2, 6)])
 def test_extraction_by_brute_force(spark, seed, window):
     rows = made(seed, 150)
-    out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), window).collect()
+    out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), window, 12).collect()
     got = sorted((r["page_id"], r["text"]) for r in out)
-    assert got == plain(rows, window)
+    assert got == plain(rows, window, run=12)
     assert sum(a != b for a, b in zip(got, plain(rows, window, array=False), strict=True)) > 50  # the array decides much of it
     assert sum(r["n_settled"] for r in out) > 300
 
@@ -132,3 +140,36 @@ def test_whole_table_by_brute_force(spark, sf):
 def test_names_of_wrappers(names, chrome):
     assert pages.blocks(f'<div class="{names}"><p>text</p></div>') == [(0 if chrome else 1, "text")]
     assert pages.blocks(f'<div class="{names}"><article><header class="header"><h1>Title</h1></header>text</article></div>') == ([(0, "Title"), (0, "text")] if chrome else [(2, "Title"), (2, "text")])
+
+
+@pytest.mark.parametrize("part", ['<h2 id="related-work">T</h2>', '<section id="notice-of-risk">T</section>', '<p class="share-price">T</p>', '<h2 id="menu-prices">T</h2>', '<h3 class="ad-hoc">T</h3>', '<div id="comment-on-law">T</div>'])
+def test_articles_keep_what_names_only_sound_like_chrome(part):
+    assert pages.blocks(f"<article>{part}</article>") == [(2, "T")]
+
+
+def test_articles_lose_what_is_chrome():
+    for part in ('<div class="comments">T</div>', '<div class="ad-slot">T</div>', '<div id="newsletter-signup">T</div>', "<aside>T</aside>", '<section class="related-posts">T</section>'):
+        assert pages.blocks(f"<article>{part}</article>") == [(0, "T")], part
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<a href="x>broken</a> <p>more', ["broken", "more"]), ("a < b <c", ["a < b"]), ("x<!-- never closed", ["x"]), ("<p>a<math><mi>x</mi><mo>=</mo><annotation>tex</annotation></math>b</p>", ["ax=b"]),
+    ('<p title="a>b">t</p>', ["t"]), ('<p>a<span hidden>x</span>b<i style="display:none">y</i>c</p>', ["abc"]), ("<article>a<span class='ad'>x</span>b</article>", ["a", "x", "b"]), ("<script>if (a < b) {}</script>t", ["t"]), ("<p>one<p>two<li>three<li>four", ["one", "two", "three", "four"]), ("<![CDATA[x]]>y<?php z ?>", ["y"]), ("<title>t</title><body>u", ["u"]),
+])
+def test_broken_markup(html, want):
+    assert [t for _, t in pages.blocks(html)] == want
+
+
+def test_parsing_is_linear():
+    began = time.time()
+    for html in ("<a " * 300_000, "<div>" * 100_000 + "x", '<a "x>"' * 100_000 + "'", "<p><td>" + "<b>" * 50_000 + "<h1>x" * 50_000, "<script>" * 50_000, "<!-- " * 100_000, "<" * 500_000, "<textarea><title>" * 50_000):
+        pages.blocks(html)
+    assert time.time() - began < 20
+
+
+def test_no_rows_and_a_long_page(spark):
+    schema = "page_id long, url string, html string, text string"
+    assert pages.extract(spark.createDataFrame([], schema)).count() == 0
+    words = " ".join(f"w{k}" for k in range(400_000))
+    row = pages.extract(spark.createDataFrame([(1, "http://a.b", f"<nav>n</nav><article><p>{words}</p></article>", "x")], schema)).first()
+    assert row["text"] == words
