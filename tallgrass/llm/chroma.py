@@ -277,7 +277,7 @@ def rendered(vectors: DataFrame, key: str = "vec_id", column: str = "embedding")
         notes = np.stack([(np.sin(2 * np.pi * 220 * 2 ** (k / 12) * time) + 0.4 * np.sin(4 * np.pi * 220 * 2 ** (k / 12) * time)) * envelope for k in range(24)])
 
         def tune(v: list) -> np.ndarray:
-            x = np.nan_to_num(np.array([0.0 if y is None else y for y in v], np.float64)[:96])
+            x = np.nan_to_num(np.array([0.0 if y is None else y for y in v], np.float64))
             level = (np.argsort(np.argsort(x, kind="stable"), kind="stable") * 7 + np.floor(np.abs(x) * 40).astype(int)) % 24
             return notes[level].ravel() * 9000
 

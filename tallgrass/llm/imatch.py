@@ -41,7 +41,7 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
     """term (hash) of the band; document frequencies count every row of docs."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    low = max(2.0, min_share * n) if n > 20 else 1.0
+    low = max(2.0, min_share * n)
     return counts.where((F.col("df") >= low) & (F.col("df") <= max(max_share * n, low))).select("term")
 
 

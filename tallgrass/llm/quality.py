@@ -3,7 +3,7 @@
 Heuristic labellers vote good, bad or abstain on each document. The counts of vote patterns over all
 documents (a table of at most 3**m rows) feed expectation-maximisation, which estimates each labeller's
 accuracies and the share of good documents; the posteriors of the patterns label a bounded sample of
-documents (MAX_TRAIN rows by a hash of doc_id, as expected), on which a logistic regression over hashed
+documents (MAX_TRAIN rows as expected, by a hash of doc_id and text), on which a logistic regression over hashed
 features is fitted. The scorer sees words and word shapes, not the votes, and scores every document.
 
 Defined results: null and empty texts get every labeller's abstention and the scorer's bias; they have no
@@ -83,7 +83,7 @@ def votes(s: dict) -> np.ndarray:
         bad((caps > 0.5) & (s["n"] >= 5) | (s["bangs"] / n > 0.3)),
         bad(symbols > 0.3),
         bad(s["lone"] / n > 0.2),
-        bad((s["n"] >= 12) & (share < 0.25) & (s["n"] < 4000) | (s["n"] >= 4000) & (share < 0.05)),
+        bad((s["n"] >= 12) & (share < 0.25 * np.minimum(1.0, 1000 / n) ** 1.16)),  # long texts repeat their words more
         bad(~other & ((s["bytes"] / n < 3) | (s["bytes"] / n > 16))),
         np.where(s["frequent"] / n > 0.08, 1, np.where(~other & (s["n"] >= 40) & (s["frequent"] / n < 0.01), 0, -1)),
         np.where((s["stops"] / n > 0.02) & (s["capital"] / n > 0.02), 1, np.where(~other & (s["n"] >= 60), 0, -1)),
@@ -161,7 +161,8 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> dict:
             lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[order], t)) for x, t in ((bucket, pa.int32()), (value, pa.float32()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(post[where], pa.float64()), *lists], names=["doc_id", "p", "bucket", "value"])
 
-    picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
+    # by id and text, so that rows without ids or of one id are not all in or all out; equal rows count once
+    picked = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).dropDuplicates()
     rows = picked.where("length(text) > 0").mapInArrow(sample, "doc_id long, p double, bucket array<int>, value array<float>").toArrow()
     if not rows.num_rows:
         return empty | {"accuracies": table, "prior": prior}
