@@ -222,13 +222,17 @@ class Archive:
         return True
 
     def admit_all(self, panel: DataFrame, scored: Mapping[str, tuple[float, int]]) -> int:
-        """Newcomers with a positive fitness, best first, four times the archive's size at most; correlations are one job."""
-        new = sorted((f for f in scored if scored[f][0] > 0 and f not in self.held), key=lambda f: (-scored[f][0], f))[: 4 * self.size]
-        names = [*self.held, *new]
-        place = {f: k for k, f in enumerate(names)}
-        found = correlations(panel, names) if new else {}
-        near = lambda a, b: found[max(place[a], place[b]), min(place[a], place[b])]
-        return sum(self.admit(f, scored[f][0], near) for f in new)
+        """Newcomers with a positive fitness, best first; the correlations of so many of them at a time are one job."""
+        new = sorted((f for f in scored if scored[f][0] > 0 and f not in self.held), key=lambda f: (-scored[f][0], f))
+        many = 0
+        for at in range(0, len(new), 4 * self.size):
+            part = new[at : at + 4 * self.size]
+            names = [*self.held, *part]
+            place = {f: k for k, f in enumerate(names)}
+            found = correlations(panel, names)
+            near = lambda a, b: found[max(place[a], place[b]), min(place[a], place[b])]  # noqa: E731, B023
+            many += sum(self.admit(f, scored[f][0], near) for f in part)
+        return many
 
     def best(self) -> list[str]:
         return sorted(self.held, key=lambda f: (-self.held[f], f))
