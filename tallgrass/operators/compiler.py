@@ -1,23 +1,19 @@
 """Formulas to staged DataFrame columns: each distinct windowed subtree is one column, computed once.
 
 All windows share one specification (instrument_id, time), so a batch of formulas costs one shuffle and one
-sort. Exponential means recur without end, which no frame expresses: they are folded over the sorted rows in Arrow
-batches, with each series' last mean carried on, so that a long series never is in memory as a whole.
+sort. Exponential means recur without end, which no frame expresses: like ranks in wide windows and kernels of one's own
+they are folded over the sorted rows (fold.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping
-from itertools import pairwise
+from collections.abc import Callable, Iterable, Mapping
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import Const, Field, Node, core, parse
+from .fold import SLIDING, SLIDING_FROM, ExponentialMean, Kernel, folded
 from .pair import PAIR
 from .rowwise import ROWWISE
 from .window import WINDOW
@@ -40,40 +36,22 @@ def clean(panel: DataFrame, fields: Iterable[str]) -> DataFrame:
     return panel.withColumns({f: number(f) for f in fields})
 
 
-def _ema_fold(columns: dict[str, tuple[str, int]]):
-    """Adds exponential means (name -> source, span) to rows that come sorted by instrument and time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = object(), {}  # the open series; per mean its last value and the missing ones since
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column("instrument_id")
-            edges = [0, *(k + 1 for k, same in enumerate(pc.equal(names[1:], names[:-1]).fill_null(False).to_pylist()) if not same), batch.num_rows]
-            made = {out: np.empty(batch.num_rows) for out in columns}
-            for a, z in pairwise(edges):
-                own = names[a].as_py()
-                if own != now:
-                    now, last = own, {}
-                for out, (source, n) in columns.items():
-                    x = batch.column(source)[a:z].to_numpy(zero_copy_only=False).astype(float)
-                    value, gap = last.get(out, (np.nan, 0))
-                    before = np.concatenate([[value], np.full(gap, np.nan)]) if value == value else np.zeros(0)
-                    y = pd.Series(np.concatenate([before, x])).ewm(span=n, adjust=False).mean().to_numpy()[len(before) :]
-                    made[out][a:z] = y
-                    seen = np.flatnonzero(x == x)
-                    last[out] = (y[-1], len(x) - 1 - seen[-1] if len(seen) else gap + len(x))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, from_pandas=True) for v in made.values())], names=[*batch.schema.names, *made])
-
-    return run
+#: Operators of one's own that are kernels: name -> the kernel of a window (or of none).
+KERNELS: dict[str, Callable[..., Kernel]] = {}
+
+
+def kernel_of(node: Node) -> Kernel | None:
+    """The kernel that computes a node, where it is one's work."""
+    if node.op == "Ema":
+        return ExponentialMean(node.params[0])
+    if node.op in SLIDING and node.params[0] >= SLIDING_FROM:
+        return SLIDING[node.op](node.params[0])
+    return KERNELS[node.op](*node.params) if node.op in KERNELS else None
 
 
 def with_means(df: DataFrame, means: Mapping[str, tuple[Column, int]]) -> DataFrame:
     """df with exponential means over each instrument's time: name -> (operand, span)."""
-    df = df.withColumns({f"{name}_in": c for name, (c, _) in means.items()})
-    made = {name: (f"{name}_in", n) for name, (_, n) in means.items()}
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{m}` double" for m in made)])
-    return df.repartition("instrument_id").sortWithinPartitions("instrument_id", "time").mapInArrow(_ema_fold(made), schema)
+    return folded(df, {name: (ExponentialMean(n), (c,)) for name, (c, n) in means.items()})
 
 
 def evaluate(panel: DataFrame, formulas: Mapping[str, str], keep: Iterable[str] = KEYS) -> DataFrame:
@@ -114,8 +92,8 @@ def evaluate(panel: DataFrame, formulas: Mapping[str, str], keep: Iterable[str]
         for n in (n for n, d in level.items() if d == depth):
             args = [value(c) for c in n.children]
             name = f"_w{len(columns) + len(new) + len(means)}"
-            if n.op == "Ema":
-                means[n] = (name, args[0], n.params[0])
+            if (kernel := kernel_of(n)) is not None:
+                means[n] = (name, kernel, tuple(args))
             elif n.op in PAIR:
                 new[n] = (name, PAIR[n.op](*args, by_time(), *n.params))
             else:
@@ -124,7 +102,7 @@ def evaluate(panel: DataFrame, formulas: Mapping[str, str], keep: Iterable[str]
             df = df.withColumns({name: c for name, c in new.values()})
             columns.update({n: name for n, (name, _) in new.items()})
         if means:
-            df = with_means(df, {name: (c, n) for name, c, n in means.values()})
+            df = folded(df, {name: (kernel, operands) for name, kernel, operands in means.values()})
             columns.update({n: name for n, (name, _, _) in means.items()})
     return df.select(*keep, *(value(t).cast("double").alias(k) for k, t in trees.items()))
 
