@@ -16,7 +16,8 @@ DIRECTIONS = {
     "Gross Return": 1, "Net Return": 1, "Gross Volatility": -1, "Net Volatility": -1, "Gross Sharpe": 1, "Net Sharpe": 1, "Gross Sortino": 1, "Net Sortino": 1,
     "Gross MaxDD": -1, "Net MaxDD": -1, "Gross Calmar": 1, "Net Calmar": 1, "Gross Win Rate": 1, "Net Win Rate": 1, "Turnover": -1, "TS IC": 1, "TS RankIC": 1, "TS ICIR": 1, "TS RankICIR": 1, "T-corr": 1,
 }
-FEES = {"C0": 0.0002, "FG0": 0.0002}
+#: Days that a label of a period overlaps with the next; others count as one.
+OVERLAP = {"1D": 1, "1W": 7, "1M": 30, "1Q": 90, "1Y": 365}
 
 
 def fee_of(fees: dict[str, float] | float) -> Column:
@@ -75,10 +76,10 @@ def scoped(df: DataFrame) -> DataFrame:
     return df.withColumn("year", F.explode(F.array(F.year("time").cast("string"), F.lit("all"))))
 
 
-def summary(series: DataFrame, interest: str = "simple", calmar: str = "reference") -> DataFrame:
+def summary(series: DataFrame, interest: str = "simple", calmar: str = "reference", method: str = "1D") -> DataFrame:
     """One row per instrument, factor and year or 'all' of a daily() frame, with the metrics of DIRECTIONS and count.
 
-    calmar='reference' divides by the volatility, 'true' by the largest drawdown."""
+    calmar='reference' divides by the volatility, 'true' by the largest drawdown; method is the labels' period."""
     if interest not in ("simple", "compound") or calmar not in ("reference", "true"):
         raise ValueError(f"unknown interest {interest} or calmar {calmar}")
     keys = [*SERIES, "year"]
@@ -109,7 +110,8 @@ def summary(series: DataFrame, interest: str = "simple", calmar: str = "referenc
         ratio = F.when(F.count(x).over(years) >= 2, F.avg(x).over(years) / (F.stddev_samp(x).over(years) + 1e-6))
         df = df.withColumn(f"{ic}IR", F.when(F.col("year") == "all", ratio))
     # the whole period's figure has no root: filters were tuned on it
-    df = df.withColumn("T-corr", F.when(F.col("year") == "all", F.col("_n").cast("double")).otherwise(F.sqrt("_n")))
+    apart = F.col("_n") / float(OVERLAP.get(method, 1))
+    df = df.withColumn("T-corr", F.when(F.col("year") == "all", apart).otherwise(F.sqrt(apart)))
     return df.select(*keys, *DIRECTIONS, F.lit(1).cast("long").alias("count"))
 
 

@@ -42,7 +42,7 @@ def backtest(panel: DataFrame, formulas: Mapping[str, str], options: Options = O
     if options.baselines:
         frame = metrics.baselines(frame)
     series = metrics.daily(frame, options.fees, options.rollover_cost)
-    return metrics.summary(series, options.interest, options.calmar), detail(series, options.interest)
+    return metrics.summary(series, options.interest, options.calmar, options.method), detail(series, options.interest)
 
 
 def detail(series: DataFrame, interest: str = "simple") -> DataFrame:

@@ -179,7 +179,7 @@ def backtested(predictions: DataFrame, name: str = "signal", options: Options =
     """The summary of predictions (instrument_id, time, prediction, future_ret) as a factor's positions."""
     keep = [c for c in ("instrument_id", "time", "future_ret", "is_rollover") if c in predictions.columns]
     frame = predictions.select(*keep, F.lit(name).alias("factor_name"), F.col("prediction").alias("factor_value"))
-    return metrics.summary(metrics.daily(frame, options.fees, options.rollover_cost), options.interest, options.calmar)
+    return metrics.summary(metrics.daily(frame, options.fees, options.rollover_cost), options.interest, options.calmar, options.method)
 
 
 def top_return(predictions: DataFrame, n: int = 10, label: str = "future_ret", by: tuple[str, ...] = ("time",)) -> DataFrame:

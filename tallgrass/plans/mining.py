@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterable, Mapping
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,7 @@ from ..functions.scalars import root_symbol, sanitised
 from ..operators.compiler import evaluate
 from .backtest import Options, labelled
 from .refine import Refine, refined
+from .runs import Run
 
 
 @dataclass(frozen=True)
@@ -263,58 +265,104 @@ def _climbed(panel: DataFrame, made: Mapping[str, tuple[float, int]], search: Se
     return out
 
 
-def mine(panel: DataFrame, search: Search = Search(), options: Options = Options()) -> list[tuple[str, float]]:
+def _stored(rng: random.Random, trees: Mapping[str, object], scored: Mapping[str, tuple[float, int]], elite: Archive, best: float, still: int, shaken: int) -> dict:
+    return {"rng": rng.getstate(), "trees": list(trees), "scored": [[f, *v] for f, v in scored.items()], "held": elite.held, "best": best, "still": still, "shaken": shaken}
+
+
+def mine(panel: DataFrame, search: Search = Search(), options: Options = Options(), run: Run | None = None) -> list[tuple[str, float]]:
     """(formula, fitness) of the archive, best first; the same for the same seed.
 
     A search that stands still for shock_after generations is shaken for shock_length: it mutates twice as often and a
-    share of each generation is grown anew. It ends after patience generations without a better fitness."""
+    share of each generation is grown anew. It ends after patience generations without a better fitness.
+
+    With a run each generation is stored: a stopped search returns what its archive has, and goes on from there when it is
+    started again."""
     rng = random.Random(search.seed)
     panel = panel.persist()
     grown = lambda n: {str(t): t for t in (random_tree(rng, search) for _ in range(3 * n)) if isinstance(t, Node)}
-    trees = dict(list(grown(search.population).items())[: search.population])
     scored: dict[str, tuple[float, int]] = {}
     elite = Archive(search.elite, search.related)
-    best, still, shaken = float("-inf"), 0, 0
-    for number in range(search.generations):
-        fresh = [t for f, t in trees.items() if f not in scored]
-        made = fitness(panel, fresh, search, options) if fresh else {}
-        if search.gradient and search.gradient.every and (number + 1) % search.gradient.every == 0:
-            made |= _climbed(panel, made, search, options, trees)
-        scored |= made
-        elite.admit_all(panel, made)
-        top = max(scored[f][0] for f in trees)
-        still = 0 if top > best + 1e-12 else still + 1
-        best = max(best, top)
-        if still >= search.patience:
-            break
-        shaken = search.shock_length if still >= search.shock_after and not shaken else max(0, shaken - 1)
-        ranked = sorted(trees, key=lambda f: (-scored[f][0], f))
-        pick = lambda: trees[min(rng.sample(ranked, min(search.tournament, len(ranked))), key=ranked.index)]  # noqa: E731,B023
-        rate = min(1.0, search.mutation * (2 if shaken else 1))
-        new = {f: trees[f] for f in ranked[: max(1, search.population // 10)]}
-        if shaken:
-            new |= dict(list(grown(search.population).items())[: int(search.population * search.shock_fresh)])
-        for _ in range(20 * search.population):
-            if len(new) >= search.population:
-                break
-            child = crossed(rng, pick(), pick(), search) if rng.random() < search.crossover else pick()
-            child = mutated(rng, child, search) if rng.random() < rate else child
-            new[str(child)] = child
-        trees = new
-    for _ in range(search.refine):
-        steps = {str(n): n for f in elite.best() for n in neighbours(parse(f), search)}
-        fresh = [t for f, t in steps.items() if f not in scored]
-        if not fresh:
+    best, still, shaken, first = float("-inf"), 0, 0, 0
+    held = run.latest() if run else None
+    if held:
+        version, words, gauss = held["rng"]
+        rng.setstate((version, tuple(words), gauss))
+        trees = {f: parse(f) for f in held["trees"]}
+        scored = {f: (v, sign) for f, v, sign in held["scored"]}
+        elite.held, best, still, shaken, first = held["held"], held["best"], held["still"], held["shaken"], held["next"]
+    else:
+        trees = dict(list(grown(search.population).items())[: search.population])
+
+    def note(number: int, state: str) -> None:
+        if run:
+            run.log(number, search.generations, state, best, len(scored), len(elite.held))
+
+    def result() -> list[tuple[str, float]]:
+        panel.unpersist()
+        return [(f if scored[f][1] > 0 else f"Neg({f})", scored[f][0]) for f in elite.best()]
+
+    try:
+        with run.tagged() if run else nullcontext():
+            for number in range(first, search.generations):
+                if run and run.stopping():
+                    note(number, "stopped")
+                    return result()
+                fresh = [t for f, t in trees.items() if f not in scored]
+                made = fitness(panel, fresh, search, options) if fresh else {}
+                if search.gradient and search.gradient.every and (number + 1) % search.gradient.every == 0:
+                    made |= _climbed(panel, made, search, options, trees)
+                scored |= made
+                elite.admit_all(panel, made)
+                top = max(scored[f][0] for f in trees)
+                still = 0 if top > best + 1e-12 else still + 1
+                best = max(best, top)
+                last = still >= search.patience
+                if not last:
+                    shaken = search.shock_length if still >= search.shock_after and not shaken else max(0, shaken - 1)
+                    trees = _next(rng, trees, scored, search, bool(shaken), grown)
+                if run:
+                    run.save(number, _stored(rng, trees, scored, elite, best, still, shaken) | {"next": search.generations if last else number + 1})
+                note(number, "running")
+                if last:
+                    break
+            for _ in range(search.refine):
+                steps = {str(n): n for f in elite.best() for n in neighbours(parse(f), search)}
+                fresh = [t for f, t in steps.items() if f not in scored]
+                if not fresh:
+                    break
+                made = fitness(panel, fresh, search, options)
+                scored |= made
+                elite.admit_all(panel, made)
+            if search.gradient and not search.gradient.every and elite.held:
+                made = _climbed(panel, {f: scored[f] for f in elite.best()}, search, options)
+                scored |= made
+                elite.admit_all(panel, made)
+    except Exception:
+        # cancelled jobs raise: what has been stored stands, and the search says that it was stopped
+        if not (run and run.stopping()):
+            note(first, "failed")
+            raise
+        note(first, "stopped")
+        return result()
+    note(search.generations, "done")
+    return result()
+
+
+def _next(rng: random.Random, trees: Mapping[str, object], scored: Mapping[str, tuple[float, int]], search: Search, shaken: bool, grown: Callable[[int], dict]) -> dict:
+    """The next generation: the best as they are, when shaken new ones, and children of tournaments' winners."""
+    ranked = sorted(trees, key=lambda f: (-scored[f][0], f))
+    pick = lambda: trees[min(rng.sample(ranked, min(search.tournament, len(ranked))), key=ranked.index)]
+    rate = min(1.0, search.mutation * (2 if shaken else 1))
+    new = {f: trees[f] for f in ranked[: max(1, search.population // 10)]}
+    if shaken:
+        new |= dict(list(grown(search.population).items())[: int(search.population * search.shock_fresh)])
+    for _ in range(20 * search.population):
+        if len(new) >= search.population:
             break
-        made = fitness(panel, fresh, search, options)
-        scored |= made
-        elite.admit_all(panel, made)
-    if search.gradient and not search.gradient.every and elite.held:
-        made = _climbed(panel, {f: scored[f] for f in elite.best()}, search, options)
-        scored |= made
-        elite.admit_all(panel, made)
-    panel.unpersist()
-    return [(f if scored[f][1] > 0 else f"Neg({f})", scored[f][0]) for f in elite.best()]
+        child = crossed(rng, pick(), pick(), search) if rng.random() < search.crossover else pick()
+        child = mutated(rng, child, search) if rng.random() < rate else child
+        new[str(child)] = child
+    return new
 
 
 def named(found: list[tuple[str, float]]) -> dict[str, str]:

@@ -9,6 +9,7 @@ from ..functions.formula import parse
 from ..operators.compiler import evaluate
 from ..sources import panels
 from . import learning, mining, refine, select
+from .backtest import Options, backtest
 from .boosting import HistogramBoosting
 from .queries import _LABEL, _V, PANEL_SQL, TESTED, query, rounded
 
@@ -123,3 +124,22 @@ _STORED = {"d5o": "TsDelta(open, 5)", "d3o": "TsDelta(open, 3)", "v": "volume"}
 def rank_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlations of all pairs of new and stored factors, with three patterns of missing values among them."""
     return rounded(select.spearman(panels.lineitem_panel(spark, sf_dir), _MANY, _STORED))
+
+
+# --- labels of longer periods
+
+_MONTHLY = f"""{PANEL_SQL}, ends AS (SELECT *, first_value(open) OVER (PARTITION BY instrument_id ORDER BY time RANGE BETWEEN INTERVAL 1 MONTH FOLLOWING AND INTERVAL 2 MONTH FOLLOWING) AS later FROM panel),
+ lab AS (SELECT *, lead(later) OVER ({_I}) / nullif(lead(open) OVER ({_I}), 0) - 1 AS future_ret FROM ends)"""
+
+
+@query("monthly_label", f"WITH {_MONTHLY} SELECT instrument_id, time, round(future_ret, 6) + 0.0 AS future_ret FROM lab")
+def monthly_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(panels.future_return(panels.lineitem_panel(spark, sf_dir), "1M").select("instrument_id", "time", "future_ret"))
+
+
+@query("monthly_t_corr", f"""WITH {_MONTHLY}, r AS (SELECT instrument_id, CAST(year(time) AS VARCHAR) AS year, -((close - low) / (high - low + 1e-8)) AS f, future_ret FROM lab),
+ s AS (SELECT * FROM r UNION ALL SELECT instrument_id, 'all', f, future_ret FROM r)
+ SELECT instrument_id, year, round(CASE WHEN year = 'all' THEN count(*) / 30.0 ELSE sqrt(count(*) / 30.0) END, 6) AS t_corr, round(corr(f, future_ret), 6) + 0.0 AS ts_ic FROM s GROUP BY 1, 2""")
+def monthly_t_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = backtest(panels.lineitem_panel(spark, sf_dir), {"reversal": TESTED["reversal"]}, Options(method="1M"), check=False)[0]
+    return rounded(df.select("instrument_id", "year", F.col("T-corr").alias("t_corr"), F.col("TS IC").alias("ts_ic")))

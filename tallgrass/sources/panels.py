@@ -64,13 +64,25 @@ def weighted_price(panel: DataFrame, factor: str = "weighted_factor", prices: tu
     return panel.withColumns({p: F.col(p) * f for p in prices})
 
 
-def future_return(panel: DataFrame, method: str = "1D") -> Column:
-    """Return of holding from tomorrow's open to the next: open[t+2] / open[t+1] - 1, opens carried forward."""
-    if method != "1D":
-        raise ValueError(f"no label is defined for {method}")
+#: Holding periods of labels beside the day: so many units of the calendar.
+PERIODS = {"1W": (7, "DAY"), "1M": (1, "MONTH"), "1Q": (3, "MONTH"), "1Y": (12, "MONTH")}
+
+
+def future_return(panel: DataFrame, method: str = "1D") -> DataFrame:
+    """panel with future_ret, opens carried forward. 1D: from tomorrow's open to the next, open[t+2] / open[t+1] - 1. A
+    longer period of PERIODS: from tomorrow's open to the first open a calendar period or more after it, whatever days
+    the series has; none within one period more leaves the label out."""
     padded = F.last("open", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
     panel = panel.withColumn("_open", padded)
-    return panel.withColumn("future_ret", F.try_divide(F.lead("_open", 2).over(by_time()), F.lead("_open", 1).over(by_time())) - 1).drop("_open")
+    if method == "1D":
+        return panel.withColumn("future_ret", F.try_divide(F.lead("_open", 2).over(by_time()), F.lead("_open", 1).over(by_time())) - 1).drop("_open")
+    if method not in PERIODS:
+        raise ValueError(f"no label is defined for {method}; there are 1D, {', '.join(PERIODS)}")
+    # the exit is a row of the same series in a frame of time, so that no join is needed and the sort is the one that others share
+    n, unit = PERIODS[method]
+    later = F.expr(f"first(_open) OVER (PARTITION BY instrument_id ORDER BY CAST(time AS TIMESTAMP) RANGE BETWEEN INTERVAL '{n}' {unit} FOLLOWING AND INTERVAL '{2 * n}' {unit} FOLLOWING)")
+    panel = panel.withColumn("_exit", later)
+    return panel.withColumn("future_ret", F.try_divide(F.lead("_exit").over(by_time()), F.lead("_open").over(by_time())) - 1).drop("_open", "_exit")
 
 
 def excess_return(panel: DataFrame, rates: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def test_metrics_by_hand(spark):
 
 def test_backtest_options(panel):
     with pytest.raises(ValueError):
-        backtest(panel, {"a": "close"}, Options(method="1M"))
+        backtest(panel, {"a": "close"}, Options(method="1H"))
     with pytest.raises(ValueError, match="duplicate"):
         backtest(panel.unionByName(panel.limit(1)), {"a": "close"})
     summary, detail = backtest(panel, {"a": "StochasticK(close)"}, Options(baselines=True, interest="compound"))
