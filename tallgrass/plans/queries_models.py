@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.formula import parse
 from ..operators.compiler import evaluate
 from ..sources import panels
-from . import learning, mining, refine, select
+from . import fusion, learning, mining, refine, select
 from .backtest import Options, backtest
 from .boosting import HistogramBoosting
 from .queries import _LABEL, _V, PANEL_SQL, TESTED, query, rounded
@@ -143,3 +143,37 @@ def monthly_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_t_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = backtest(panels.lineitem_panel(spark, sf_dir), {"reversal": TESTED["reversal"]}, Options(method="1M"), check=False)[0]
     return rounded(df.select("instrument_id", "year", F.col("T-corr").alias("t_corr"), F.col("TS IC").alias("ts_ic")))
+
+
+# --- fusion: the greedy path over the scores of all sets of four candidates
+
+_CANDIDATES = {"a": TESTED["momentum"], "b": TESTED["reversal"], "c": "Neg(TsRank(close, 5))", "d": "Neg(Bias(close, 5))"}
+_SETS = [m for m in range(1, 16)]
+
+
+def _fusion(share: float, cut: str) -> str:
+    """Scores of every set of candidates, by their mean, before a day and from it on; then the best addition round by round."""
+    mean = lambda m: f"({' + '.join(f'coalesce({c}, 0)' for k, c in enumerate('abcd') if m >> k & 1)}) / nullif({' + '.join(f'CAST({c} IS NOT NULL AS INT)' for k, c in enumerate('abcd') if m >> k & 1)}, 0)"
+    sets = " UNION ALL ".join(f"SELECT {m} AS mask, instrument_id, time, future_ret, {mean(m)} AS f FROM wide" for m in _SETS)
+    one = lambda r, before: f"""r{r} AS (SELECT {r} AS round, n.name, n.bit, s.mask, s.s FROM {before} p JOIN names n ON (p.mask & n.bit) = 0 JOIN total s ON s.mask = p.mask + n.bit WHERE s.s > p.s ORDER BY s.s DESC, n.name LIMIT 1)"""
+    return f"""{_V}, lows AS (SELECT *, lag(close, 1) OVER w AS l1, lag(close, 2) OVER w AS l2, lag(close, 3) OVER w AS l3, lag(close, 4) OVER w AS l4 FROM lab WINDOW w AS ({_I})),
+ wide AS (SELECT l.instrument_id, l.time, l.future_ret, m.factor_value AS a, v.factor_value AS b,
+  CASE WHEN l4 IS NOT NULL THEN -((CAST(l1 < close AS INT) + CAST(l2 < close AS INT) + CAST(l3 < close AS INT) + CAST(l4 < close AS INT)) + 0.5 * (1 + CAST(l1 = close AS INT) + CAST(l2 = close AS INT) + CAST(l3 = close AS INT) + CAST(l4 = close AS INT)) + 0.5) / 5 END AS c,
+  CASE WHEN l4 IS NOT NULL THEN -(close / ((close + l1 + l2 + l3 + l4) / 5) - 1) END AS d
+  FROM lows l JOIN vals m ON m.factor_name = 'momentum' AND m.instrument_id = l.instrument_id AND m.time = l.time JOIN vals v ON v.factor_name = 'reversal' AND v.instrument_id = l.instrument_id AND v.time = l.time),
+ sets AS ({sets}), spans AS (SELECT *, time < TIMESTAMP '{cut}' AS inside FROM sets),
+ ics AS (SELECT mask, inside, instrument_id, year(time) AS year, corr(f, future_ret) AS ic FROM spans WHERE f IS NOT NULL AND future_ret IS NOT NULL GROUP BY 1, 2, 3, 4),
+ wholes AS (SELECT mask, inside, instrument_id, corr(f, future_ret) AS ic FROM spans WHERE f IS NOT NULL AND future_ret IS NOT NULL GROUP BY 1, 2, 3),
+ ratios AS (SELECT mask, inside, instrument_id, avg(ic) / (stddev_samp(ic) + 1e-6) AS ir FROM ics GROUP BY 1, 2, 3 HAVING count(ic) >= 2),
+ parts AS (SELECT mask, inside, avg(0.3 * ic + 0.7 * ir) AS s FROM wholes JOIN ratios USING (mask, inside, instrument_id) GROUP BY 1, 2),
+ total AS (SELECT mask, sum(s * CASE WHEN inside THEN {1 - share} ELSE {share} END) AS s FROM parts GROUP BY 1),
+ names(name, bit, formula) AS (VALUES {', '.join(f"('{k}', {1 << j}, '{f}')" for j, (k, f) in enumerate(_CANDIDATES.items()))}),
+ none AS (SELECT 0 AS mask, CAST('-infinity' AS DOUBLE) AS s), {one(1, 'none')}, {one(2, 'r1')}, {one(3, 'r2')}, {one(4, 'r3')}, path AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4)
+ SELECT CAST(round AS INT) AS round, path.name AS factor_name, round(s, 6) AS score, (SELECT CASE WHEN count(*) > 1 THEN 'NanMean(' || string_agg(n.formula, ', ' ORDER BY p.round) || ')' ELSE any_value(n.formula) END FROM path p JOIN names n ON n.name = p.name) AS formula FROM path"""
+
+
+@query("fusion", f"WITH {_fusion(0.25, '1999-01-01')}")
+def fusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outside = fusion.Outside(0.25, ("1999-01-01", None), (None, "1998-12-31"))
+    names, formula, path = fusion.fuse(panels.lineitem_panel(spark, sf_dir), _CANDIDATES, outside=outside)
+    return spark.createDataFrame([(k + 1, n, round(s, 6), formula) for k, (n, s) in enumerate(zip(names, path, strict=True))], "round int, factor_name string, score double, formula string")

@@ -13,7 +13,7 @@ from ..operators import extend
 from ..operators.compiler import evaluate
 from ..sources import panels, store
 from ..streaming.bars import bars
-from . import fusion, mining, pipeline, reports, rollover, select, strategy, xsection
+from . import mining, pipeline, reports, rollover, select, strategy, xsection
 from .backtest import Options, backtest, labelled
 from .queries import _LABEL, _METRIC_SQL, _SUM, _V, PANEL_SQL, TESTED, query, rounded
 
@@ -292,15 +292,6 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(strategy.attribution(series, log))
 
 
-_CANDIDATES = {"a": TESTED["momentum"], "b": TESTED["reversal"], "c": "Neg(TsRank(close, 5))", "d": "Neg(Bias(close, 5))"}
-
-
-@query("fusion")
-def fusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names, formula, path = fusion.fuse(panels.lineitem_panel(spark, sf_dir), _CANDIDATES, most=3)
-    return spark.createDataFrame([(k + 1, n, round(s, 6), formula) for k, (n, s) in enumerate(zip(names, path, strict=True))], "round int, factor_name string, score double, formula string")
-
-
 @query("mining")
 def mining_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mining.mine(panels.orders_panel(spark, sf_dir), mining.Search(population=20, generations=3))

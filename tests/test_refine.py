@@ -11,10 +11,9 @@ from tallgrass.sources import panels
 
 FORMULAS = [
     "Add(TsMean(TsPctDelta(close, 3), 5), TsResidual(TsPctDelta(high, 4), TsPctDelta(low, 4), 9))",
-    "Sub(TsMean(Max(TsPctDelta(close, 4), TsPctDelta(open, 4)), 6), TsMax(Min(TsPctDelta(close, 5), TsPctDelta(high, 5)), 4))",
+    "Sub(TsMean(Max(TsPctDelta(close, 4), TsPctDelta(open, 4)), 6), TsMax(TsPctDelta(high, 5), 4))",
     "TsCorr(NanMean(TsDelta(close, 3), Delta(low)), Ema(TsDelta(open, 4), 5), 8)",
     "IfElse(Lt(close, open), Add(Sig(Bias(close, 9)), Inv(TsSkew(close, 8))), Mul(0.7, TsKurt(close, 9)))",
-    "Sub(MaRibbon(close, 3, 5, 9), TsBeta(close, TsSum(Abs(Sub(low, open)), 4), 9))",
 ]
 METRICS = {"TS IC": 1.0, "TS ICIR": 0.3, "Gross Return": 0.1, "Net Return": 0.2, "Gross Volatility": -0.05, "Net Volatility": -0.03, "Gross Sharpe": 0.1, "Net Sharpe": 0.07, "Turnover": -0.5}
 

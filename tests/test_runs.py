@@ -30,7 +30,7 @@ class Stopping(runs.Run):
 
 
 def test_a_stopped_search_goes_on_to_the_same_result(spark, panel, tmp_path):
-    search = mining.Search(population=6, generations=3, max_depth=3, seed=3, elite=4)
+    search = mining.Search(population=4, generations=2, max_depth=2, seed=3, elite=3)
     want = mining.mine(panel, search)
     for name, within in (("between", False), ("within", True)):
         run = Stopping(spark, str(tmp_path), name)
@@ -42,7 +42,7 @@ def test_a_stopped_search_goes_on_to_the_same_result(spark, panel, tmp_path):
         again.resume()
         assert mining.mine(panel, search, run=again) == want
         states = [(r["generation"], r["state"]) for r in again.status().collect()]
-        assert [g for g, s in states if s == "running"] == [0, 1, 2] and states[-1] == (3, "done")
+        assert [g for g, s in states if s == "running"] == [0, 1] and states[-1] == (2, "done")
     seen = {r["run"]: r["state"] for r in runs.overview(spark, str(tmp_path)).collect()}
     assert seen == {"between": "done", "within": "done"}
     with pytest.raises(ValueError):
