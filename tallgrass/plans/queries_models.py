@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formula import parse
+from ..functions import metrics
 from ..operators.compiler import evaluate
 from ..sources import panels
-from . import fusion, learning, mining, refine, select
+from . import fusion, learning, mining, refine, select, strategy
 from .backtest import Options, backtest
 from .boosting import HistogramBoosting
 from .queries import _LABEL, _V, PANEL_SQL, TESTED, query, rounded
+from .queries_more import _LOG, _simulated
 
 _I = "PARTITION BY instrument_id ORDER BY time"
 _REFINED = "Sub(TsPctDelta(close, 5), TsPctDelta(open, 10))"
@@ -177,3 +179,41 @@ def fusion_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     outside = fusion.Outside(0.25, ("1999-01-01", None), (None, "1998-12-31"))
     names, formula, path = fusion.fuse(panels.lineitem_panel(spark, sf_dir), _CANDIDATES, outside=outside)
     return spark.createDataFrame([(k + 1, n, round(s, 6), formula) for k, (n, s) in enumerate(zip(names, path, strict=True))], "round int, factor_name string, score double, formula string")
+
+
+# --- a backtest beside a simulation, day by day
+
+_SIGN = "sign(coalesce({}, 0)) <> sign(coalesce({}, 0))".format
+_TAGS = {
+    "factor_value_mismatch": "abs(factor_diff) > 1e-6", "exposure_mismatch": "abs(exposure_diff) > 0.05", "cost_model_gap": "abs(bt_cost - st_cost) > 1e-4", "ret_sign_mismatch": _SIGN("bt_net", "st_net"), "position_direction_mismatch": _SIGN("bt_factor", "st_exposure"),
+    "margin_constraint": "contains(warning, 'margin')", "lot_size_floor": "contains(warning, 'below_one_lot')", "strategy_terminated": "contains(warning, 'equity_gone')",
+}
+_BESIDE = f"""{_LOG}, bt AS (SELECT instrument_id, time, factor_value AS bt_factor, future_ret AS bt_future, gross_ret AS bt_gross, net_ret AS bt_net, turnover AS bt_turnover FROM series WHERE factor_name = 'momentum'),
+ st AS (SELECT instrument_id, time, factor_value AS st_factor, lots * open * 10 / 1000000.0 AS st_exposure, next_open / nullif(open, 0) - 1 AS st_future, open_to_open_pnl / 1000000.0 AS st_gross, (open_to_open_pnl - fee - slippage_cost) / 1000000.0 AS st_net, abs(delta_lots) * open * 10 / 1000000.0 AS st_turnover, warning FROM log),
+ paired AS (SELECT bt.*, lead(st.time) OVER w AS traded, lead(st_factor) OVER w AS st_factor, lead(st_exposure) OVER w AS st_exposure, lead(st_future) OVER w AS st_future, lead(st_gross) OVER w AS st_gross, lead(st_net) OVER w AS st_net, lead(st_turnover) OVER w AS st_turnover, lead(warning) OVER w AS warning FROM bt JOIN st ON bt.instrument_id = st.instrument_id AND bt.time = st.time WINDOW w AS (PARTITION BY bt.instrument_id ORDER BY bt.time)),
+ differed AS (SELECT *, bt_gross - bt_net AS bt_cost, st_gross - st_net AS st_cost, bt_factor - st_factor AS factor_diff, bt_factor - st_exposure AS exposure_diff, abs(bt_net - st_net) AS off FROM paired WHERE traded IS NOT NULL),
+ marked AS (SELECT *, concat_ws('|', {', '.join(f"CASE WHEN {x} THEN '{k}' END" for k, x in _TAGS.items())}) AS r FROM differed), tagged AS (SELECT *, CASE WHEN r = '' THEN 'no_strong_signal' ELSE r END AS reasons FROM marked)"""
+
+
+def _beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame, log = _simulated(spark, sf_dir)
+    return strategy.comparison(metrics.daily(panels.future_return(frame)), log)
+
+
+@query("daily_comparison", f"""{_BESIDE} SELECT instrument_id, time, traded, round(bt_net, 6) + 0.0 AS bt_net_ret, round(st_net, 6) + 0.0 AS st_net_ret, round(bt_future - st_future, 6) + 0.0 AS future_ret_diff, round(bt_gross - st_gross, 6) + 0.0 AS gross_ret_diff, round(bt_cost - st_cost, 6) + 0.0 AS cost_diff, round(exposure_diff, 6) + 0.0 AS exposure_diff, round(st_turnover, 6) + 0.0 AS st_turnover,
+ coalesce(bt_net > 0 AND st_net < 0, false) AS bt_win_st_lose, {_SIGN('bt_future', 'st_future')} AS sign_mismatch_future_ret, reasons FROM tagged""")
+def daily_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _beside(spark, sf_dir)
+    return rounded(df.select("instrument_id", "time", "traded", "bt_net_ret", "st_net_ret", "future_ret_diff", "gross_ret_diff", "cost_diff", "exposure_diff", "st_turnover", "bt_win_st_lose", "sign_mismatch_future_ret", "reasons"))
+
+
+@query("reason_scoreboard", f"""{_BESIDE}, one AS (SELECT unnest(string_split(reasons, '|')) AS reason, off FROM tagged) SELECT reason, count(*) AS days, round(count(*) / (SELECT count(*) FROM tagged), 6) AS share, round(avg(off), 6) AS mean_abs_diff, round(sum(off), 4) AS sum_abs_diff FROM one GROUP BY 1""")
+def reason_scoreboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = strategy.scoreboard(_beside(spark, sf_dir))
+    return rounded(df.withColumn("sum_abs_diff", F.round("sum_abs_diff", 4)))
+
+
+@query("comparison_summary", f"""{_BESIDE} SELECT instrument_id, 'momentum' AS factor_name, count(*) AS days, round(sum(bt_net), 5) AS bt_total, round(sum(st_net), 5) AS st_total, round(corr(bt_net, st_net), 6) AS corr, round(avg(CAST({_SIGN('bt_net', 'st_net')} AS INT)), 6) AS sign_mismatch_ratio, count(*) FILTER (bt_net > 0 AND st_net < 0) AS bt_win_st_lose_days, count(*) FILTER (st_net > 0 AND bt_net < 0) AS st_win_bt_lose_days FROM tagged GROUP BY 1""")
+def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = strategy.comparison_summary(_beside(spark, sf_dir)).drop("gap", "mean_abs_diff")
+    return rounded(df.withColumns({c: F.round(c, 5) for c in ("bt_total", "st_total")}))

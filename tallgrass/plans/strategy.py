@@ -127,3 +127,77 @@ def attribution(series: DataFrame, log: DataFrame, account: Account = Account(),
     df = df.withColumn("st_ret", (F.col("open_to_open_pnl") - F.col("fee") - F.col("slippage_cost")) / account.capital)
     reason = F.concat_ws("|", F.when(F.abs("exposure_diff") > tolerance, "rounding"), F.when(F.col("warning").contains("margin"), "margin"), F.when(F.col("warning").contains("below_one_lot"), "below_one_lot"), F.when((F.col("fee") + F.col("slippage_cost")) > 0, "costs"))
     return df.withColumn("reason", reason)
+
+
+@dataclass(frozen=True)
+class Tolerance:
+    factor: float = 1e-6
+    exposure: float = 0.05
+    cost: float = 1e-4
+
+
+# The reasons for a day's difference, in the order in which they are listed.
+REASONS = ("factor_value_mismatch", "exposure_mismatch", "cost_model_gap", "ret_sign_mismatch", "position_direction_mismatch", "margin_constraint", "lot_size_floor", "strategy_terminated", "no_strong_signal")
+
+
+def comparison(series: DataFrame, log: DataFrame, account: Account = Account(), tolerance: Tolerance = Tolerance()) -> DataFrame:
+    """A backtest's daily series (bt_) beside a simulation's log (st_) of the same signal, with all differences and their reasons.
+
+    The simulation trades a signal signal_delay days later: its columns are those of that row of the days that both have.
+    Days whose trade lies beyond the last one are left out. Returns of the simulation are shares of the capital."""
+    keys = ["instrument_id", "factor_name"]
+    by = Window.partitionBy(*keys).orderBy("time")
+    a = series.select(*keys, "time", *(F.col(c).alias(f"bt_{c}") for c in ("factor_value", "future_ret", "gross_ret", "net_ret", "turnover")))
+    size, capital = float(account.multiplier), float(account.capital)
+    c = F.col
+    b = log.select(
+        *keys, "time", c("factor_value").alias("st_factor_value"), (c("lots") * c("open") * size / capital).alias("st_exposure"), (F.try_divide(c("next_open"), c("open")) - 1).alias("st_future_ret"),
+        (c("open_to_open_pnl") / capital).alias("st_gross_ret"), ((c("open_to_open_pnl") - c("fee") - c("slippage_cost")) / capital).alias("st_net_ret"), (F.abs("delta_lots") * c("open") * size / capital).alias("st_turnover"), "lots", "target_lots", "warning",
+    )
+    df = a.join(b, [*keys, "time"])
+    aligned = ("st_factor_value", "st_exposure", "st_future_ret", "st_gross_ret", "st_net_ret", "st_turnover", "lots", "target_lots", "warning")
+    if account.signal_delay:
+        traded = F.lead(F.struct(c("time").alias("traded"), *aligned), account.signal_delay).over(by)
+        df = df.withColumn("_later", traded).drop(*aligned).where("_later is not null").select("*", "_later.*").drop("_later")
+    else:
+        df = df.withColumn("traded", c("time"))
+    sign = lambda x: F.signum(F.coalesce(c(x), F.lit(0.0)))
+    df = df.withColumns({
+        "future_ret_diff": c("bt_future_ret") - c("st_future_ret"), "gross_ret_diff": c("bt_gross_ret") - c("st_gross_ret"), "net_ret_diff": c("bt_net_ret") - c("st_net_ret"),
+        "bt_cost": c("bt_gross_ret") - c("bt_net_ret"), "st_cost": c("st_gross_ret") - c("st_net_ret"), "factor_diff": c("bt_factor_value") - c("st_factor_value"), "exposure_diff": c("bt_factor_value") - c("st_exposure"),
+        "sign_mismatch_future_ret": sign("bt_future_ret") != sign("st_future_ret"), "sign_mismatch_net_ret": sign("bt_net_ret") != sign("st_net_ret"),
+        "sign_mismatch_factor": sign("bt_factor_value") != sign("st_factor_value"), "sign_mismatch_exposure": sign("bt_factor_value") != sign("st_exposure"),
+        "bt_win_st_lose": F.coalesce((c("bt_net_ret") > 0) & (c("st_net_ret") < 0), F.lit(False)), "st_win_bt_lose": F.coalesce((c("st_net_ret") > 0) & (c("bt_net_ret") < 0), F.lit(False)),
+    })
+    df = df.withColumns({"abs_future_ret_diff": F.abs("future_ret_diff"), "abs_net_ret_diff": F.abs("net_ret_diff"), "cost_diff": c("bt_cost") - c("st_cost")})
+    hits = (
+        F.abs("factor_diff") > tolerance.factor, F.abs("exposure_diff") > tolerance.exposure, F.abs("cost_diff") > tolerance.cost, c("sign_mismatch_net_ret"), c("sign_mismatch_exposure"),
+        c("warning").contains("margin"), c("warning").contains("below_one_lot"), c("warning").contains("equity_gone"),
+    )
+    found = F.concat_ws("|", *(F.when(hit, name) for hit, name in zip(hits, REASONS, strict=False)))
+    return df.withColumn("reasons", F.when(found == "", REASONS[-1]).otherwise(found))
+
+
+def scoreboard(compared: DataFrame) -> DataFrame:
+    """Per reason its days, their share of all, and the mean and sum of the net returns' absolute differences on them."""
+    total = compared.agg(F.count(F.lit(1)).alias("_all"))
+    one = compared.select(F.explode(F.split("reasons", "[|]")).alias("reason"), "abs_net_ret_diff")
+    df = one.groupBy("reason").agg(F.count(F.lit(1)).alias("days"), F.avg("abs_net_ret_diff").alias("mean_abs_diff"), F.sum("abs_net_ret_diff").alias("sum_abs_diff"))
+    return df.crossJoin(F.broadcast(total)).select("reason", "days", (F.col("days") / F.col("_all")).alias("share"), "mean_abs_diff", "sum_abs_diff")  # one row
+
+
+def bad_cases(compared: DataFrame, kind: str, n: int = 20) -> DataFrame:
+    """The n days on which one wins and the other loses (bt_win_st_lose, st_win_bt_lose), or any, by the largest difference."""
+    if kind not in ("bt_win_st_lose", "st_win_bt_lose", "all"):
+        raise ValueError(f"unknown kind {kind}")
+    rows = compared if kind == "all" else compared.where(kind)
+    return rows.orderBy(F.desc_nulls_last("abs_net_ret_diff"), "instrument_id", "factor_name", "time").limit(n)
+
+
+def comparison_summary(compared: DataFrame) -> DataFrame:
+    """Per instrument and factor: summed net returns and their gap, correlation, shares of differing signs, days won by one and lost by the other."""
+    share = lambda x: F.avg(F.col(x).cast("double"))
+    return compared.groupBy("instrument_id", "factor_name").agg(
+        F.count(F.lit(1)).alias("days"), F.sum("bt_net_ret").alias("bt_total"), F.sum("st_net_ret").alias("st_total"), (F.sum("bt_net_ret") - F.sum("st_net_ret")).alias("gap"), F.corr("bt_net_ret", "st_net_ret").alias("corr"),
+        share("sign_mismatch_net_ret").alias("sign_mismatch_ratio"), F.count_if("bt_win_st_lose").alias("bt_win_st_lose_days"), F.count_if("st_win_bt_lose").alias("st_win_bt_lose_days"), F.avg("abs_net_ret_diff").alias("mean_abs_diff"),
+    )
