@@ -189,9 +189,13 @@ def keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.keep_first(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber"), ("l_orderkey",), ["l_linenumber"])
 
 
-@query("symbols", "WITH r AS (SELECT unnest(['C', 'FG']) AS instrument_id), m AS (SELECT unnest([1, 5, 9]) AS month), y AS (SELECT unnest(range(2019, 2023)) AS year) SELECT instrument_id || lpad(CAST(year % 100 AS VARCHAR), 2, '0') || lpad(CAST(month AS VARCHAR), 2, '0') AS symbol, instrument_id FROM r, m, y")
+@query("symbols", "WITH r AS (SELECT DISTINCT l_returnflag AS instrument_id, month(l_shipdate) AS m FROM lineitem WHERE month(l_shipdate) IN (1, 5, 9)), y AS (SELECT unnest(range(min(year(l_shipdate)) - 1, max(year(l_shipdate)) + 2)) AS y FROM lineitem) SELECT instrument_id || lpad(CAST(y % 100 AS VARCHAR), 2, '0') || lpad(CAST(m AS VARCHAR), 2, '0') AS symbol, instrument_id FROM r, y")
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.symbols(spark, {"C": [1, 5, 9], "FG": [1, 5, 9]}, 2020, 2021)
+    """Roots are the flags, listed in those of three months in which they are shipped."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("root"), F.month("l_shipdate").alias("m"), F.year("l_shipdate").alias("y"))
+    roots = {r["root"]: sorted(r["months"]) for r in rows.where(F.col("m").isin(1, 5, 9)).groupBy("root").agg(F.collect_set("m").alias("months")).collect()}
+    low, high = rows.agg(F.min("y"), F.max("y")).first()
+    return store.symbols(spark, roots, low, high)
 
 
 @query("calendar", "SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) BETWEEN 1 AND 5 AND CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 7 = 0)")

@@ -36,9 +36,12 @@ for _unit, _n, _at, _round in (("month", 5, "(year(time) * 12 + month(time))", "
     query(f"chunks_by_{_unit}", f"WITH {PANEL_SQL}, c AS (SELECT time, CAST({_round}(({_at} - (SELECT min({_at}) FROM panel)) / {_n}.0) AS INT) AS chunk FROM panel) SELECT chunk, count(*) AS rows, min(time) AS first, max(time) AS last FROM c WHERE chunk >= 1 GROUP BY 1")(_chunked)
 
 
-@query("parameter_grid", "SELECT CAST(d AS INT) AS depth, s AS step, m AS model FROM (SELECT unnest([2, 4, 6]) AS d), (SELECT unnest([0.1, 0.3]) AS s), (SELECT unnest(['tree', 'boosted']) AS m)")
+@query("parameter_grid", "SELECT line, flag FROM (SELECT DISTINCT l_linenumber AS line FROM lineitem), (SELECT DISTINCT l_returnflag AS flag FROM lineitem)")
 def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scalars.grid(spark, {"depth": [2, 4, 6], "step": [0.1, 0.3], "model": ["tree", "boosted"]})
+    """Choices are the values that two columns of few values have."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    values = lambda c: sorted(r[0] for r in rows.select(c).distinct().collect())
+    return scalars.grid(spark, {"line": values("l_linenumber"), "flag": values("l_returnflag")})
 
 
 @query("sanitised", f"WITH {_V} SELECT instrument_id, time, factor_name, round(greatest(-20.0, least(20.0, coalesce(factor_value * 15, 0))), 6) + 0.0 AS factor_value, round(greatest(-1.0, least(1.0, coalesce(future_ret * 60, 0))), 6) + 0.0 AS future_ret FROM vals")
@@ -220,9 +223,12 @@ def registry_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merged(old, new, keys)
 
 
-@query("formula_map", "SELECT unnest(['momentum', 'reversal']) AS factor_name, unnest(['" + TESTED["momentum"] + "', '" + TESTED["reversal"] + "']) AS formula")
+@query("formula_map", "SELECT DISTINCT 'd' || (o_orderkey % 7 + 1) AS factor_name, 'TsDelta(close, ' || (o_orderkey % 7 + 1) || ')' AS formula FROM orders")
 def formula_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(sorted(catalog.formulas(_tested(spark)).items()), "factor_name string, formula string")
+    """Records made of orders: a name has one formula in all versions."""
+    n = (F.col("o_orderkey") % 7 + 1).cast("string")
+    made = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("d"), n).alias("factor_name"), F.concat(F.lit("TsDelta(close, "), n, F.lit(")")).alias("formula"), F.col("o_orderpriority").alias("version"), F.col("o_orderstatus").alias("collection"))
+    return spark.createDataFrame(sorted(catalog.formulas(made).items()), "factor_name string, formula string")
 
 
 def _tested(spark: SparkSession) -> DataFrame:

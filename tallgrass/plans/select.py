@@ -62,8 +62,8 @@ def best_failed(summary: DataFrame, limits: Limits, **more) -> DataFrame:
     failed = verdicts(summary, limits, **more).where("not passed")
     rows = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("mean"), F.lit(float(d)).alias("direction"), F.lit(m).cast("double").alias("wanted")) for n, (m, _, d) in limits.items()))
     df = failed.select("factor_name", "instrument_id", F.inline(rows)).where("mean is not null")
-    order = Window.partitionBy("metric").orderBy((-F.col("mean") * F.col("direction")), "factor_name", "instrument_id")
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("metric", "factor_name", "instrument_id", "mean", ((F.col("mean") - F.col("wanted")) * F.col("direction")).alias("gap"))
+    best = F.min_by(F.struct("factor_name", "instrument_id", "mean", "wanted", "direction"), F.struct(-F.col("mean") * F.col("direction"), F.col("factor_name"), F.col("instrument_id")))
+    return df.groupBy("metric").agg(best.alias("_b")).select("metric", "_b.factor_name", "_b.instrument_id", "_b.mean", ((F.col("_b.mean") - F.col("_b.wanted")) * F.col("_b.direction")).alias("gap"))
 
 
 def yearly_summary(summary: DataFrame, limits: Limits) -> DataFrame:
