@@ -16,7 +16,7 @@ looked up. The index is approximate: a test measures its recall against all offs
 Defined results: null, empty and too short recordings have no codes, a null fingerprint and no matches;
 silence has codes of its own. A match overlaps by LEAST codes or by the whole of the shorter recording. Of equal bit
 errors the smaller offset wins. A class with a query matches that query at offset 0 in any case. Repeated rows each
-get a row.
+get a row. An empty table gives no rows. A recording is in one task's memory as a whole, with its frames.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from .common import shared_dir, written
 RATE = 4_000
 FRAME, HOP = 512, 128
 WIDE = 8
-BLOCK = 512
+#: Queries of a block, and their codes: about 32 index entries of 12 bytes each, besides those of a longest recording.
+BLOCK, BLOCK_CODES = 512, 1 << 17
 #: Bits of a query's code that are tried either way.
 WEAK = 5
 #: Equal codes that an offset needs, the share of wrong bits that a match may have, and the codes that it overlaps by.
@@ -211,9 +212,10 @@ def align(classes: DataFrame, queries: DataFrame) -> DataFrame:
     spark = classes.sparkSession
     path = f"{shared_dir(spark)}/tables/alignments-{uuid.uuid4().hex}"
     spark.createDataFrame([], FOUND).write.parquet(path)
-    blocks = max(1, -(-queries.count() // BLOCK))
+    many, codes = queries.agg(F.count(F.lit(1)), F.sum(F.floor(F.length("codes") / 4))).first()
+    blocks = max(1, -(-many // BLOCK), -(-(codes or 0) // BLOCK_CODES))  # long recordings make more blocks of fewer
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toArrow()  # about BLOCK recordings
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block).toArrow()  # about BLOCK recordings and BLOCK_CODES codes
         if not rows.num_rows:
             continue
         each = [np.frombuffer(c, "<u4") for c in rows.column("codes").to_pylist()]

@@ -14,6 +14,7 @@ Defined results: null is empty; a text without kept terms has the fingerprint of
 hash of the whole text so that it equals its copies only. The next document goes by descending doc_id,
 after the last comes the first; rows of one doc_id are ordered by their text's hash; with a single row, it
 is its own next. A null doc_id counts as the smallest. Further columns are dropped.
+An empty table gives no rows; a very long text is a row like any other, its distinct terms in memory at once.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ a rule runs only if the text has its own. Detections are taken in the order of p
 then start; one that lies within a kept one is suppressed.
 
 Defined results: null and empty texts have no words and no labels. Repeated rows each get their row;
-other columns, whatever their names, are left out of the scan.
+other columns, whatever their names, are left out of the scan. An empty table gives no rows. A very long text is joined from
+its words in one task's memory.
 """
 
 from __future__ import annotations

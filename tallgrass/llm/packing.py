@@ -9,7 +9,7 @@ so that neither the range sampling nor a lost executor tokenises again.
 
 Defined results: a null or empty text is the one end token. Equal texts share a key and are told apart by
 doc_id, so a large group of copies is split like any other. Repeated rows are packed each. Further columns
-are dropped.
+are dropped. An empty table gives no pieces. A very long text is encoded whole, within one task's memory.
 """
 
 from __future__ import annotations
@@ -263,7 +263,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left, with the public word tokenizer."""
+    """Packs what is left, with the public word tokenizer. Null and repeated ids are documents of their own; an empty table
+    gives no pieces."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -14,7 +14,7 @@ kind of character linear and off the JVM's stack.
 Defined results: null is empty; no span gives empty strings and counts of 0. Repeated rows each get a row.
 Redaction replaces each span by its kind in brackets; of overlapping spans the one that starts first (then
 the one listed first) is written and the others' remainders vanish with it. Other columns, whatever their names,
-stay as they are.
+stay as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations

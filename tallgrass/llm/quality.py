@@ -10,6 +10,7 @@ Defined results: null and empty texts get every labeller's abstention and the sc
 words, so nothing speaks against them or for them, and they are rejected (quality 0). Where all votes
 abstain or there is nothing to fit on, every text with words is kept. In texts most of whose bytes are of other than
 Latin letters, the labellers that look at words and sentences do not vote against. Repeated rows each get a row.
+An empty table gives no rows. A very long text is taken whole, with its words' hashes in one task's memory.
 """
 
 from __future__ import annotations
@@ -214,5 +215,6 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of documents that the scorer accepts, with all their columns as they are."""
+    """The rows of documents that the scorer accepts, with all their columns as they are. Null and empty texts go; null and
+    repeated ids are rows like others; an empty table stays empty."""
     return docs.where(probability(docs, fit(docs))(F.col("text")) >= THRESHOLD)

@@ -27,7 +27,8 @@ candidates of large homes are tested in tries by their first member. No link bet
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text of fewer
 than the shingle's words is one shingle. Equal sets are linked. Repeated rows each get a row. A component's
 id is its smallest doc_id. A row without a doc_id links nothing; it has the component of the rows of an equal set,
-or null. Other columns are dropped.
+or null. Other columns are dropped. An empty table gives no rows. Of a very long text the hashes of all shingles are in one
+task's memory.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ in a bounded cache.
 
 Defined results: a null text has no tokens and decodes to the empty text; so has an empty one. Of paths
 with equal scores the one whose last piece is longest wins. A text that holds the marker itself decodes
-to a space there (round_trip is then false). Repeated rows each get a row.
+to a space there (round_trip is then false). Repeated rows each get a row. An
+empty table gives no rows. A very long word is walked in one piece, with about 140 bytes for each of its own in memory.
 """
 
 from __future__ import annotations
