@@ -115,8 +115,40 @@ class SlidingEntropy(Sorted):
         return float(-sum(d * np.log(d + 1e-10) for d in density))
 
 
+def average_ranks(x: np.ndarray) -> np.ndarray:
+    _, places, counts = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(counts) - (counts - 1) / 2)[places]
+
+
+@dataclass
+class SlidingRankCorr(Kernel):
+    """TsRankCorr: of the complete pairs in the last n rows; the pairs are ranked by a sort, not by comparing all with all."""
+
+    n: int
+
+    def start(self) -> deque:
+        return deque()
+
+    def step(self, rows: deque, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, deque]:
+        out = np.full(len(x), np.nan)
+        for k, pair in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+            rows.append(pair)
+            if len(rows) > self.n:
+                rows.popleft()
+            if len(rows) < self.n:
+                continue
+            pairs = np.array(rows)
+            pairs = pairs[~np.isnan(pairs).any(axis=1)]
+            if len(pairs) < 2:
+                continue
+            a, b = (average_ranks(pairs[:, side]) - (len(pairs) + 1) / 2 for side in (0, 1))
+            size = (a @ a) * (b @ b)
+            out[k] = a @ b / np.sqrt(size) if size > 0 else np.nan
+        return out, rows
+
+
 #: Window operators that are kernels from so many rows on: below that, one array expression is faster.
-SLIDING: dict[str, Callable[[int], Kernel]] = {"TsRank": SlidingRank, "TsEntropy": SlidingEntropy}
+SLIDING: dict[str, Callable[[int], Kernel]] = {"TsRank": SlidingRank, "TsEntropy": SlidingEntropy, "TsRankCorr": SlidingRankCorr}
 SLIDING_FROM = 64
 
 

@@ -32,6 +32,14 @@ def test_wide_windows_against_pandas(spark):
         "rank": by.transform(lambda s: s.rolling(100).rank() / 100), "near": by.transform(lambda s: s.rolling(20).rank() / 20),
         "entropy": by.transform(lambda s: s.rolling(80).apply(entropy)), "ema": by.transform(lambda s: s.ewm(span=9, adjust=False).mean()),
     }
+    both = evaluate(df.withColumn("open", df["close"] % 7), {"corr": "TsRankCorr(close, open, 70)"}).toPandas().sort_values(["instrument_id", "time"])
+    pairs = frame.assign(open=frame.close % 7)
+    for (_, g), (_, p) in zip(both.groupby("instrument_id"), pairs.groupby("instrument_id"), strict=True):
+        for k in range(0, len(p), 37):
+            w = p.iloc[max(0, k - 69) : k + 1].dropna()
+            want_k = w.close.rank().corr(w.open.rank()) if k >= 69 else None
+            got_k = g["corr"].iloc[k]
+            assert (want_k is None) == (got_k is None or got_k != got_k) and (want_k is None or abs(got_k - want_k) < 1e-9)
     for name, values in want.items():
         assert np.allclose(got[name].astype(float), values, equal_nan=True), name
 

@@ -1,5 +1,7 @@
 """A search that is stopped and taken up again, and labels of longer periods."""
 
+from bisect import bisect_left
+
 import pandas as pd
 import pytest
 
@@ -60,8 +62,8 @@ def test_labels_of_longer_periods(panel, method, step):
         for k, label in enumerate(g.future_ret):
             want = None
             if k + 1 < len(times):
-                at = next((j for j in range(len(times)) if times[j] >= times[k + 1] + step), None)
-                if at is not None and times[at] <= times[k + 1] + step + step:
+                at = bisect_left(times, times[k + 1] + step)
+                if at < len(times) and times[at] <= times[k + 1] + step + step:
                     want = opens[at] / opens[k + 1] - 1
             assert (want is None) == (label != label) and (want is None or label == pytest.approx(want))
             some += want is not None
