@@ -253,20 +253,27 @@ def suffix_ranks(texts: list[str], site: int, window: int = WINDOW) -> tuple[np.
 
 
 SEP = "\x1f"
-PARSED = "page_id long, url string, site long, page long, n_outside int, packed binary"
+PARSED = "page_id long, url string, site long, page long, packed binary, ranks array<long>"
+#: Repeated ranks that are broadcast at most, 8 bytes each; beyond that their places are joined to the pages.
+MAX_BROADCAST = 1_000_000
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """PARSED of each page: its host's and its html's hash, how many blocks it has outside content, and its blocks, compressed."""
+def parse(pages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """PARSED of each page: its host's and its html's hash, its blocks, compressed, and the ranks of the suffixes of what
+    lies outside content."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches, "html", 1 << 20):
-            found = [blocks(page or "") for page in batch.column("html").to_pylist()]
-            packed = [press.compress("\n".join(f"{z}{SEP}{t}" for z, t in own).encode("utf-8", "replace")) for own in found]
-            outside = pa.array([sum(z != CONTENT for z, _ in own) for own in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("site"), batch.column("page"), outside, pa.array(packed, pa.binary())], names=[c.split()[0] for c in PARSED.split(", ")])
+            packed, ranks = [], []
+            for page, site in zip(batch.column("html").to_pylist(), batch.column("site").to_pylist(), strict=True):
+                own = blocks(page or "")
+                packed.append(press.compress("\n".join(f"{z}{SEP}{t}" for z, t in own).encode("utf-8", "replace")))
+                ranks.append(suffix_ranks([t for z, t in own if z != CONTENT], site, window)[0])
+            edges = pa.array(np.cumsum([0, *map(len, ranks)]), pa.int32())
+            lists = pa.ListArray.from_arrays(edges, pa.array(np.concatenate(ranks)))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("site"), batch.column("page"), pa.array(packed, pa.binary()), lists], names=[c.split()[0] for c in PARSED.split(", ")])
 
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host).alias("site"), F.xxhash64("html").alias("page"), "html")
     return keyed.mapInArrow(run, PARSED)
@@ -277,47 +284,35 @@ def unpacked(packed: bytes, opened: zstandard.ZstdDecompressor) -> list[tuple[in
     return [(int(b[0]), b[2:]) for b in raw.split("\n")] if raw else []
 
 
-def suffixes(parsed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(rank, page, place) of the suffixes of the pages' tokens outside content; place counts these tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for site, page, packed in zip(*(batch.column(c).to_pylist() for c in ("site", "page", "packed")), strict=True):
-                ranks, _ = suffix_ranks([t for z, t in unpacked(packed, opened) if z != CONTENT], site, window)
-                if len(ranks):
-                    yield pa.RecordBatch.from_arrays([pa.array(ranks), pa.array(np.full(len(ranks), page)), pa.array(np.arange(len(ranks)))], names=["rank", "page", "place"])
-
-    return parsed.select("site", "page", "packed").mapInArrow(run, "rank long, page long, place long")
+def repeated(parsed: DataFrame) -> DataFrame:
+    """Ranks of substrings that two pages of a host have outside content; a rank is a hash that includes the host's."""
+    array = parsed.select("page", F.explode("ranks").alias("rank"))
+    return array.groupBy("rank").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo < hi").select("rank")
 
 
-def repeats(parsed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(site, page, places): where a substring begins that another page of the host has too, outside content."""
-    # a page's copies have its places; a host of one page has no repeats
-    pages = parsed.where("n_outside > 0").select("site", "page", "packed").dropDuplicates(["site", "page"])
-    array = suffixes(pages, window)
-    ranks = array.groupBy("rank").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo < hi").select("rank")
-    found = array.join(ranks, "rank", "left_semi").groupBy("page").agg(F.collect_list("place").alias("places"))
-    return pages.select("site", "page").join(found, "page")
+def placed(parsed: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(site, page, places): where the repeated substrings begin."""
+    array = parsed.select("site", "page", F.posexplode("ranks").alias("place", "rank"))
+    return array.join(ranks, "rank", "left_semi").groupBy("site", "page").agg(F.collect_set(F.col("place").cast("long")).alias("places"))
 
 
 RESULT = "page_id long, url string, text string, n_chars long, n_blocks long, n_dropped long, n_settled long"
 
 
-def covered_runs(places: list[int], n: int, window: int) -> np.ndarray:
+def covered_runs(places: np.ndarray, n: int, window: int) -> np.ndarray:
     """Which of n tokens the substrings of window tokens cover that begin at the places."""
     change = np.zeros(n + 1, np.int64)
     np.add.at(change, places, 1)
-    np.add.at(change, np.array(places) + window, -1)
+    np.add.at(change, places + window, -1)
     return np.cumsum(change[:-1]) > 0
 
 
-def settled(own: list[tuple[int, str]], places: list[int] | None, window: int, run: int) -> tuple[list[str], int]:
+def settled(own: list[tuple[int, str]], places: np.ndarray, window: int, run: int) -> tuple[list[str], int]:
     """The blocks that stay, and how many the repeats decided."""
     outside = [k for k, (z, _) in enumerate(own) if z != CONTENT]
     stays: list[str | None] = [t if z != CHROME else None for z, t in own]
     decided = 0
-    if places and outside:
+    if len(places) and outside:
         _, block = suffix_ranks([own[k][1] for k in outside], 0, window)
         covered = covered_runs(places, len(block), window)
         edges = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]])))
@@ -338,16 +333,29 @@ def settled(own: list[tuple[int, str]], places: list[int] | None, window: int, r
 
 def extract(pages: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """RESULT of each page; n_settled counts the blocks that the repeats decided."""
-    parsed = written(parse(pages), "parsed")
-    whole = parsed.join(repeats(parsed, window), ["site", "page"], "left").select("page_id", "url", "packed", "places")
+    parsed = written(parse(pages, window), "parsed")
+    ranks = written(repeated(parsed), "ranks")
+    few = ranks.count() <= MAX_BROADCAST
+    if few:  # each page looks its own ranks up, and no page moves
+        shared = pages.sparkSession.sparkContext.broadcast(np.sort(ranks.toArrow().column("rank").to_numpy()))
+        whole = parsed.select("page_id", "url", "packed", "ranks")
+    else:
+        whole = parsed.join(placed(parsed, ranks), ["site", "page"], "left").select("page_id", "url", "packed", "places")
+
+    def places_of(own: list | None) -> np.ndarray:
+        own = np.array(own or [], np.int64)
+        if not few or not len(own) or not len(shared.value):
+            return own if not few else own[:0]
+        at = np.minimum(np.searchsorted(shared.value, own), len(shared.value) - 1)
+        return np.flatnonzero(shared.value[at] == own)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
         for batch in slices(batches, "packed", 1 << 20):
             made = []
-            for page_id, url, packed, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "places")), strict=True):
+            for page_id, url, packed, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = unpacked(packed, opened)
-                kept, decided = settled(own, places, window, run)
+                kept, decided = settled(own, places_of(found), window, run)
                 text = "\n".join(kept)
                 made.append((page_id, url, text, len(text), len(own), len(own) - len(kept), decided))
             types = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4)

@@ -117,3 +117,12 @@ def test_null_vectors_and_ids(spark):
     df = spark.createDataFrame([(None, [0.1] * 64), (100, None), (101, [0.2, None] * 32), (200, []), (201, [0.3] * 64)], "vec_id long, embedding array<float>")
     out = {r["id"]: r for r in chroma.matches(chroma.rendered(df)).collect()}
     assert len(out) == 5 and out[100]["fingerprint"] is None and out[101]["n_codes"] > 0 and out[None]["n_codes"] > 0
+
+
+def test_blocks_of_few_codes_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = [(100 * k + j, [float(v) for v in rng.normal(size=40)]) for k in range(3) for j in range(3)]
+    df = chroma.rendered(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
+    want = sorted(map(str, chroma.matches(df).collect()))
+    monkeypatch.setattr(chroma, "BLOCK_CODES", 60)
+    assert sorted(map(str, chroma.matches(df).collect())) == want and len(want) == 9

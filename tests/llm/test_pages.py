@@ -115,8 +115,9 @@ def made(seed, many):
     return rows + [rows[0], (-1, "https://h1.example", ""), (-2, "https://h1.example", None)]
 
 
-@pytest.mark.parametrize("seed,window", [(1, 16), (2, 6)])
-def test_extraction_by_brute_force(spark, seed, window):
+@pytest.mark.parametrize("seed,window,most", [(1, 16, 10**6), (2, 6, 10**6), (2, 6, 0)])
+def test_extraction_by_brute_force(spark, monkeypatch, seed, window, most):
+    monkeypatch.setattr(pages, "MAX_BROADCAST", most)
     rows = made(seed, 150)
     out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), window, 12).collect()
     got = sorted((r["page_id"], r["text"]) for r in out)
