@@ -68,3 +68,30 @@ def test_held_out_by_crc(spark):
 
     rows = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", langid.held_out().alias("h"))
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows.collect())
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """Counts and margin are those of all rows, however many; repeated rows count as often as they are there."""
+    docs = made(3, 80) * 300
+    docs = [(k, text, lang) for k, (_, text, lang) in enumerate(docs)]  # 24,000 rows
+    few = langid.fit(spark.createDataFrame(docs[:80], "doc_id long, text string, lang string"))
+    many = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4))
+    totals = {lang: sum(len(grams(t)) for _, t, x in docs if x == lang) for lang in WORDS}
+    assert few["langs"] == many["langs"] == sorted(totals)
+    code = many["code"]
+    counts = {lang: np.zeros(langid.BUCKETS) for lang in WORDS}
+    for _, text, lang in docs[:80]:
+        np.add.at(counts[lang], grams(text), 300)
+    share = {lang: (c + 0.5) / (totals[lang] + 0.5 * langid.BUCKETS) for lang, c in counts.items()}
+    for k in range(code.shape[1]):
+        one = np.mean([share[lang] for lang, c in zip(many["langs"], code[:, k], strict=True) if c > 0], axis=0)
+        two = np.mean([share[lang] for lang, c in zip(many["langs"], code[:, k], strict=True) if c < 0], axis=0)
+        np.testing.assert_allclose(many["weights"][:, k], np.log(one) - np.log(two), rtol=1e-4, atol=1e-5)
+
+    def margin(model, rows):
+        _, _, least = langid.decode(langid._means(langid.pa.array([t for _, t, _ in rows]), model["weights"]), model)
+        return langid.SLACK * np.sort(least)[int(langid.QUANTILE * (len(rows) - 1))]
+
+    monkeypatch.setattr(langid, "MOST", 4.0)  # so that the quantile decides
+    many = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(4))
+    assert many["margin"] == pytest.approx(margin(many, docs), rel=1e-3)
