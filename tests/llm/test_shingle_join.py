@@ -157,3 +157,21 @@ def test_rows_without_an_id(spark):
     assert got == [(False, 3, 38, False, 3), (False, 5, 1, False, 3), (False, 5, 39, False, 3), (False, 8, 1, False, 3), (True, 0, 0, True, 0), (True, 0, 3, True, 0), (True, 0, 38, False, 3)]
     kept = shingle_join.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, -1, -1, 3]
+
+
+def test_python_workers_get_batches_bounded_by_bytes(spark):
+    """Texts of 200 kB come a few at a time, not by thousands of rows."""
+    from pyspark.sql import functions as F
+
+    from tallgrass.llm.common import BATCH_BYTES
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(100, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id"), F.repeat(F.lit("word "), 40_000)).alias("text"))
+    assert shingle_join.join(docs.limit(3)).count() == 3
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [batch.nbytes]})
+
+    found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 19_000_000 and max(found) < 2 * BATCH_BYTES
