@@ -175,3 +175,16 @@ def test_python_workers_get_batches_bounded_by_bytes(spark):
 
     found = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
     assert sum(found) > 19_000_000 and max(found) < 2 * BATCH_BYTES
+
+
+def test_sizes_are_the_joins_and_take_one_pass(spark, sf, capsys):
+    from tallgrass.llm import oracles
+
+    docs = spark.createDataFrame([(1, "a b c d e f a b c d e"), (2, None), (3, " "), (4, "x y"), (4, "A b c d e f"), (None, "a b c d e")], "doc_id long, text string")
+    rows = lambda df: sorted(map(str, df.select("doc_id", "n_shingles").collect()))
+    assert rows(shingle_join.sizes(docs, 5)) == rows(shingle_join.join(docs, 5, 80))
+    found = oracles.shingle_sizes(spark, sf)
+    assert found.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
