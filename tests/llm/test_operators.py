@@ -348,3 +348,28 @@ def test_encoder_against_the_tokenizer():
     got = packing._encoder(TOKENIZER).encode(texts)
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
     assert {bool(packing.ODD.search(t)) for t in texts} == {True, False}
+
+
+def test_encoder_memory_is_bounded_by_bytes():
+    """New words without end, in plain and in odd texts: what a worker keeps stays small and the ids are the tokenizer's."""
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    def name(k):
+        return "".join(chr(97 + k // 26**p % 26) for p in range(5))
+
+    def texts(k):
+        return [" ".join(name(n) for n in range(k, k + 5000)), "\u03b1" + " ".join(f"{name(n)}\u03b2" for n in range(k, k + 2500))]
+
+    encoder, plain = packing._Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    first = encoder.encode(texts(0))
+    tracemalloc.start()
+    for k in range(5000, 250_000, 5000):
+        got = encoder.encode(texts(k))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 40 << 20
+    assert encoder.encode(texts(0)) == first
+    for own, text in zip(first + got, texts(0) + texts(245_000), strict=True):
+        assert np.frombuffer(own, "<u2").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
